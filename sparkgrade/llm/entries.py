@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, records, sharding, urls
+from . import bpe, records, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_binary_records": records.op6_binary_records,
     "op10_url_filter": urls.op10_url_filter,
