@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, records, sharding, toxicity, urls
+from . import bpe, decontamination, records, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_binary_records": records.op6_binary_records,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_url_filter": urls.op10_url_filter,
 }
 ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op10_url_filter": urls.OP10_SQL}
