@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, records, sharding, toxicity, urls
+from . import bpe, decontamination, quality, records, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_quality_rules": quality.op5_quality_rules,
     "op6_binary_records": records.op6_binary_records,
+    "op7_secrets": secrets.op7_secrets,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_url_filter": urls.op10_url_filter,
 }
-ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op10_url_filter": urls.OP10_SQL}
+ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op10_url_filter": urls.OP10_SQL}
