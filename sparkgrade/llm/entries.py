@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality, records, secrets, sharding, toxicity, urls
+from . import bpe, decontamination, pii, quality, records, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_binary_records": records.op6_binary_records,
     "op7_secrets": secrets.op7_secrets,
+    "op8_pii": pii.op8_pii,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_url_filter": urls.op10_url_filter,
 }
