@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, pii, quality, records, secrets, sharding, toxicity, urls
+from . import bpe, decontamination, jaccard, pii, quality, records, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality_rules": quality.op5_quality_rules,
