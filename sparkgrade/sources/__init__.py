@@ -1 +1,179 @@
-"""Part of the sparkgrade engine."""
+"""Readers and writers: JSON lines, directories of steps, trees of sources, checkpoints, Parquet rewrites, sinks."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | None = None, strict: bool = True) -> DataFrame:
+    """Objects of JSON lines; blank lines are skipped. strict: anything else is an error when run."""
+    reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.json(path)
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, offset order, record, reason of every line: why a line has no record (blank_line, malformed, not_an_object), or null.
+
+    Lines are numbered within a file by their places in it, which only whole files have: for
+    files of one split. The fast readers above don't number lines.
+    """
+    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    bare = F.btrim(F.col("text"), F.lit(" \t\r\n"))
+    parsed = F.from_json("text", schema, {"mode": "PERMISSIVE"})
+    reason = F.when(bare == "", "blank_line").when(F.try_parse_json(bare).isNull(), "malformed").when(~bare.startswith("{"), "not_an_object")
+    return text.select("file", (F.col("line") + 1).alias("line"), reason.alias("reason"), F.when(reason.isNull(), parsed).alias("record"))
+
+
+def skip_reasons(lines: DataFrame) -> DataFrame:
+    return lines.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_steps(spark: SparkSession, folder: str, schema: StructType | None = None) -> DataFrame:
+    """Rows of files {number}.jsonl with the number as step; other files aren't read."""
+    reader = spark.read.option("mode", "FAILFAST").option("pathGlobFilter", "[0-9]*.jsonl")
+    if schema is not None:
+        reader = reader.schema(schema)
+    rows = reader.json(folder)
+    step = F.regexp_extract("_metadata.file_name", r"^(\d+)\.jsonl$", 1)
+    return rows.select("*", F.nullif(step, F.lit("")).cast("long").alias("step")).where("step IS NOT NULL")
+
+
+def read_tree(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
+    """The columns of all JSON lines and Parquet files below root, with source, the first folder below it."""
+    out = None
+    for kind, pattern in (("json", "*.jsonl"), ("parquet", "*.parquet")):
+        try:
+            own = getattr(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern), kind)(root)
+        except Exception as e:  # no file of the kind
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            continue
+        kept = own.select(*(c for c in columns if c in own.columns), F.regexp_extract("_metadata.file_path", rf"{root.rstrip('/').split('://')[-1]}/([^/]+)/", 1).alias("source"))
+        out = kept if out is None else out.unionByName(kept, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(root)
+    return out
+
+
+def parquet_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The columns, with file and row_index, a row's number in its file."""
+    return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def rows_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows at given files and row numbers."""
+    return rows.join(wanted.select("file", "row_index"), ["file", "row_index"])
+
+
+def read_mixed(spark: SparkSession, paths: list[str], most: int | None = None, seed: int | None = None, key: str | None = None) -> DataFrame:
+    """Parquet, JSON and JSON lines by their endings, one after another; at most `most` rows, by a seeded hash of the key if there is one."""
+    out = None
+    for p in paths:
+        own = spark.read.parquet(p) if p.endswith(".parquet") else spark.read.option("multiLine", str(p.endswith(".json")).lower()).json(p)
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if most is None:
+        return out
+    return out.orderBy(F.xxhash64(F.lit(seed), F.col(key))).limit(most) if seed is not None and key else out.limit(most)
+
+
+def prompt_length_filter(df: DataFrame, length: Column, most: int) -> DataFrame:
+    """Rows of at most `most` tokens; a length that isn't known drops the row."""
+    return df.where(length <= most)
+
+
+def append_checkpoint(rows: DataFrame, folder: str) -> None:
+    """Adds records to a checkpoint folder; readers take a key's last one."""
+    rows.write.mode("append").json(folder)
+
+
+def write_steps(df: DataFrame, folder: str, step: str = "step") -> None:
+    df.write.mode("append").partitionBy(step).json(folder)
+
+
+def write_summary(df: DataFrame, folder: str) -> None:
+    """A small summary in one CSV file and one of JSON lines, replaced each time."""
+    one = df.coalesce(1)
+    one.write.mode("overwrite").option("header", "true").csv(f"{folder}/csv")
+    one.write.mode("overwrite").json(f"{folder}/json")
+
+
+def write_metrics(metrics: DataFrame, sinks: dict[str, object]) -> None:
+    """Gives metrics (step, key, value) to every sink, a function of a DataFrame."""
+    for sink in sinks.values():
+        sink(metrics)
+
+
+def rewrite_parquet(spark: SparkSession, source: str, target: str, change, check: Column) -> int:
+    """Writes change(rows) beside the target, verifies it (as many rows, none for which check isn't true), and then puts it in place."""
+    rows = spark.read.parquet(source)
+    beside = f"{target}.{uuid.uuid4().hex}"
+    change(rows).write.parquet(beside)
+    told = spark.read.parquet(beside).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(check, F.lit(False))).alias("bad")).first()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(beside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if told["bad"] or told["n"] != rows.count():
+        store.delete(path(beside), True)
+        raise ValueError(f"{told['bad']} rows fail the check, {told['n']} rows written")
+    if store.exists(path(target)):
+        store.delete(path(target), True)
+    store.rename(path(beside), path(target))
+    return told["n"]
+
+
+def enrich_options(df: DataFrame, prompt: Column, info: str, source: str, gated: set[str], detection: set[str]) -> DataFrame:
+    """Adds option_a and option_b to the info struct of gated sources; status: added, present, detection or an error's message."""
+    from ..functions.text import strict_options
+
+    s = F.col(source)
+    got = df.withColumn("_o", strict_options(prompt))
+    has = {c: c in df.schema[info].dataType.fieldNames() for c in ("option_a", "option_b")}
+    own = {c: F.col(f"{info}.{c}") if has[c] else F.lit(None).cast("string") for c in has}
+    present = own["option_a"].isNotNull() & own["option_b"].isNotNull()
+    equal = (own["option_a"] == F.col("_o.a")) & (own["option_b"] == F.col("_o.b"))
+    status = F.when(s.isin(*detection), "detection").when(~s.isin(*gated), "unknown source").when(F.col("_o.error").isNotNull(), F.col("_o.error")).when(present & ~equal, "options conflict").when(present, "present").otherwise("added")
+    added = status == "added"
+    wide = F.col(info).withField("option_a", F.when(added, F.col("_o.a")).otherwise(own["option_a"])).withField("option_b", F.when(added, F.col("_o.b")).otherwise(own["option_b"]))
+    return got.withColumns({"status": status, info: wide}).drop("_o")
+
+
+def missing_fields(actual: StructType, wanted: StructType) -> list[StructField]:
+    """Fields of wanted that actual lacks; TypeError if one has another type."""
+    have = {f.name: f for f in actual.fields}
+    for f in wanted.fields:
+        if f.name in have and have[f.name].dataType != f.dataType:
+            raise TypeError(f"{f.name} is {have[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return [f for f in wanted.fields if f.name not in have]
+
+
+def with_fields(df: DataFrame, column: str, wanted: StructType) -> DataFrame:
+    """The struct column with the fields that it lacks, as nulls."""
+    c = F.col(column)
+    for f in missing_fields(df.schema[column].dataType, wanted):
+        c = c.withField(f.name, F.lit(None).cast(f.dataType))
+    return df.withColumn(column, c)
+
+
+OPTION_FIELDS = StructType([StructField("option_a", StringType()), StructField("option_b", StringType())])
+
+
+def to_rl_rows(df: DataFrame, source: str, question: Column, answer: Column, ability: str, split: str, index: Column) -> DataFrame:
+    """data_source, prompt, ability, reward_model, extra_info: the rows of a training set."""
+    return df.select(
+        F.lit(source).alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), question.alias("content"))).alias("prompt"), F.lit(ability).alias("ability"),
+        F.struct(F.lit("rule").alias("style"), answer.alias("ground_truth")).alias("reward_model"), F.struct(F.lit(split).alias("split"), index.cast("long").alias("index")).alias("extra_info"),
+    )
+
+
+def chosen_rejected_rows(df: DataFrame, prompt: str, chosen: str, rejected: str) -> DataFrame:
+    """Two rows of each pair: prompt, response and which it is."""
+    return df.selectExpr(prompt, f"stack(2, 'chosen', {chosen}, 'rejected', {rejected}) AS (kind, response)")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "index") -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
