@@ -9,7 +9,7 @@ from ..functions import parsers, text
 from ..functions.registry import REWARDS, SCORERS
 
 #: Weights of a judge's four classes.
-JUDGE_WEIGHTS = (0.0, 1.0, 0.5, 0.25)
+JUDGE_WEIGHTS = (1.0, 0.5, 0.25, 0.0)
 
 
 @SCORERS.register("json_answer")
