@@ -185,14 +185,20 @@ def parts(solution: str | None, truth: str | None) -> tuple[float, float, float,
     return float(same), region_score([x[0] for x in a], [y[0] for y in b]), label_score(a, b, pairs), len(a), len(b)
 
 
-@F.pandas_udf("struct<same:double,region:double,label:double,wanted:int,given:int>")
-def box_parts(solution: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parts(s, t) for s, t in zip(solution, truth, strict=True)], columns=["same", "region", "label", "wanted", "given"])
+def box_parts(solution: Column, truth: Column) -> Column:
+    """Struct of parts()."""
 
+    def run(given: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parts(s, t) for s, t in zip(given, wanted, strict=True)], columns=["same", "region", "label", "wanted", "given"])
 
-@F.pandas_udf("double")
-def hungarian_iou(solution: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([hungarian_score(plain_boxes(t), plain_boxes(s)) for s, t in zip(solution, truth, strict=True)], dtype=float)
+    return F.pandas_udf(run, "struct<same:double,region:double,label:double,wanted:int,given:int>")(solution, truth)
+
+
+def hungarian_iou(solution: Column, truth: Column) -> Column:
+    def run(given: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([hungarian_score(plain_boxes(t), plain_boxes(s)) for s, t in zip(given, wanted, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")(solution, truth)
 
 
 def consistency_score(p: Column, summary: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def ladder(n: Column) -> Column:
     """2, 4, 8, ... below n, and n at the end."""
-    return F.array_distinct(F.concat(F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.shiftleft(F.lit(1), k)), lambda x: x < n), F.array(n.cast("int"))))
+    return F.array_distinct(F.concat(F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int")), lambda x: x < n), F.array(n.cast("int"))))
 
 
 def expected_extremes(df: DataFrame, keys: list[str], value: str) -> DataFrame:

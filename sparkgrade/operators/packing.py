@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def workload(length: Column) -> Column:
@@ -101,7 +102,7 @@ def micro_batches(loads: list[int], budget: int) -> list[int]:
 
 def partition(df: DataFrame, group: list[str], order: str, load: str, method: Callable[[list[int]], list[int]]) -> DataFrame:
     """Adds part: each group's loads, in order, to parts by the method. A group is one batch, and bounded as that."""
-    schema = df.schema.add("part", "int")
+    schema = StructType([*df.schema.fields, StructField("part", IntegerType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")

@@ -264,9 +264,9 @@ def loss_aggregation_modes(spark, d):
     return out
 
 
-@query("SELECT event_id, round(0.5 * greatest(pow(v - 1.5, 2), pow(least(greatest(v, value - 0.2), value + 0.2) - 1.5, 2)), 4) + 0.0 AS loss FROM (SELECT *, value * 1.1 AS v FROM events)")
+@query("SELECT event_id, round(0.5 * greatest(pow(v - 1.5, 2), pow(least(greatest(v, value - 0.2), value + 0.2) - 1.5, 2)), 4) + 0.0 AS loss FROM (SELECT event_id, value / 7 AS value, value * 1.1 / 7 AS v FROM events)")
 def loss_value(spark, d):
-    return _t(spark, d, "events").select("event_id", _r(losses.value_loss(F.col("value") * 1.1, F.col("value"), F.lit(1.5), 0.2)).alias("loss"))
+    return _t(spark, d, "events").select("event_id", _r(losses.value_loss(F.col("value") * 1.1 / 7, F.col("value") / 7, F.lit(1.5), 0.2)).alias("loss"))
 
 
 @query(f"SELECT event_id, round(advantage - 0.1 * (old_logp - rollout_logp), 4) + 0.0 AS reward FROM {_TOKENS_SQL}")
@@ -298,10 +298,10 @@ def importance_weights(spark, d):
 @query(
     f"""WITH t AS (SELECT *, old_logp - rollout_logp AS d FROM {_TOKENS_SQL}),
     s AS (SELECT *, sum(d * mask) OVER w / greatest(sum(mask) OVER w, 1) AS m1, sum(0.5 * d * d * mask) OVER w / greatest(sum(mask) OVER w, 1) AS m2 FROM t WINDOW w AS (PARTITION BY seq))
-    SELECT event_id, CASE WHEN d <= ln(3.0) AND d >= ln(1 / 3.0) AND m2 <= 0.9 AND m1 <= ln(2.0) AND m1 >= ln(0.5) THEN mask ELSE 0 END AS kept FROM s"""
+    SELECT event_id, CASE WHEN d <= ln(3.1) AND d >= ln(1 / 3.1) AND m2 <= 0.9 AND m1 <= ln(2.05) AND m1 >= ln(0.45) THEN mask ELSE 0 END AS kept FROM s"""
 )
 def rejection_mask(spark, d):
-    return correction.rejection_mask(_tokens(spark, d), {"token_k1": 3.0, "seq_mean_k2": 0.9, "seq_mean_k1": (0.5, 2.0)}).select("event_id", "kept")
+    return correction.rejection_mask(_tokens(spark, d), {"token_k1": 3.1, "seq_mean_k2": 0.9, "seq_mean_k1": (0.45, 2.05)}).select("event_id", "kept")
 
 
 @query(
@@ -335,11 +335,11 @@ def rejection_metrics(spark, d):
 
 
 def _arrays(spark, d) -> DataFrame:
-    rows = _t(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", (F.col("o_totalprice") / 100000).alias("r")))).alias("x"))
+    rows = _t(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", (F.col("o_totalprice") / 70000).alias("r")))).alias("x"))
     return rows.select("o_custkey", F.col("x.o_orderkey").alias("ids"), F.col("x.r").alias("r"), F.transform("x", lambda x: F.when(x["o_orderkey"] % 5 == 0, 0).otherwise(1)).alias("mask"))
 
 
-_FOLD_SQL = """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice / 100000 AS r, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS m,
+_FOLD_SQL = """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice / 70000 AS r, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS m,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, o_totalprice DESC) AS k FROM orders), {fold}"""
 
 
@@ -362,13 +362,13 @@ def gae_advantage(spark, d):
     return a.select("o_custkey", F.explode(F.arrays_zip("ids", out.alias("w"))).alias("x")).select("o_custkey", F.col("x.ids").alias("o_orderkey"), _r("x.w").alias("value"))
 
 
-@query("SELECT o_custkey, round(sum(o_totalprice / 100000) FILTER (o_orderkey % 5 <> 0), 4) AS total, round(coalesce(sum(o_totalprice / 100000) FILTER (o_orderkey % 5 <> 0), 0) / (count(*) FILTER (o_orderkey % 5 <> 0) + 1e-8), 4) AS mean FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 5 <> 0) > 0")
+@query("SELECT o_custkey, round(sum(o_totalprice / 70000) FILTER (o_orderkey % 5 <> 0), 4) AS total, round(coalesce(sum(o_totalprice / 70000) FILTER (o_orderkey % 5 <> 0), 0) / (count(*) FILTER (o_orderkey % 5 <> 0) + 1e-8), 4) AS mean FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 5 <> 0) > 0")
 def masked_moments(spark, d):
     a = _arrays(spark, d).where(F.array_contains("mask", 1))
     return a.select("o_custkey", _r(sequences.masked_sum(F.col("r"), F.col("mask"))).alias("total"), _r(sequences.masked_mean(F.col("r"), F.col("mask"))).alias("mean"))
 
 
-@query("SELECT o_custkey, round(var_samp(o_totalprice / 100000) FILTER (o_orderkey % 5 <> 0), 4) AS var FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 5 <> 0) > 1")
+@query("SELECT o_custkey, round(var_samp(o_totalprice / 70000) FILTER (o_orderkey % 5 <> 0), 4) AS var FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 5 <> 0) > 1")
 def masked_variance(spark, d):
     a = _arrays(spark, d).where(F.aggregate("mask", F.lit(0), lambda x, y: x + y) > 1)
     return a.select("o_custkey", _r(sequences.masked_var(F.col("r"), F.col("mask"))).alias("var"))
@@ -418,8 +418,8 @@ def validation_bootstrap(spark, d):
 
 
 @query(
-    """WITH v AS (SELECT user_id, event_type, count(*) AS c, arg_min(value, event_id) AS v, min(event_id) AS at FROM events GROUP BY ALL)
-    SELECT user_id, round(arg_max(v, c * 1000000000.0 - at), 4) AS majority FROM v GROUP BY user_id"""
+    """WITH v AS (SELECT user_id, event_type, count(*) AS c, arg_min(value, event_id) AS v, min(event_id) AS pos FROM events GROUP BY ALL)
+    SELECT user_id, round(arg_max(v, c * 1000000000.0 - pos), 4) AS majority FROM v GROUP BY user_id"""
 )
 def validation_majority(spark, d):
     got = metrics.majority(_t(spark, d, "events"), ["user_id"], "event_type", "value", "event_id")
@@ -458,7 +458,7 @@ def load_violation(spark, d):
 
 @query("SELECT key, round(CASE WHEN contains(key, 'max') THEN max(value) WHEN contains(key, 'min') THEN min(value) ELSE avg(value) END, 4) AS value FROM (SELECT event_type || unnest(['_max', '_min', '_x']) AS key, value FROM events) GROUP BY key")
 def reduce_by_name(spark, d):
-    rows = _t(spark, d, "events").select(F.concat("event_type", F.explode(F.array(F.lit("_max"), F.lit("_min"), F.lit("_x")))).alias("key"), "value")
+    rows = _t(spark, d, "events").withColumn("end", F.explode(F.array(F.lit("_max"), F.lit("_min"), F.lit("_x")))).select(F.concat("event_type", "end").alias("key"), "value")
     return metrics.reduce_by_name(rows).select("key", _r("value").alias("value"))
 
 
@@ -705,7 +705,7 @@ def completeness(spark, d):
 # Text.
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(translate(lower(text), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM conversations")
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM conversations""")
 def qa_normal_form(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", text.qa_normal(F.col("text")).alias("answer"))
 
@@ -840,4 +840,4 @@ def lifecycle_evictions(spark, d):
 
 @query()
 def lifecycle_sample(spark, d):
-    return lifecycle.sample_groups(lifecycle.group_states(_events(spark, d), 3), 100, 16, 90)[0].select("uid", "born")
+    return lifecycle.sample_groups(lifecycle.group_states(_events(spark, d), 3), 100, 4)[0].select("uid", "born")
