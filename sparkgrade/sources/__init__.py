@@ -23,7 +23,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     Lines are numbered within a file by their places in it, which only whole files have: for
     files of one split. The fast readers above don't number lines.
     """
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     bare = F.btrim(F.col("text"), F.lit(" \t\r\n"))
     parsed = F.from_json("text", schema, {"mode": "PERMISSIVE"})
     reason = F.when(bare == "", "blank_line").when(F.try_parse_json(bare).isNull(), "malformed").when(~bare.startswith("{"), "not_an_object")

@@ -58,9 +58,11 @@ def tracked(events: DataFrame, size: int, constant: bool = True) -> DataFrame:
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(*state.get, strict=True)) if state.exists else {}
         for frame in frames:
-            for row in frame.sort_values("seq").itertuples(index=False):
-                held[f"{row.session}_{row.idx}"] = f"{row.status}|{'' if pd.isna(row.metric) else row.metric}"
-        ends = [v.split("|") for v in held.values() if v.split("|")[0] in ENDED]
+            for row in frame.itertuples(index=False):
+                key_of = f"{row.session}_{row.idx}"
+                if key_of not in held or int(held[key_of].split("|")[0]) <= row.seq:  # events may come late
+                    held[key_of] = f"{row.seq}|{row.status}|{'' if pd.isna(row.metric) else row.metric}"
+        ends = [v.split("|")[1:] for v in held.values() if v.split("|")[1] in ENDED]
         if len(ends) < size:
             state.update((list(held), list(held.values())))
             return
