@@ -25,3 +25,14 @@ class Registry(dict):
 
 
 ADVANTAGES, LOSSES, REWARDS, TOOL_PARSERS, SCORERS = Registry(), Registry(), Registry(), Registry(), Registry()
+
+
+def load_function(path: str, name: str, **fixed) -> Callable:
+    """A function of a Python file, with fixed keyword arguments; AttributeError if the file has none of the name."""
+    import functools
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("custom_function", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return functools.partial(getattr(module, name), **fixed)

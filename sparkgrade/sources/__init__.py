@@ -177,3 +177,41 @@ def chosen_rejected_rows(df: DataFrame, prompt: str, chosen: str, rejected: str)
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "index") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+
+
+def read_preferences(spark: SparkSession, paths: list[str], prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    return spark.read.parquet(*paths).select(prompt, chosen, rejected)
+
+
+def read_conversations(spark: SparkSession, paths: list[str], messages: str = "messages", tools: str | None = None) -> DataFrame:
+    return spark.read.parquet(*paths).select(messages, *([tools] if tools else []))
+
+
+def scored_group_rows(df: DataFrame, uid: str, columns: list[str]) -> DataFrame:
+    """A row for each sample of a group's parallel arrays, with the group's uid."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.posexplode(F.arrays_zip(*columns)).alias("sample", "_x")).select(*rest, "sample", *(F.col(f"_x.{c}").alias(c) for c in columns))
+
+
+class Files:
+    """exists, make and copy in any store that Hadoop knows."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        store, p = self._at(path)
+        return store.exists(p)
+
+    def make(self, path: str) -> None:
+        store, p = self._at(path)
+        store.mkdirs(p)
+
+    def copy(self, source: str, target: str) -> None:
+        (a, p), (b, q) = self._at(source), self._at(target)
+        self.fs.FileUtil.copy(a, p, b, q, False, self.conf)

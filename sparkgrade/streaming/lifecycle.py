@@ -134,3 +134,14 @@ def rate_limited(df: DataFrame, call, schema: str, per_second: float, batch: int
                         time.sleep(min(30, 2**k))
 
     return df.mapInPandas(run, schema)
+
+
+def should_pause(queued: int, room: int, in_flight: int, quota: int) -> bool:
+    """Whether generation must wait: the queue is full, or what is in flight and queued reaches the staleness quota."""
+    return queued >= room or queued + in_flight >= quota
+
+
+def quota_at_sync(batch: int, threshold: float, in_flight: int, queued: int) -> tuple[int, int]:
+    """(samples that may be asked for until the next weights, those that count as stale now)."""
+    held = in_flight + queued
+    return max(0, int(batch * (1 + threshold)) - held), held

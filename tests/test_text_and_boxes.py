@@ -116,3 +116,17 @@ def test_tool_call_score():
     call = {"name": "f", "parameters": {"x": 1}}
     assert packing and parsers.tool_call_score([call], [call]) == pytest.approx(1.0)
     assert parsers.tool_call_score([call], []) < 0.5 and parsers.tool_call_score([], []) == 1
+
+
+def test_points_bleu_and_segments():
+    assert parsers.points('```json\n[{"point_2d": [5, 6]}]\n```') == [[5, 6]] and parsers.points("no") == []
+    assert parsers.point_reward("[[5, 5]]", [0, 0, 10, 10]) == 2 and parsers.point_reward("[[50, 5]]", [0, 0, 10, 10]) == 0 and parsers.point_reward("", [0, 0, 1, 1]) == 0
+    assert parsers.bleu("the cat sat down", "the cat sat down") == pytest.approx(1) and parsers.bleu("x", "y") == 0
+    assert parsers.segments("a <code>b</code> c", {"code": "<code>.*?</code>"}) == [("text", "a"), ("code", "<code>b</code>"), ("text", "c")]
+
+
+def test_custom_functions(tmp_path):
+    from sparkgrade.functions.registry import load_function
+
+    (tmp_path / "f.py").write_text("def score(x, y=0):\n    return x + y\n")
+    assert load_function(str(tmp_path / "f.py"), "score", y=2)(1) == 3
