@@ -438,9 +438,9 @@ def percentile_nearest(spark, d):
     return got.select("event_type", _r("percentile").alias("percentile"))
 
 
-@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, 'value' AS metric, round(avg(value), 4) AS mean, count(value) AS n FROM events GROUP BY ALL UNION ALL SELECT event_type, strftime(ts, '%Y-%m-%d'), 'user_id', round(avg(user_id), 4), count(user_id) FROM events GROUP BY ALL")
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, 'value' AS metric, round(avg(value / 7), 4) AS mean, count(value) AS n FROM events GROUP BY ALL UNION ALL SELECT event_type, strftime(ts, '%Y-%m-%d'), 'user_id', round(avg(user_id / 7), 4), count(user_id) FROM events GROUP BY ALL")
 def trend_by_day(spark, d):
-    got = metrics.trend(_t(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "event_type", "day", ["value", "user_id"])
+    got = metrics.trend(_t(spark, d, "events").withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "value": F.col("value") / 7, "user_id": F.col("user_id") / 7}), "event_type", "day", ["value", "user_id"])
     return got.select("event_type", "day", "metric", _r("mean").alias("mean"), "n")
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sparkgrade.plans import catalog
@@ -21,7 +22,7 @@ def db():
 
 
 def rows(frame):
-    show = lambda x: "null" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
+    show = lambda x: "null" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(show, r)) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
 
 
