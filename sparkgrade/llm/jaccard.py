@@ -2,10 +2,13 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes). Texts with one set are
    one node, so copies are never compared.
-2. Shingles are ordered by how common they are (a sketch of fixed size over all texts; any
-   order is exact). A set's rarest shingles, one more than it may lack, are its prefix: linked
-   sets share a prefix shingle. Texts that share one, directly or through others, form a
-   cluster; a shingle links its texts in a star, not in pairs, and combines before the shuffle.
+2. Linked sets of about one size differ in a bounded number of shingles. Dealt by a hash to more
+   parts than that, they agree in one part that isn't empty: each part is a signature (sizes
+   are in bands, and a set is dealt in its own and in the next). Shingles that very many texts
+   have are left out, by a sketch of fixed size over all texts; a set with too few others is
+   dealt whole as well. So no link is lost, and passages that many texts share gather nobody.
+   Texts with a common signature, directly or through others, form a cluster; a signature links
+   its texts in a star, not in pairs, and combines before the shuffle.
 3. In a cluster, each set is a query. An overlap of T shingles is required; the longest lists
    of the cluster's inverted index are set aside, the short ones are merged, and only sets that
    occur often enough there are probed by binary search in the long ones (DivideSkip). Sets
@@ -17,7 +20,9 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +39,16 @@ from .hashing import mix, shingles, word_hashes
 WORDS, PERCENT = 3, 90
 #: Buckets of the frequency sketch: its size is fixed, so it can be broadcast.
 SKETCH = 1 << 17
+#: Texts above the mean that a bucket of the sketch has for its shingles to be left out, at least.
+COMMON = 40
+#: Bits of the filter of ids that keeps other texts out of a join: its size is fixed; it only saves work.
+FILTER_BITS = 1 << 24
 #: Shingles of a cluster that one task holds at most, as index or as queries.
 CLUSTER_SHINGLES = 2_000_000
 #: Postings that are merged by a heap of the lists' heads; more are merged as sorted runs in numpy.
 HEAP_POSTINGS = 4096
 _MU = 0.0085
+_SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def sets_of(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -90,27 +100,66 @@ def _scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint, bucket bigint, seen bigint")
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, counts: np.ndarray) -> DataFrame:
-    """shingle, node: each set's prefix, combined in each slice of the input."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+@functools.cache
+def bands(percent: int, most: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Lower bounds of size bands up to sets of `most`, and for each the differences of linked sets at most, and the parts.
+
+    Sizes of linked sets are in one band or in neighbouring ones. There are some parts more
+    than differences, as a few of them are empty.
+    """
+    low = [1]
+    while low[-1] <= most:
+        low.append(low[-1] * 100 // percent + 1)
+    low.append(low[-1] * 100 // percent + 1)
+    out = []
+    for first in low[1:]:
+        differ = (100 - percent) * 2 * (first - 1) // (100 + percent)
+        each = (percent / 100) ** 2 * (first - 1) / (differ + 1)
+        out.append((differ, differ + 1 + math.ceil((differ + 1) * math.exp(-each) * 1.2) + (differ > 0)))
+    return np.array(low), out
+
+
+def _parts(own: np.ndarray, band: int, parts: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the parts that have shingles, and their signatures."""
+    salt = np.uint64(3 * band + family + 1)
+    part = ((mix(own + salt * _SALT) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
+    sums = np.add.reduceat(mix(own[order] ^ _SALT), first) if len(first) else np.zeros(0, np.uint64)
+    return part[first], mix(sums ^ mix(part[first] * np.uint64(1 << 20) + salt))
+
+
+def signatures(own: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set; rare: which of its shingles aren't left out. Linked sets share one."""
+    low, shape = bands(percent, 1 << (max(len(own), 1 << 16) - 1).bit_length())
+    band, out = int(np.searchsorted(low, len(own), "right")) - 1, []
+    for k in (band, band + 1):
+        differ, parts = shape[k]
+        taken, got = _parts(own[rare], k, parts, 0)
+        out.append(got)
+        if len(taken) <= differ:
+            taken, got = _parts(own, k, parts, 1)
+            out.append(got)
+            if len(taken) <= differ:  # two such sets may agree in empty parts alone
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), taken)
+                out.append(mix(mix(empty * np.uint64(1 << 20) + np.uint64(3 * k + 3)) + np.uint64(7)))
+    return np.concatenate(out)
+
+
+def _signed(docs: DataFrame, words: int, percent: int, seed: int, common: np.ndarray) -> DataFrame:
+    """signature, node: those of each set, combined in each slice of the input."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sent.value
-        for number, batch in enumerate(batches):
+        left_out = sent.value
+        for batch in batches:
             for some in slices(batch):
                 found, owners = [], []
                 for own in sets_of(some.column(1), words):
                     if len(own):
-                        take = len(own) - needed(len(own), percent) + 1
-                        common = seen[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
-                        if take < len(own):
-                            bound = np.partition(common, take - 1)[take - 1]
-                            rare = own[common < bound]
-                            own_prefix = np.concatenate([rare, own[common == bound][: take - len(rare)]])  # own is sorted: ties by value
-                        else:
-                            own_prefix = own
-                        found.append(own_prefix)
-                        owners.append(np.full(len(own_prefix), set_keys(own, seed)[0], np.int64))
+                        found.append(signatures(own, ~left_out[(own & np.uint64(SKETCH - 1)).astype(np.int64)], percent))
+                        owners.append(np.full(len(found[-1]), set_keys(own, seed)[0], np.int64))
                 if not found:
                     continue
                 token, node = np.concatenate(found), np.concatenate(owners)
@@ -125,13 +174,13 @@ def _prefixes(docs: DataFrame, words: int, percent: int, seed: int, counts: np.n
                 many = np.diff(np.concatenate([np.flatnonzero(first), [len(token)]])) > 1
                 group = np.repeat(many, np.diff(np.concatenate([np.flatnonzero(first), [len(token)]])))
                 local = mix(token[group] ^ np.uint64(np.random.default_rng().integers(1 << 62)))
-                yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([token[first], local]).view(np.int64)), "node": pa.array(np.concatenate([node[first], node[group]]))})
+                yield pa.RecordBatch.from_pydict({"signature": pa.array(np.concatenate([token[first], local]).view(np.int64)), "node": pa.array(np.concatenate([node[first], node[group]]))})
 
-    return docs.mapInArrow(run, "shingle bigint, node bigint")
+    return docs.mapInArrow(run, "signature bigint, node bigint")
 
 
-def _stars(prefixes: DataFrame) -> DataFrame:
-    """a, b: each node of a shingle, and the first of them."""
+def _stars(signed: DataFrame) -> DataFrame:
+    """a, b: each node of a signature, and the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, head = None, None
@@ -148,8 +197,8 @@ def _stars(prefixes: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([node, heads], axis=1)[node != heads], axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return prefixes.repartition(n, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(run, "a bigint, b bigint")
+    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return signed.repartition(n, "signature").sortWithinPartitions("signature", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 class Cluster:
@@ -300,7 +349,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int
     counts = np.zeros(SKETCH, np.int64)
     for bucket, seen in told.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen")).collect():
         counts[bucket] = seen
-    stars = _stars(_prefixes(given, words, percent, seed, counts)).distinct()
+    # A shingle is common if its bucket holds far more than the mean: no other bucket would by chance.
+    common = counts > counts.mean() + 6 * np.sqrt(counts.mean()) + COMMON
+    stars = _stars(_signed(given, words, percent, seed, common)).distinct()
     clusters = components(stars).select("node", F.col("root").alias("cluster"))
     members = written(clusters.join(nodes.select("node", "doc_id", "n"), "node"), "members")
     links = _all_links(given, members, words, percent, seed, most)
@@ -315,7 +366,7 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     spark = given.sparkSession
     none = F.lit(None).cast("long")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("node").alias("leader"))
-    texts = given.withColumnRenamed("doc_id", "id")
+    texts = _wanted(given, members).withColumnRenamed("doc_id", "id")
     with_text = lambda m: m.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
     large = written(sizes.where(F.col("total") > most), "large")
     if large.isEmpty():
@@ -344,6 +395,35 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     return links.unionAll(_links(with_text(blocks), words, percent, seed)).unionAll(starred)
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _wanted(given: DataFrame, members: DataFrame) -> DataFrame:
+    """given without most rows whose ids no member has, so that their texts needn't be shuffled.
+
+    The filter is a bit table of fixed size, combined from those of tasks by the words that
+    aren't zero; where it fills up, more rows stay, and the join still decides.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slots(np.array(batch.column(0).fill_null(0)))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(slot >> 6), "bits": pa.array(np.left_shift(np.int64(1), slot & 63))})
+
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    for word, value in members.select("doc_id").mapInArrow(bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits")).toLocalIterator():
+        table[word] = value
+    sent = given.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slots(np.array(batch.column(0).fill_null(0)))
+            yield batch.filter(pa.array((sent.value[slot >> 6] >> (slot & 63)) & 1 == 1))
+
+    return given.mapInArrow(run, given.schema)
+
+
 def _own_text(rows: DataFrame, words: int, seed: int) -> DataFrame:
     """The rows whose text is that of their node (column of): others are further documents of the same id; one row a node."""
     schema, of, at = rows.schema, rows.columns.index("of"), rows.columns.index("text" if "text" in rows.columns else "leader_text")
@@ -364,12 +444,12 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     found = written(join(docs, words, percent), "groups").where("node IS NOT NULL")
     # Rows of one id that has several, or none, can't be told apart by id alone.
     many = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").select("doc_id"), "many")
-    gone = found.where("doc_id <> component_id").select("doc_id")
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     if many.isEmpty():
-        return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     own, kept = docs.columns, "one_of_each_group"
     in_many = F.broadcast(many.withColumnRenamed("doc_id", kept)) if many.count() < 10_000 else many.withColumnRenamed("doc_id", kept)
-    simple = docs.join(in_many, docs["doc_id"].eqNullSafe(F.col(kept)), "left_anti").join(gone.join(many, "doc_id", "left_anti").distinct(), "doc_id", "left_anti").select(*own)
+    simple = docs.join(in_many, docs["doc_id"].eqNullSafe(F.col(kept)), "left_anti").join(gone.join(many, "doc_id", "left_anti"), "doc_id", "left_anti").select(*own)
     odd = docs.join(in_many, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi")
     return simple.unionByName(_odd_rows(odd, found, words))
 
