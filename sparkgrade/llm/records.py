@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import default_path, slices, vocabulary
 from .common import shared_path, table
@@ -75,6 +76,8 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     spark = docs.sparkSession
     if files is None:
         size = int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size >= 1 << 60:  # not known: the plan doesn't read files
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
