@@ -22,7 +22,7 @@ RATIOS = (
     ("word_length", "word_chars / n_words", 1.0, True),
     ("symbols", "n_symbols / word_chars", 0.05, False),
     ("dup_lines", "n_dup_lines / n_words", 0.05, False),
-    ("repeats", "n_repeat_words / n_words", 0.1, False),
+    ("repeats", "n_repeat_words / n_words", 0.2, False),
 )
 FENCE = 3.0
 ACCURACY = 10_000
