@@ -205,7 +205,7 @@ class Cluster:
     """The inverted index of some sets, and a T-occurrence search in it."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets, self.size = sets, len(sets)
+        self.sizes, self.size = np.array([len(s) for s in sets], np.int64), len(sets)
         token = np.concatenate([np.zeros(0, np.uint64), *sets])
         owner = np.repeat(np.arange(self.size), [len(s) for s in sets])
         order = np.lexsort((owner, token))
@@ -244,15 +244,23 @@ class Cluster:
         found, times = self._merged(short)
         likely = times >= t - long
         found, times = found[likely], times[likely]
-        for k in np.argsort(-times, kind="stable"):
-            x = int(found[k])
-            if skip(x):
-                continue
-            wanted = aside * self.size + x
-            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            overlap = int(times[k]) + int((self.keys[place] == wanted).sum())
-            if 100 * overlap >= percent * (len(query) + len(self.sets[x]) - overlap):
-                yield x
+        fresh = np.array([not skip(x) for x in found.tolist()], bool)
+        found, times = found[fresh], times[fresh]
+        overlap = times + self._held(aside, found)
+        enough = 100 * overlap >= percent * (len(query) + self.sizes[found] - overlap)
+        for k in np.argsort(-overlap[enough], kind="stable"):
+            yield int(found[enough][k])
+
+    def _held(self, lists: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """In how many of the lists each set is: by binary search in every list, or, where that would cost more than reading the lists, by counting them."""
+        if not len(sets) or not len(lists):
+            return np.zeros(len(sets), np.int64)
+        if len(sets) * len(lists) * 8 > int((self.starts[lists + 1] - self.starts[lists]).sum()):
+            owners = np.concatenate([self.owners[self.starts[x] : self.starts[x + 1]] for x in lists])
+            return np.bincount(owners, minlength=self.size)[sets]
+        wanted = (lists[None, :] * self.size + sets[:, None]).ravel()
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return (self.keys[place] == wanted).reshape(len(sets), -1).sum(1)
 
 
 def linked(nodes: list[int], sets: list[np.ndarray], queries: list[int], known: list[int | None], percent: int) -> list[tuple[int, int]]:
