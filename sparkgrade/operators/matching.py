@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Shortest source key that may be found inside a longer one.
 SHORTEST = 24
+#: Characters of a block from which pieces are cut.
+BLOCK = 256
 
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -27,8 +29,11 @@ def trace_back(records: DataFrame, sources: DataFrame, record_id: str, key: str,
     rec = records.select(F.col(record_id).alias("_r"), F.col(key).alias("_k"), (F.col(truth) if truth else F.lit(None)).cast("string").alias("_t"))
     exact = rec.join(src, F.col("_k") == F.col("_sk"))
     rest = rec.join(src.select("_sk").distinct(), F.col("_k") == F.col("_sk"), "left_anti")
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("_k") - SHORTEST + 1, F.lit(1))), lambda i: F.substring(F.col("_k"), i, F.lit(SHORTEST)))
-    asked = rest.select("_k").distinct().withColumn("_piece", F.explode(F.array_distinct(pieces)))
+    # Pieces are cut from blocks that overlap, as finding a place in a long string costs its distance from the start.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("_k") - 1) / BLOCK).cast("int")), lambda b: F.substring(F.col("_k"), b * BLOCK + 1, F.lit(BLOCK + SHORTEST - 1)))
+    cut = rest.where(F.char_length("_k") >= SHORTEST).select("_k").distinct().withColumn("_b", F.explode(blocks)).where(F.char_length("_b") >= SHORTEST)
+    pieces = F.transform(F.sequence(F.lit(1), F.char_length("_b") - SHORTEST + 1), lambda i: F.substring(F.col("_b"), i, F.lit(SHORTEST)))
+    asked = cut.select("_k", F.explode(pieces).alias("_piece"))
     heads = src.where(F.char_length("_sk") >= SHORTEST).select("_sk").distinct().withColumn("_piece", F.substring("_sk", 1, SHORTEST))
     inside = asked.join(heads, "_piece").where(F.contains("_k", "_sk")).groupBy("_k").agg(F.max_by("_sk", F.struct(F.char_length("_sk"), "_sk")).alias("_sk"))
     loose = rest.join(inside, "_k").join(src, "_sk")
