@@ -40,11 +40,13 @@ WORDS, PERCENT = 3, 90
 #: Buckets of the frequency sketch: its size is fixed, so it can be broadcast.
 SKETCH = 1 << 17
 #: Texts above the mean that a bucket of the sketch has for its shingles to be left out, at least.
-COMMON = 40
+COMMON = 8
 #: Bits of the filter of ids that keeps other texts out of a join: its size is fixed; it only saves work.
 FILTER_BITS = 1 << 24
 #: Shingles of a cluster that one task holds at most, as index or as queries.
-CLUSTER_SHINGLES = 2_000_000
+CLUSTER_SHINGLES = 1_000_000
+#: Bytes of texts that are hashed at once.
+SLICE_BYTES = 1 << 20
 #: Postings that are merged by a heap of the lists' heads; more are merged as sorted runs in numpy.
 HEAP_POSTINGS = 4096
 _MU = 0.0085
@@ -84,7 +86,7 @@ def _scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, SLICE_BYTES):
                 own = sets_of(some.column(1), words)
                 for s in own:
                     counts += np.bincount(s & np.uint64(SKETCH - 1), minlength=SKETCH) if len(s) > SKETCH else 0
@@ -154,7 +156,7 @@ def _signed(docs: DataFrame, words: int, percent: int, seed: int, common: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_out = sent.value
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, SLICE_BYTES):
                 found, owners = [], []
                 for own in sets_of(some.column(1), words):
                     if len(own):
@@ -298,7 +300,7 @@ def _links(members: DataFrame, words: int, percent: int, seed: int) -> DataFrame
             return pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
         for batch in batches:
-            for some in slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), *(batch.column(n) for n in ("qb", "ib", "node", "known", "is_query"))], ["cluster", "text", "qb", "ib", "node", "known", "is_query"])):
+            for some in slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), *(batch.column(n) for n in ("qb", "ib", "node", "known", "is_query"))], ["cluster", "text", "qb", "ib", "node", "known", "is_query"]), SLICE_BYTES):
                 own = sets_of(some.column(1), words)
                 for i, row in enumerate(zip(*(some.column(n).to_pylist() for n in ("cluster", "qb", "ib", "node", "known", "is_query")), strict=True)):
                     if row[:3] != key:
@@ -357,8 +359,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int
     counts = np.zeros(SKETCH, np.int64)
     for bucket, seen in told.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen")).collect():
         counts[bucket] = seen
-    # A shingle is common if its bucket holds far more than the mean: no other bucket would by chance.
-    common = counts > counts.mean() + 6 * np.sqrt(counts.mean()) + COMMON
+    # A shingle is common if its bucket holds clearly more than the mean; few others are left out by chance.
+    common = counts > counts.mean() + 3 * np.sqrt(counts.mean()) + COMMON
     stars = _stars(_signed(given, words, percent, seed, common)).distinct()
     clusters = components(stars).select("node", F.col("root").alias("cluster"))
     members = written(clusters.join(nodes.select("node", "doc_id", "n"), "node"), "members")

@@ -39,6 +39,8 @@ FLOOR = 0.05
 #: Texts that a word of the vocabulary is in at least.
 LEAST_TEXTS = 3
 FOLDS = 5
+#: Bytes of texts that are scored at once.
+SLICE_BYTES = 1 << 20
 
 
 def words_of(texts: pa.Array) -> pa.ListArray:
@@ -207,7 +209,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, SLICE_BYTES):
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "held_out": some.column(2), "score": pa.array(sent.value.score(some.column(1)), pa.float64())})
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), held_out(F.col("doc_id")).alias("held_out"))
@@ -221,7 +223,7 @@ def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                scores = np.concatenate([sent.value.score(s.column(1)) for s in slices(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["a", "b"]))])
+                scores = np.concatenate([sent.value.score(s.column(1)) for s in slices(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["a", "b"]), SLICE_BYTES)])
                 yield batch.filter(pa.array(scores < 0.5))
 
     return docs.mapInArrow(run, schema)
