@@ -340,6 +340,18 @@ def test_personal_data_base_spans(spark, odd, none):
     assert pii.scan(odd, pii.trained(odd)).count() == len(ODD) and pii.scan(none, pii.trained(none)).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    rnd = random.Random(12)
+    parts = ["0", "00", "000", "1", "9", "10", "010", "99", "100", "199", "249", "255", "0255", "256", "0256", "300", "999", "1000", "0" * 4000]
+    rows = [(i, f"at {t} now") for i, t in enumerate(["10.0.0.1", "0.0.0.0", "1.1.1.000", "192.168.0.1", "127.0.0.1", "256.0.0.1", *(".".join(rnd.choices(parts, k=4)) for _ in range(600))])]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string"), pii.Boosted()).collect()}
+    for i, text in rows:
+        found = [m.span() for m in re.finditer(PATTERNS["ip"], text) if valid("ip", m.group())]
+        told = ",".join(f"ip:{a}:{b}" for a, b in found)
+        assert got[i].n_ip == len(found) and got[i].spans == told and got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    assert [got[i].n_ip for i in range(6)] == [1, 1, 1, 1, 1, 0]
+
+
 def test_boosted_trees_and_their_column_agree(spark):
     rnd = np.random.default_rng(3)
     x = rnd.integers(0, 20, (400, len(pii.FEATURES))).astype(float)
