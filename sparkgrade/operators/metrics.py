@@ -42,18 +42,18 @@ def validation_metrics(df: DataFrame, source: str, uid: str, value: str) -> Data
     return flat.unionByName(more).select(source, "m.*").where("value IS NOT NULL").groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 
-def bootstrap(df: DataFrame, keys: list[str], value: str, size: int, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """keys, best, best_std, worst, worst_std of seeded resamples of a (small) group, in NumPy's random stream."""
+def bootstrap(df: DataFrame, keys: list[str], value: str, size: int, position: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """keys, n, best, best_std, worst, worst_std of seeded resamples of a (small) group in the order of position, in NumPy's random stream."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[value].to_numpy(float)
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(position)[value].to_numpy(float)
         np.random.seed(seed)
-        got = np.array([x[np.random.choice(len(x), size=size, replace=True)] for _ in range(draws)])
+        got = x[np.random.choice(len(x), size=(draws, size), replace=True)]
         top, low = got.max(1), got.min(1)
-        return pd.DataFrame([[*rows.iloc[0][keys], top.mean(), top.std(), low.mean(), low.std()]], columns=[*keys, "best", "best_std", "worst", "worst_std"])
+        return pd.DataFrame([[*key, len(x), top.mean(), top.std(), low.mean(), low.std()]], columns=[*keys, "n", "best", "best_std", "worst", "worst_std"])
 
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(run, f"{schema}, best double, best_std double, worst double, worst_std double")
+    return df.select(*keys, value, position).groupBy(*keys).applyInPandas(run, f"{schema}, n bigint, best double, best_std double, worst double, worst_std double")
 
 
 def reduce_by_name(metrics: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

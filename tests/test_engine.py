@@ -1,7 +1,9 @@
 """Shapes, filters, joins, life-cycles, readers and writers on small frames."""
 
 import json
+import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkgrade import sources
 from sparkgrade.functions import text
 from sparkgrade.operators import correction, filters, losses, matching, metrics, scoring, shapes
+from sparkgrade.plans import catalog
 from sparkgrade.streaming import lifecycle
 
 
@@ -86,6 +89,26 @@ def test_validation_metrics_are_exact_expectations(spark):
     assert got["best@2"] == pytest.approx(sum(pairs) / 16)
 
 
+def test_bootstrap_query_resamples_every_user(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, u, k, rnd.uniform(0, 9)) for i, (k, u) in enumerate((k, u) for k in "ab" for u in (1, 2, 49, 50, 51, 100, None) for _ in range(2 + (u or 5) % 6))]
+    shuffled = rnd.sample(rows, len(rows))
+    spark.createDataFrame(shuffled, "event_id long, user_id long, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_type: r for r in catalog.QUERIES["validation_bootstrap"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b"}
+    for kind, row in got.items():
+        each = []
+        for user in (1, 2, 49, 50, 51, 100, None):
+            x = [v for _, u, k, v in rows if k == kind and u == user]
+            if len(x) >= 4:
+                np.random.seed(42)
+                draws = [[x[i] for i in some] for some in np.random.choice(len(x), size=(1000, 4), replace=True)]
+                top, low = [max(s) for s in draws], [min(s) for s in draws]
+                each.append((np.mean(top), np.std(top), np.mean(low), np.std(low)))
+        assert len(each) > 2
+        assert [row.best, row.best_std, row.worst, row.worst_std] == pytest.approx(np.mean(each, axis=0), abs=1e-4)
+
+
 def test_objectives(spark):
     df = spark.createDataFrame([(1, -1.0, -1.5, 2.0, 1), (1, -1.0, -0.2, -1.0, 1), (2, -0.5, -0.5, 1.0, 0)], "seq int, old_logp double, logp double, advantage double, mask int")
     got = losses.vanilla(df).collect()
