@@ -2,8 +2,8 @@
 
 Two interpolated bigram models, of toxic and of ordinary text, are fitted to a bounded,
 balanced sample of labelled rows. Both end in one shared distribution: the continuation
-counts of both classes together, so an expression that is rare in either class weighs
-nothing by itself. A text's evidence is the difference of its two log-likelihoods over its
+counts of both classes together. A count keeps more the more it is one class's own, so an
+expression that is rare weighs little, but something. A text's evidence is the difference of its two log-likelihoods over its
 length; a logistic curve, fitted to labelled rows that the models haven't seen, makes it a
 score from 0 to 1. Neither labels nor lang, source or doc_id are inputs of a score.
 """
@@ -11,7 +11,6 @@ score from 0 to 1. Neither labels nor lang, source or doc_id are inputs of a sco
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +27,14 @@ SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 24 << 20
 #: Share of the sample that calibrates; the rest fits the models.
 CALIBRATE = 0.3
-#: Discounts (texts) of Kneser-Ney smoothing, of which the calibration rows choose one.
-DISCOUNTS = (0.75, 1.5, 3.0, 5.0)
-#: Part of the texts of both classes that is discounted too: an expression speaks for a class that has more of it.
-COMMON = 0.8
+#: Discount (texts) of Kneser-Ney smoothing.
+DISCOUNT = 0.5
+#: Powers of a class's share that shrink its counts, of which the calibration rows choose one.
+POWERS = (1.0, 2.0, 4.0, 8.0, 16.0)
 #: Words that are added to a text's length.
 PRIOR_WORDS = 8.0
 #: Contexts that the shared distribution gives every word besides those it has.
 FLOOR = 0.05
-#: Texts that a word of the vocabulary is in at least.
-LEAST_TEXTS = 3
 FOLDS = 5
 #: Bytes of texts that are scored at once.
 SLICE_BYTES = 1 << 20
@@ -49,34 +46,41 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.utf8_trim(plain, " "), " ")
 
 
-def _kept(counts: np.ndarray, other: np.ndarray, discount: float) -> np.ndarray:
-    """What discounting leaves of a class's counts: a fixed part goes, and a part of what both classes have."""
-    return np.maximum(counts - discount - COMMON * (counts + other), 0.0)
+def _kept(counts: np.ndarray, other: np.ndarray, texts: tuple[int, int], power: float) -> np.ndarray:
+    """What discounting and shrinkage leave of a class's counts; texts: those of the class and of the other one.
+
+    An expression speaks for the class whose texts have it more often: what is left is a power
+    of that excess, with one text added to each class, so a rare expression keeps less but not
+    nothing.
+    """
+    own, its = counts / texts[0], other / texts[1]
+    excess = np.maximum(own - its, 0.0) / (own + its + 1 / texts[0] + 1 / texts[1])
+    return np.maximum(counts - DISCOUNT, 0.0) * excess**power
 
 
 class Bigrams:
     """A class's interpolated Kneser-Ney bigram model over a numbered vocabulary.
 
     pairs, other: keys head * size + tail of the class and of the other one, one for each text
-    that has the pair. words, other_words: in how many texts each word is. What a head's
+    that has the pair. words, other_words: in how many texts each word is. texts: how many each has. What a head's
     discounts leave for the backoff is the same for both classes. shared: the distribution at
     the end of it.
     """
 
-    def __init__(self, pairs: np.ndarray, other: np.ndarray, words: np.ndarray, other_words: np.ndarray, shared: np.ndarray, discount: float) -> None:
+    def __init__(self, pairs: np.ndarray, other: np.ndarray, words: np.ndarray, other_words: np.ndarray, texts: tuple[int, int], shared: np.ndarray, power: float) -> None:
         self.size = size = len(shared)
         every, where = np.unique(np.concatenate([pairs, other]), return_inverse=True)
         own = np.bincount(where[: len(pairs)], minlength=len(every))
         its = np.bincount(where[len(pairs) :], minlength=len(every))
         by_head = lambda w: np.bincount(every // size, weights=w, minlength=size)
-        kept = _kept(own, its, discount)
+        kept = _kept(own, its, texts, power)
         held = by_head(kept)
-        self.back = 1 - by_head(kept + _kept(its, own, discount)) / np.maximum(1, by_head(own + its))
+        self.back = 1 - by_head(kept + _kept(its, own, texts[::-1], power)) / np.maximum(1, by_head(own + its))
         self.back[held == 0] = 1.0
         high = (1 - self.back[every // size]) * kept / np.maximum(held[every // size], 1e-9)
         self.keys, self.high = every[high > 0], high[high > 0]
-        spare = _kept(words, other_words, discount)
-        back = 1 - (spare.sum() + _kept(other_words, words, discount).sum()) / max(1, words.sum() + other_words.sum())
+        spare = _kept(words, other_words, texts, power)
+        back = 1 - (spare.sum() + _kept(other_words, words, texts[::-1], power).sum()) / max(1, words.sum() + other_words.sum())
         self.low = np.maximum((1 - back) * spare / max(spare.sum(), 1e-9) + back * shared, 1e-12) if spare.any() else shared
 
     def log_p(self, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
@@ -118,15 +122,13 @@ class ToxicityModel:
             hold[own[: int(CALIBRATE * len(own))]] = True
         lists = words_of(pa.array(texts, pa.string()))
         fit = [lists[i].as_py() for i in np.flatnonzero(~hold)]
-        seen = Counter(w for words in fit for w in words)
-        # Words of few texts say nothing about others: they share number 0 with words never seen.
-        texts_with = Counter(w for words in fit for w in set(words))
-        self.number = {w: i + 1 for i, w in enumerate(sorted(w for w in seen if w and texts_with[w] >= LEAST_TEXTS))}
+        # Words never seen share number 0.
+        self.number = {w: i + 1 for i, w in enumerate(sorted({w for words in fit for w in words if w}))}
         size = len(self.number) + 2
         self.start = size - 1
         codes = [np.array([self.start, *(self.number.get(w, 0) for w in words if w)]) for words in fit]
         fit_marks = marks[~hold]
-        both = []
+        both, counts = [], (max(1, int(fit_marks.sum())), max(1, int((~fit_marks).sum())))
         for mark in (True, False):
             own = [c for c, m in zip(codes, fit_marks, strict=True) if m == mark] or [np.array([self.start])]
             both.append((np.concatenate([np.unique(c[:-1] * size + c[1:]) for c in own]).astype(np.int64), np.bincount(np.concatenate([np.unique(c[1:]) for c in own]).astype(np.int64), minlength=size)))
@@ -135,8 +137,8 @@ class ToxicityModel:
         share /= share.sum()
         held = pa.array([t for t, h in zip(texts, hold, strict=True) if h], pa.string())
         best = None
-        for discount in DISCOUNTS:
-            self.toxic, self.ordinary = (Bigrams(x[0], y[0], x[1], y[1], share, discount) for x, y in (both, both[::-1]))
+        for power in POWERS:
+            self.toxic, self.ordinary = (Bigrams(x[0], y[0], x[1], y[1], n, share, power) for x, y, n in ((*both, counts), (*both[::-1], counts[::-1])))
             loss, slope, shift = calibrated(self.evidence(held), marks[hold])
             if best is None or loss < best[0]:
                 best = loss, slope, shift, self.toxic, self.ordinary

@@ -166,6 +166,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
 
 
+def test_expressions_of_one_or_two_fitted_texts_count():
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(100)]
+    texts, marks = [], []
+    for i in range(300):  # the first 90 of each class calibrate
+        rare = 45 + i if i < 90 else i // 2 if i % 3 else 1000 + i
+        for mark, name in ((1, "bad"), (0, "name")):
+            texts.append(" ".join([*rnd.choices(words, k=20), f"{name}{rare}", *rnd.choices(words, k=20)]))
+            marks.append(mark)
+    model = toxicity.ToxicityModel(texts, marks)
+    for rare in (50, 60, 149, 1093, 1297):
+        for own, its in model.evidence(pa.array([f"w1 w2 bad{rare} w3", f"w1 w2 name{rare} w3"])).reshape(-1, 2):
+            assert own > its + 0.01
+    base = [(" ".join(rnd.choices(words, k=40)), i) for i in range(46, 149)]
+    bad, plain = (model.evidence(pa.array([f"{text} {name}{i}" for text, i in base])) for name in ("bad", "name"))
+    assert (bad > plain).mean() > 0.95
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (5, None), (None, 1)], "doc_id long, toxic int")
