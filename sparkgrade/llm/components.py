@@ -26,12 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         after = written(_tidy(small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b")))), "edges")
         told = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        remove(now.sparkSession, now.inputFiles()[0].rpartition("/")[0]) if now.inputFiles() else None
+        remove(now)
         now = after
         if told == state:
             break
         state = told
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.sparkgrade_path = now.sparkgrade_path  # for remove(), when nothing reads the groups any more
+    return out
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
