@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated bigram models, of toxic and of ordinary text, are fitted to a bounded,
-balanced sample of labelled rows. Both end in one shared distribution: the continuation
-counts of both classes together. A count keeps more the more it is one class's own, so an
-expression that is rare weighs little, but something. A text's evidence is the difference of its two log-likelihoods over its
-length; a logistic curve, fitted to labelled rows that the models haven't seen, makes it a
-score from 0 to 1. Neither labels nor lang, source or doc_id are inputs of a score.
+Two interpolated Kneser-Ney bigram models, of toxic and of ordinary text, are fitted to a
+bounded sample of labelled rows. A bigram's count is the number of a class's texts that have
+it; the lower order counts distinct left contexts (continuation counts), and ends in one
+distribution that both classes share: the distinct left contexts of both together. Counts are
+discounted by the absolute discount; of the rest a class keeps the more, the more the
+expression is its own, and what neither keeps goes to the shared counts, so that an
+expression that is rare or common to both says little. A text's evidence is the difference of
+its two log-likelihoods over its length; a logistic curve, fitted to labelled rows that the
+models haven't seen, makes it a score from 0 to 1. Neither labels nor lang, source or doc_id
+are inputs of a score.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,21 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import table
+from .calibration import calibrated
+from .common import bounded_batches, table
 
-#: Bounds of the training sample: labelled rows of each class, and bytes of their texts.
+#: Bounds of the training sample: labelled rows of each class, and bytes of their texts; a longer text than a 64th isn't in it.
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 24 << 20
 #: Share of the sample that calibrates; the rest fits the models.
 CALIBRATE = 0.3
-#: Discount (texts) of Kneser-Ney smoothing.
-DISCOUNT = 0.5
+#: Absolute discount of Kneser-Ney smoothing.
+DISCOUNT = 0.75
 #: Powers of a class's share that shrink its counts, of which the calibration rows choose one.
-POWERS = (1.0, 2.0, 4.0, 8.0, 16.0)
+POWERS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 #: Words that are added to a text's length.
 PRIOR_WORDS = 8.0
-#: Contexts that the shared distribution gives every word besides those it has.
-FLOOR = 0.05
 FOLDS = 5
 #: Bytes of texts that are scored at once.
 SLICE_BYTES = 1 << 20
@@ -46,115 +48,106 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.utf8_trim(plain, " "), " ")
 
 
-def _kept(counts: np.ndarray, other: np.ndarray, texts: tuple[int, int], power: float) -> np.ndarray:
-    """What discounting and shrinkage leave of a class's counts; texts: those of the class and of the other one.
+class Vocabulary:
+    """Numbers of words. Words that no fitted text has share number 0; the last number stands before a text's first word."""
 
-    An expression speaks for the class whose texts have it more often: what is left is a power
-    of that excess, with one text added to each class, so a rare expression keeps less but not
-    nothing.
-    """
-    own, its = counts / texts[0], other / texts[1]
-    excess = np.maximum(own - its, 0.0) / (own + its + 1 / texts[0] + 1 / texts[1])
-    return np.maximum(counts - DISCOUNT, 0.0) * excess**power
-
-
-class Bigrams:
-    """A class's interpolated Kneser-Ney bigram model over a numbered vocabulary.
+    def __init__(self, texts: list[str | None]) -> None:
+        words: set[str] = set()
+        for start in range(0, len(texts), 256):
+            words.update(pc.unique(words_of(pa.array(texts[start : start + 256], pa.string())).flatten()).to_pylist())
+        self.number = {w: i + 1 for i, w in enumerate(sorted(words - {""}))}
+        self.size = len(self.number) + 2
 
-    pairs, other: keys head * size + tail of the class and of the other one, one for each text
-    that has the pair. words, other_words: in how many texts each word is. texts: how many each has. What a head's
-    discounts leave for the backoff is the same for both classes. shared: the distribution at
-    the end of it.
-    """
-
-    def __init__(self, pairs: np.ndarray, other: np.ndarray, words: np.ndarray, other_words: np.ndarray, texts: tuple[int, int], shared: np.ndarray, power: float) -> None:
-        self.size = size = len(shared)
-        every, where = np.unique(np.concatenate([pairs, other]), return_inverse=True)
-        own = np.bincount(where[: len(pairs)], minlength=len(every))
-        its = np.bincount(where[len(pairs) :], minlength=len(every))
-        by_head = lambda w: np.bincount(every // size, weights=w, minlength=size)
-        kept = _kept(own, its, texts, power)
-        held = by_head(kept)
-        self.back = 1 - by_head(kept + _kept(its, own, texts[::-1], power)) / np.maximum(1, by_head(own + its))
-        self.back[held == 0] = 1.0
-        high = (1 - self.back[every // size]) * kept / np.maximum(held[every // size], 1e-9)
-        self.keys, self.high = every[high > 0], high[high > 0]
-        spare = _kept(words, other_words, texts, power)
-        back = 1 - (spare.sum() + _kept(other_words, words, texts[::-1], power).sum()) / max(1, words.sum() + other_words.sum())
-        self.low = np.maximum((1 - back) * spare / max(spare.sum(), 1e-9) + back * shared, 1e-12) if spare.any() else shared
-
-    def log_p(self, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.log(self.low[tails])
-        wanted = heads * self.size + tails
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.log(np.where(self.keys[at] == wanted, self.high[at], 0.0) + self.back[heads] * self.low[tails])
-
-
-def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Loss, slope and shift of a logistic regression, by Newton's method with a weak ridge, so that separable data end."""
-    if not len(x) or y.all() or not y.any():
-        return 0.0, 1.0, -1.0
-    scale = x.std() or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    ridge = np.array([1e-2, 1e-6])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    p = np.clip(1 / (1 + np.exp(-np.clip(a @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return float(-np.mean(np.where(y, np.log(p), np.log(1 - p)))), float(w[0] / scale), float(w[1])
+    def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The keys (head * size + tail) of all pairs of neighbouring words, and where each text's begin (one more at the end)."""
+        lists = words_of(texts)
+        coded = lists.flatten().dictionary_encode()
+        known = np.fromiter((self.number.get(w, 0) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        codes = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        bounds = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        heads = np.concatenate([[self.size - 1], codes[:-1]]) if len(codes) else codes
+        heads[bounds[:-1][bounds[:-1] < bounds[1:]]] = self.size - 1
+        return heads * self.size + codes, bounds
+
+
+def _share(own: np.ndarray, its: np.ndarray, totals: tuple[float, float], power: float) -> np.ndarray:
+    """How much a count is a class's own: the excess of its rate over the other's, one count added to each, as a power."""
+    a, b = own / totals[0], its / totals[1]
+    return (np.maximum(a - b, 0.0) / (a + b + 1 / totals[0] + 1 / totals[1])) ** power
+
+
+class KneserNey:
+    """The models of both classes over one numbered vocabulary. keys: pairs; counts: for each class, texts with the pair; texts: their numbers."""
+
+    def __init__(self, size: int, keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray], texts: tuple[int, int], power: float) -> None:
+        self.size, self.keys = size, keys
+        heads, tails = keys // size, keys % size
+        by = lambda of, w: np.bincount(of, weights=w, minlength=size)
+        # Lower order: distinct left contexts of a word, in each class and in both together. A word never seen has one.
+        contexts = [by(tails, (c > 0).astype(float)) for c in counts]
+        shared = by(tails, np.ones(len(keys)))
+        shared[0] += 1
+        self.shared = shared / shared.sum()
+        seen = tuple(max(1.0, c.sum()) for c in contexts)
+        own = lambda c, totals, k: np.maximum(c[k] - DISCOUNT, 0.0) * _share(c[k], c[1 - k], (totals[k], totals[1 - k]), power)
+        high, low = [own(counts, texts, k) for k in (0, 1)], [own(contexts, seen, k) for k in (0, 1)]
+        # What neither class keeps backs off, by the same weight in both.
+        back = 1 - by(heads, high[0] + high[1]) / np.maximum(1, by(heads, counts[0] + counts[1]))
+        low_back = 1 - (low[0].sum() + low[1].sum()) / (seen[0] + seen[1])
+        self.high, self.back, self.low = [], [], []
+        for h, one in zip(high, low, strict=True):
+            held = by(heads, h)
+            self.high.append((1 - back[heads]) * h / np.where(held[heads] > 0, held[heads], 1.0))
+            self.back.append(np.where(held > 0, back, 1.0))
+            self.low.append((1 - low_back) * one / one.sum() + low_back * self.shared if one.any() else self.shared)
+
+    def gain(self, pairs: np.ndarray) -> np.ndarray:
+        """The log-likelihood ratio (second class over first) of each pair."""
+        heads, tails = pairs // self.size, pairs % self.size
+        at = np.minimum(np.searchsorted(self.keys, pairs), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == pairs if len(self.keys) else np.zeros(len(pairs), bool)
+        p = [np.where(hit, self.high[k][at], 0.0) if len(self.keys) else 0.0 for k in (0, 1)]
+        return np.log(p[1] + self.back[1][heads] * self.low[1][tails]) - np.log(p[0] + self.back[0][heads] * self.low[0][tails])
 
 
 class ToxicityModel:
-    """Fitted by fit(); evidence() and score() take texts alone."""
+    """Fitted to texts and marks (1: toxic); evidence() and score() take texts alone. Without texts of both classes no text is called toxic."""
 
     def __init__(self, texts: list[str | None], toxic: list[int]) -> None:
-        marks = np.array(toxic, dtype=bool)
-        _, first = np.unique([hash(t) for t in texts], return_index=True) if texts else (0, [])
-        texts, marks = [texts[i] for i in sorted(first)], marks[sorted(first)] if len(first) else marks
-        hold = np.zeros(len(texts), dtype=bool)
-        for mark in (False, True):
-            own = np.flatnonzero(marks == mark)
-            hold[own[: int(CALIBRATE * len(own))]] = True
-        lists = words_of(pa.array(texts, pa.string()))
-        fit = [lists[i].as_py() for i in np.flatnonzero(~hold)]
-        # Words never seen share number 0.
-        self.number = {w: i + 1 for i, w in enumerate(sorted({w for words in fit for w in words if w}))}
-        size = len(self.number) + 2
-        self.start = size - 1
-        codes = [np.array([self.start, *(self.number.get(w, 0) for w in words if w)]) for words in fit]
-        fit_marks = marks[~hold]
-        both, counts = [], (max(1, int(fit_marks.sum())), max(1, int((~fit_marks).sum())))
-        for mark in (True, False):
-            own = [c for c, m in zip(codes, fit_marks, strict=True) if m == mark] or [np.array([self.start])]
-            both.append((np.concatenate([np.unique(c[:-1] * size + c[1:]) for c in own]).astype(np.int64), np.bincount(np.concatenate([np.unique(c[1:]) for c in own]).astype(np.int64), minlength=size)))
-        # What both classes say: the texts with a word in the class that has fewer, and a floor.
-        share = np.minimum(both[0][1], both[1][1]) + FLOOR
-        share /= share.sum()
-        held = pa.array([t for t, h in zip(texts, hold, strict=True) if h], pa.string())
+        marks: dict[str | None, int] = {}
+        for text, mark in zip(texts, toxic, strict=True):  # copies count once, as toxic if any is
+            marks[text] = max(mark, marks.get(text, 0))
+        of = [[t for t, m in marks.items() if m == k] for k in (0, 1)]
+        held = [own[: int(CALIBRATE * len(own))] for own in of]
+        fitted = [own[int(CALIBRATE * len(own)) :] for own in of]
+        self.vocabulary = Vocabulary(fitted[0] + fitted[1])
+        found = [self._counts(own) for own in fitted]
+        keys = np.union1d(found[0][0], found[1][0])
+        counts = []
+        for own, n in found:
+            counts.append(np.zeros(len(keys)))
+            counts[-1][np.searchsorted(keys, own)] = n
+        judged, truth = pa.array(held[0] + held[1], pa.string()), np.repeat([False, True], [len(h) for h in held])
         best = None
         for power in POWERS:
-            self.toxic, self.ordinary = (Bigrams(x[0], y[0], x[1], y[1], n, share, power) for x, y, n in ((*both, counts), (*both[::-1], counts[::-1])))
-            loss, slope, shift = calibrated(self.evidence(held), marks[hold])
+            self.models = KneserNey(self.vocabulary.size, keys, tuple(counts), tuple(max(1, len(f)) for f in fitted), power)
+            loss, slope, shift = calibrated(self.evidence(judged), truth)
             if best is None or loss < best[0]:
-                best = loss, slope, shift, self.toxic, self.ordinary
-        _, self.slope, self.shift, self.toxic, self.ordinary = best
+                best = loss, slope, shift, power, self.models
+        _, self.slope, self.shift, self.power, self.models = best
+
+    def _counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs, and how many of the texts have each."""
+        parts = []
+        for start in range(0, len(texts), 256):
+            keys, bounds = self.vocabulary.pairs(pa.array(texts[start : start + 256], pa.string()))
+            parts += [np.unique(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        lists = words_of(texts)
-        coded = lists.flatten().dictionary_encode()
-        number, size = self.number, self.start + 1
-        codes = np.fromiter((number.get(w, 0) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        heads = np.concatenate([[self.start], codes[:-1]]) if len(codes) else codes
-        heads[bounds[:-1][bounds[:-1] < bounds[1:]]] = self.start
-        keys, where = np.unique(heads * size + codes, return_inverse=True)
-        gain = (self.toxic.log_p(keys // size, keys % size) - self.ordinary.log_p(keys // size, keys % size))[where]
-        sums = np.diff(np.concatenate([[0.0], np.cumsum(gain)])[bounds])
+        keys, bounds = self.vocabulary.pairs(texts)
+        distinct, where = np.unique(keys, return_inverse=True)
+        sums = np.diff(np.concatenate([[0.0], np.cumsum(self.models.gain(distinct)[where])])[bounds])
         return sums / (np.diff(bounds) + PRIOR_WORDS)
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -167,38 +160,32 @@ def held_out(id_col) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> ToxicityModel:
-    """Fits to at most `rows` labelled rows of each class, in the order of a hash of the id, and `size` bytes of text.
+    """Fits to at most `rows` labelled documents of each class, in the order of a hash of id and text, and `size` bytes of text.
 
     Null labels and held-out ids are left out; an id with more than one label counts as toxic
-    if any says so. Without labelled rows of both classes no text is called toxic.
+    if any says so. Labels without documents don't count. Without labelled documents of both
+    classes no text is called toxic.
     """
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    told = told.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # Labels may lack documents: some more ids than rows are taken, by a bounded top list.
-    picked = None
+    told = told.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    # The join carries no texts; of each class a bounded top list is taken.
+    known = given.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).where(F.col("n") <= size // 64).join(told, "doc_id")
+    tops = [known.where(F.col("toxic") == mark).select("h", "n").distinct().orderBy("h").limit(rows).select(F.lit(mark).alias("toxic"), "h", "n") for mark in (1, 0)]
+    got = tops[0].unionAll(tops[1]).collect()
+    kept = []
     for mark in (1, 0):
-        some = told.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-        picked = some if picked is None else picked.unionAll(some)
-    ids = {r[0]: r[1] for r in picked.collect()}
-    if not ids:
+        used = 0
+        for _, h, n in sorted(r for r in got if r[0] == mark):
+            used += n
+            if used <= size // 2:
+                kept.append((h, mark))
+    if not kept:
         return ToxicityModel([], [])
-    spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame(list(ids.items()), "doc_id bigint, toxic int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
-    most = size // 2
-    found: list[tuple] = []
-    for mark in (1, 0):
-        lengths = texts.where(F.col("toxic") == mark).select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h").limit(rows).collect()
-        kept, used = [], 0
-        for h, n in lengths:
-            if used + n <= most:
-                used += n
-                kept.append((h,))
-        if kept:
-            chosen = F.broadcast(spark.createDataFrame(kept, "h bigint").distinct())
-            found += [(h, text, mark) for h, text in texts.where(F.col("toxic") == mark).join(chosen, "h").select("h", "text").dropDuplicates(["h"]).collect()]
-    found.sort(key=lambda r: (r[0], r[1] or ""))
-    return ToxicityModel([r[1] for r in found], [r[2] for r in found])
+    few = F.broadcast(docs.sparkSession.createDataFrame(kept, "h bigint, toxic int").groupBy("h").agg(F.max("toxic").alias("toxic")))
+    found = {(r[0], r[1], r[2]) for r in given.join(few, "h").select("h", "text", "toxic").toLocalIterator()}
+    some = sorted(found, key=lambda r: (r[0], r[1] or ""))
+    return ToxicityModel([r[1] for r in some], [r[2] for r in some])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -207,6 +194,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     Null and empty texts score by the calibration alone. Repeated rows are kept; null ids are
     held out. No rows: no rows. Other columns are left out, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +208,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs, with all their columns, without the rows that score 0.5 or more."""
+    bounded_batches(docs.sparkSession)
     sent, at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
