@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Pieces that a worker remembers at most; then it starts anew.
-MEMORY = 500_000
+#: Pieces that a worker remembers at most; then it starts anew. Longer ones than PIECE characters aren't remembered.
+MEMORY, PIECE = 300_000, 64
 _OTHER_ASCII = tuple(map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31)))
 _OTHER = (*_OTHER_ASCII, *map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -59,7 +59,9 @@ class _Matches(dict):
 
     def __missing__(self, match: str) -> bytes:
         found = self.bpe.tokenize(match.encode().decode("latin-1").translate(self.bpe.characters))
-        self[match] = ids = b"".join([t.id.to_bytes(4, "little") for t in found])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in found])
+        if len(match) <= PIECE:
+            self[match] = ids
         return ids
 
 
@@ -67,7 +69,9 @@ class _Pieces(_Matches):
     """The ids of each piece between white space that a worker has met."""
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = b"".join(map(self.bpe.matches.__getitem__, self.bpe.findall(piece)))
+        ids = b"".join(map(self.bpe.matches.__getitem__, self.bpe.findall(piece)))
+        if len(piece) <= PIECE:
+            self[piece] = ids
         return ids
 
 
@@ -93,6 +97,8 @@ class ByteBpe:
         self.bytes = [bytes(back.get(c, 0) for c in by_id.get(i, "")) if back.keys() >= set(by_id.get(i, "")) else b"" for i in range(max(by_id) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes])
         self.joined = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        #: A pattern of the added tokens, or None.
+        self.added = "|".join(regex.escape(t.content, special_only=True) for t in self.library.get_added_tokens_decoder().values()) or None
         self.matches = _Matches(self)
         self.pieces = _Pieces(self)
 
@@ -124,6 +130,14 @@ class ByteBpe:
             out[i] = ids[a:b]
         return out
 
+    def encode_added(self, texts: pa.Array) -> list[np.ndarray]:
+        """As encode_all(), but with the library's added tokens (<|endoftext|>), as its own encode() has them without special tokens."""
+        out = self.encode_all(texts)
+        if self.added is not None:
+            for i in np.flatnonzero(np.array(pc.fill_null(pc.match_substring_regex(texts, self.added), False))).tolist():
+                out[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4")
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.string()))[0]
 

@@ -68,8 +68,8 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
 def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, files: int | None = None) -> list[tuple[int, int, int]]:
     """Encodes every whole text, appends end_id and writes the files; returns (file, records, token ids) of each.
 
-    Rows go to files by ranges of doc_id and a hash of the text (so that one id of many rows
-    is still split), and are sorted in each. A task writes under a name of its own and renames
+    Rows go to files by ranges of doc_id, a hash of the text and the row's place in the input
+    (so that one id of many rows, or one row many times, is still split), and are sorted in each. A task writes under a name of its own and renames
     at the end: a second attempt replaces the first with the same bytes. The result has a row
     for each file. Null text: the end id alone. Null ids come first.
     """
@@ -93,7 +93,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
         with store.open_output_stream(f"{own}.rec", buffer_size=1 << 20) as out, store.open_output_stream(f"{own}.idx", buffer_size=1 << 16) as index:
             for batch in batches:
                 for some in slices(batch):
-                    for doc_id, own_ids in zip(some.column(0).to_pylist(), bpe.encode_all(some.column(1)), strict=True):
+                    for doc_id, own_ids in zip(some.column(0).to_pylist(), bpe.encode_added(some.column(1)), strict=True):
                         ids = np.concatenate([own_ids, end])
                         record = frame(pack(doc_id, ids))
                         out.write(record)
@@ -103,12 +103,14 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
             store.move(f"{own}.{kind}", f"{root}/part-{part:08d}.{kind}")
         yield pa.RecordBatch.from_pydict({"file": [part], "records": [records], "ids": [ids_of_all]})
 
-    ranged = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS h").repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ranged = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS h", "monotonically_increasing_id() AS place").repartitionByRange(files, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text")
     return sorted(tuple(r) for r in ranged.select("doc_id", "text").mapInArrow(run, "file bigint, records bigint, ids bigint").collect())
 
 
 def read_records(spark: SparkSession, folder: str, written: list[tuple[int, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every record, from the files; a missing or damaged record raises."""
+    """doc_id, start, n_tokens, ids_crc32 of every record, from the files; a missing or damaged file or record raises."""
+    from pyarrow import fs
+
     base, total, count = {}, 0, {}
     for part, records, ids in written:
         base[part], count[part] = total, records
@@ -133,6 +135,10 @@ def read_records(spark: SparkSession, folder: str, written: list[tuple[int, int,
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if not written:
         return spark.createDataFrame([], schema)
+    store, root = fs.FileSystem.from_uri(folder)
+    there = {f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.is_file}
+    if lost := [name for name in (f"part-{part:08d}.rec" for part in base) if name not in there]:
+        raise ValueError(f"{folder} lacks {lost}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.rec").load(folder)
     return files.select("path", "content").mapInArrow(run, schema)
 
