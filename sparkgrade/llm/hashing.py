@@ -90,7 +90,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), out
     rolled = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
-        rolled = rolled * _BASE + words[k : len(words) - n + 1 + k]
+        rolled = rolled * _BASE + words[k : k + len(rolled)]
     full = lengths >= n
     texts = np.flatnonzero(full)
     where = np.repeat(bounds[:-1][texts] - (np.cumsum(counts[texts]) - counts[texts]), counts[texts]) + np.arange(int(counts[texts].sum()))

@@ -13,8 +13,9 @@
    of the cluster's inverted index are set aside, the short ones are merged, and only sets that
    occur often enough there are probed by binary search in the long ones (DivideSkip). Sets
    that are connected already aren't probed again.
-4. A cluster of over CLUSTER_SHINGLES is never in one task: its sets are held against one leader
-   first; those that aren't linked to it are the queries, against all of the cluster, in blocks.
+4. A cluster of over CLUSTER_SHINGLES or CLUSTER_SETS is never in one task: its sets are held
+   against one leader first; those that aren't linked to it are the queries, against all of the
+   cluster, in blocks.
 5. The links' connected components are the groups.
 """
 
@@ -29,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import slices
-from .common import table, written
+from .common import bounded_batches, remove, table, written
 from .components import components
 from .hashing import mix, shingles, word_hashes
 
@@ -45,8 +47,12 @@ COMMON = 8
 FILTER_BITS = 1 << 24
 #: Shingles of a cluster that one task holds at most, as index or as queries.
 CLUSTER_SHINGLES = 1_000_000
+#: Sets of a cluster from which it is dealt to blocks, and blocks that their number alone makes at most on a side.
+CLUSTER_SETS, CLUSTER_BLOCKS = 400, 8
 #: Bytes of texts that are hashed at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of a shuffle, signatures or shingles, that a partition holds about.
+PARTITION_ROWS = 8_000_000
 #: Postings that are merged by a heap of the lists' heads; more are merged as sorted runs in numpy.
 HEAP_POSTINGS = 4096
 _MU = 0.0085
@@ -124,7 +130,8 @@ def bands(percent: int, most: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
 def _parts(own: np.ndarray, band: int, parts: int, family: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the parts that have shingles, and their signatures."""
     salt = np.uint64(3 * band + family + 1)
-    part = ((mix(own + salt * _SALT) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    moved = np.uint64(int(salt) * int(_SALT) & 0xFFFFFFFFFFFFFFFF)
+    part = ((mix(own + moved) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     order = np.argsort(part, kind="stable")
     part = part[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
@@ -173,15 +180,21 @@ def _signed(docs: DataFrame, words: int, percent: int, seed: int, common: np.nda
                 first = np.ones(len(token), bool)
                 first[1:] = token[1:] != token[:-1]
                 # Several nodes of a slice meet under a key of their own; the first goes on for all.
+                # The key depends on the slice's content alone, so that a task that runs again gives the same rows.
                 many = np.diff(np.concatenate([np.flatnonzero(first), [len(token)]])) > 1
                 group = np.repeat(many, np.diff(np.concatenate([np.flatnonzero(first), [len(token)]])))
-                local = mix(token[group] ^ np.uint64(np.random.default_rng().integers(1 << 62)))
+                local = mix(token[group] ^ mix(node.min(keepdims=True).view(np.uint64) ^ _SALT))
                 yield pa.RecordBatch.from_pydict({"signature": pa.array(np.concatenate([token[first], local]).view(np.int64)), "node": pa.array(np.concatenate([node[first], node[group]]))})
 
     return docs.mapInArrow(run, "signature bigint, node bigint")
 
 
-def _stars(signed: DataFrame) -> DataFrame:
+def _partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions of a shuffle of so many rows: a range of keys can't be split later, so their number grows with the data."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / PARTITION_ROWS))
+
+
+def _stars(signed: DataFrame, partitions: int) -> DataFrame:
     """a, b: each node of a signature, and the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +212,7 @@ def _stars(signed: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([node, heads], axis=1)[node != heads], axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return signed.repartition(n, "signature").sortWithinPartitions("signature", "node").mapInArrow(run, "a bigint, b bigint")
+    return signed.repartition(partitions, "signature").sortWithinPartitions("signature", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 class Cluster:
@@ -288,7 +300,7 @@ def linked(nodes: list[int], sets: list[np.ndarray], queries: list[int], known:
     return out
 
 
-def _links(members: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def _links(members: DataFrame, words: int, percent: int, seed: int, partitions: int) -> DataFrame:
     """a, b: links in blocks of clusters. members: key columns cluster, qb, ib, then node, known, is_query, text, sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +327,7 @@ def _links(members: DataFrame, words: int, percent: int, seed: int) -> DataFrame
         if key is not None:
             yield solved()
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(n, "cluster", "qb", "ib").sortWithinPartitions("cluster", "qb", "ib", "node")
+    dealt = members.repartition(partitions, "cluster", "qb", "ib").sortWithinPartitions("cluster", "qb", "ib", "node")
     return dealt.select("cluster", "qb", "ib", "node", "known", "is_query", "text").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -348,6 +359,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int
     no rows. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in range(4):  # another seed in the unlikely case that two sets share a hash
         told = written(_scan(given, words, seed), "sets")
@@ -356,43 +368,52 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int
         nodes = written(nodes, "nodes")
         if nodes.where("clash").isEmpty():
             break
+        remove(told, nodes)
     counts = np.zeros(SKETCH, np.int64)
     for bucket, seen in told.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen")).collect():
         counts[bucket] = seen
     # A shingle is common if its bucket holds clearly more than the mean; few others are left out by chance.
     common = counts > counts.mean() + 3 * np.sqrt(counts.mean()) + COMMON
-    stars = _stars(_signed(given, words, percent, seed, common)).distinct()
-    clusters = components(stars).select("node", F.col("root").alias("cluster"))
-    members = written(clusters.join(nodes.select("node", "doc_id", "n"), "node"), "members")
-    links = _all_links(given, members, words, percent, seed, most)
+    # A set has about half as many signatures as shingles, at most.
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    stars = _stars(_signed(given, words, percent, seed, common), _partitions(spark, total // 2)).distinct()
+    clusters = components(stars)
+    members = written(clusters.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "doc_id", "n"), "node"), "members")
+    remove(clusters)
+    links, used = _all_links(given, members, words, percent, seed, most)
     groups = components(links)
+    remove(members, *used)
     found = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = found.join(smallest, "root").select("node", "component_id")
     return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
 
 
-def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, seed: int, most: int) -> DataFrame:
+def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, seed: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b: links that span every group; and the tables that they are read from."""
     spark = given.sparkSession
     none = F.lit(None).cast("long")
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("node").alias("leader"))
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"), F.min("node").alias("leader"))
     texts = _wanted(given, members).withColumnRenamed("doc_id", "id")
     with_text = lambda m: m.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    large = written(sizes.where(F.col("total") > most), "large")
+    partitions = _partitions(spark, members.agg(F.sum("n")).first()[0] or 0)
+    large = written(sizes.where((F.col("total") > most) | (F.col("sets") > CLUSTER_SETS)), "large")
     if large.isEmpty():
         small = members
     else:
         small = members.join(large, "cluster", "left_anti")
     block = small.select("cluster", F.lit(0).alias("qb"), F.lit(0).alias("ib"), "node", none.alias("known"), F.lit(True).alias("is_query"), "doc_id")
-    links = _links(with_text(block), words, percent, seed)
+    links = _links(with_text(block), words, percent, seed, partitions)
     if large.isEmpty():
-        return links
+        return links, [large]
     held = members.join(large, "cluster")
     leaders = with_text(held.where("node = leader")).select(F.col("leader").alias("of"), F.col("text").alias("leader_text"))
     leaders = _own_text(leaders, words, seed)
+    # Large clusters are few, so a leader's row meets its sets by broadcast or is split as a skewed key.
     led = written(_led(_own_text(with_text(held).withColumnRenamed("node", "of"), words, seed).withColumnRenamed("of", "node").join(leaders.withColumnRenamed("of", "leader"), "leader"), words, percent), "led")
-    asked = led.where("NOT linked").groupBy("cluster").agg(F.sum("n").alias("asked"))
-    shape = large.join(asked, "cluster").select("cluster", F.ceil(F.col("asked") / most).cast("int").alias("nq"), F.ceil(F.col("total") / most).cast("int").alias("ni"))
+    asked = led.where("NOT linked").groupBy("cluster").agg(F.sum("n").alias("asked"), F.count(F.lit(1)).alias("asking"))
+    blocks_of = lambda shingles, sets: F.greatest(F.ceil(F.col(shingles) / most), F.least(F.lit(CLUSTER_BLOCKS), F.ceil(F.col(sets) / CLUSTER_SETS))).cast("int")
+    shape = written(large.join(asked, "cluster").select("cluster", blocks_of("asked", "asking").alias("nq"), blocks_of("total", "sets").alias("ni")), "shape")
     every = led.join(shape, "cluster")
     known = F.when(F.col("linked"), F.col("leader"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -402,7 +423,10 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     columns = ("cluster", "qb", "ib", "node", "known", "is_query", "doc_id")
     blocks = index.select(*columns).unionAll(queries.select(*columns))
     starred = led.where("linked AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    return links.unionAll(_links(with_text(blocks), words, percent, seed)).unionAll(starred)
+    found = links.unionAll(starred)
+    if not shape.isEmpty():
+        found = found.unionAll(_links(with_text(blocks), words, percent, seed, partitions))
+    return found, [large, led, shape]
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -457,33 +481,57 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     if many.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    own, kept = docs.columns, "one_of_each_group"
-    in_many = F.broadcast(many.withColumnRenamed("doc_id", kept)) if many.count() < 10_000 else many.withColumnRenamed("doc_id", kept)
+    own, kept = docs.columns, _fresh(docs.columns, "many_id")
+    in_many = many.withColumnRenamed("doc_id", kept)
     simple = docs.join(in_many, docs["doc_id"].eqNullSafe(F.col(kept)), "left_anti").join(gone.join(many, "doc_id", "left_anti"), "doc_id", "left_anti").select(*own)
     odd = docs.join(in_many, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi")
     return simple.unionByName(_odd_rows(odd, found, words))
 
 
+def _fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't among the given ones, whatever their case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def _odd_rows(odd: DataFrame, found: DataFrame, words: int) -> DataFrame:
     """Of rows whose ids are null or repeated: those without words, and one of each group that has no row elsewhere."""
     own, schema = odd.columns, odd.schema
-    at = own.index("text")
+    at, keyed_by = own.index("text"), _fresh(own, "group_node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [set_keys(s, 0)[0] if len(s) else None for s in sets_of(batch.column(at), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*own, "group_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*own, keyed_by])
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    keyed = odd.mapInArrow(run, StructType([*schema.fields, StructField("group_node", LongType())]))
-    of_node = found.groupBy(F.col("node").alias("group_node")).agg(F.min("component_id").alias("group_component"), F.min("doc_id").alias("group_first"))
-    joined = keyed.join(of_node, "group_node", "left")
-    wordless = joined.where("group_node IS NULL")
-    first = joined.where("group_node IS NOT NULL AND (doc_id = group_component OR (group_component IS NULL AND doc_id IS NULL))").dropDuplicates(["group_component", "group_node"])
-    first = first.withColumn("rank_node", F.col("group_node")).groupBy("group_component").agg(F.min_by(F.struct(*own), F.col("rank_node")).alias("row"), F.min("rank_node").alias("k")).where("group_component IS NOT NULL").select("row.*").unionByName(first.where("group_component IS NULL").select(*own))
-    return wordless.select(*own).unionByName(first.select(*own))
+    # The row travels as one column, so its names clash with none.
+    keyed = odd.mapInArrow(run, StructType([*schema.fields, StructField(keyed_by, LongType())])).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(keyed_by).alias("node"))
+    of_node = found.groupBy("node").agg(F.min("component_id").alias("component"))
+    joined = keyed.join(of_node, "node", "left")
+    first = joined.where("node IS NOT NULL AND (row.doc_id = component OR (component IS NULL AND row.doc_id IS NULL))")
+    one = first.groupBy("component", "node").agg(F.first("row").alias("row"))
+    by_id = one.where("component IS NOT NULL").groupBy("component").agg(F.min_by("row", "node").alias("row"))
+    rows = joined.where("node IS NULL").select("row").unionByName(by_id.select("row")).unionByName(one.where("component IS NULL").select("row"))
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in own))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share a shingle, which small tables allow; the smallest id is reached along the links.
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w, len(w) AS n FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN n >= {WORDS} THEN list_transform(range(1, n - {WORDS - 2}), lambda k: array_to_string(w[k:k + {WORDS - 1}], ' ')) WHEN n > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+sets AS (SELECT r, count(*) AS n_shingles, bit_xor(hash(s)) AS x, sum(hash(s)::HUGEINT) AS y FROM s GROUP BY r),
+nodes AS (SELECT n_shingles, x, y, min(r) AS node FROM sets GROUP BY ALL),
+of_row AS (SELECT r, node, n_shingles FROM sets JOIN nodes USING (n_shingles, x, y)),
+ns AS (SELECT node, n_shingles, s FROM s JOIN of_row ON s.r = of_row.node WHERE of_row.r = of_row.node),
+links AS (SELECT a.node AS a, b.node AS b FROM ns a JOIN ns b ON a.s = b.s AND a.node <> b.node AND 100 * b.n_shingles >= {PERCENT} * a.n_shingles AND 100 * a.n_shingles >= {PERCENT} * b.n_shingles
+  GROUP BY a.node, b.node, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= {PERCENT} * (a.n_shingles + b.n_shingles - count(*))),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS node, min(doc_id) AS component_id FROM reach JOIN of_row ON reach.b = of_row.node JOIN d ON d.r = of_row.r GROUP BY a)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, CASE WHEN n_shingles IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN of_row USING (r) LEFT JOIN least USING (node)
+"""
