@@ -2,10 +2,11 @@
 
 Each text gets its counts in higher-order functions, without a shuffle. Mergeable quantile
 sketches (Spark's approx_percentile, which combines partial sketches) of four ratios are
-taken by language and source, by language, and of all texts that pass the base rules; a
-source with too few texts uses its language's, a language with too few uses all. A text is
-kept if every ratio lies within the far fences of its group: the quartiles, a multiple of
-their distance and a slack for groups that hardly vary. The fences are joined to the texts.
+taken by language and source, by language, and of all texts that pass the base rules, in one
+aggregation. Quantiles are pooled by counts: those of a source count as its texts, against a
+fixed number for its language's, and a language's likewise against those of all. A text is
+kept if every ratio lies within its group's fences: a multiple of the quartiles' distance
+beyond them, and never within the outermost hundredth. The fences are joined to the texts.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from .common import SPACES, table, written
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50  # per cent of the words
-#: Ratios: name, expression, slack, and whether low values are rejected too.
+#: Ratios: name, expression, and whether low values are rejected too.
 RATIOS = (
-    ("word_length", "word_chars / n_words", 1.0, True),
-    ("symbols", "n_symbols / word_chars", 0.05, False),
-    ("dup_lines", "n_dup_lines / n_words", 0.05, False),
-    ("repeats", "n_repeat_words / n_words", 0.2, False),
+    ("word_length", "word_chars / n_words", True),
+    ("symbols", "n_symbols / word_chars", False),
+    ("dup_lines", "n_dup_lines / n_words", False),
+    ("repeats", "n_repeat_words / n_words", False),
 )
+#: Quantiles of the sketches: the quartiles, and the outermost hundredth on each side.
+QUANTILES = (0.01, 0.25, 0.75, 0.99)
 FENCE = 3.0
 ACCURACY = 10_000
-LEAST_TEXTS = 100
+#: Texts that the quantiles of the level above count as.
+POOLED_TEXTS = 100
 
 
 def _let(value: Column, use) -> Column:
@@ -71,22 +75,25 @@ def counts(docs: DataFrame) -> DataFrame:
     return got.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def fences(counted: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
-    """lang, source and the bounds of each ratio, for every pair of language and source; nulls are a value of their own."""
-    ratios = counted.where(~F.col("base_failed")).select("lang", "source", *(F.expr(e).alias(n) for n, e, *_ in RATIOS))
-    sketch = [F.count(F.lit(1)).alias("n"), *(F.percentile_approx(n, [0.25, 0.75], ACCURACY).alias(n) for n, *_ in RATIOS)]
-    by_pair = ratios.groupBy("lang", "source").agg(*sketch)
-    by_lang = ratios.groupBy("lang").agg(*sketch)
-    of_all = ratios.agg(*sketch)
-    named = lambda df, by, keys: df.select(*(F.col(k).alias(f"{k}_{by}") for k in keys), F.struct("n", *(n for n, *_ in RATIOS)).alias(by))
-    pairs = named(by_pair, "p", ("lang", "source")).join(named(by_lang, "l", ("lang",)), F.col("lang_p").eqNullSafe(F.col("lang_l"))).crossJoin(F.broadcast(named(of_all, "a", ())))
-    chosen = pairs.select("lang_p", "source_p", F.when(F.col("p.n") >= least, F.col("p")).when(F.col("l.n") >= least, F.col("l")).otherwise(F.col("a")).alias("q"))
+def fences(counted: DataFrame, pooled: int = POOLED_TEXTS) -> DataFrame:
+    """lang_p, source_p and the bounds of each ratio, for every pair of language and source; nulls are a value of their own."""
+    ratios = counted.where(~F.col("base_failed")).select("lang", "source", *(F.expr(e).alias(n) for n, e, _ in RATIOS))
+    sketch = [F.count(F.lit(1)).alias("n"), *(F.percentile_approx(n, list(QUANTILES), ACCURACY).alias(n) for n, *_ in RATIOS)]
+    levels = written(ratios.rollup("lang", "source").agg(F.grouping_id().alias("level"), *sketch), "sketches")
+    named = lambda level, by, keys: levels.where(F.col("level") == level).select(*(F.col(k).alias(f"{k}_{by}") for k in keys), F.struct("n", *(n for n, *_ in RATIOS)).alias(by))
+    # A row for each pair meets its language's row and the one of all texts.
+    pairs = named(0, "p", ("lang", "source")).join(named(1, "l", ("lang",)), F.col("lang_p").eqNullSafe(F.col("lang_l"))).crossJoin(F.broadcast(named(3, "a", ())))
     bounds = []
-    for name, _, slack, both in RATIOS:
-        low, high = F.col("q")[name][0], F.col("q")[name][1]
-        room = FENCE * (high - low) + slack
-        bounds += [(high + room).alias(f"{name}_high"), (low - room if both else F.lit(None).cast("double")).alias(f"{name}_low")]
-    return chosen.select("lang_p", "source_p", *bounds)
+    for name, _, both in RATIOS:
+        q = []
+        for i in range(len(QUANTILES)):
+            mixed = F.col("a")[name][i]
+            for level in ("l", "p"):
+                mixed = (F.col(level)["n"] * F.col(level)[name][i] + pooled * mixed) / (F.col(level)["n"] + pooled)
+            q.append(mixed)
+        room = FENCE * (q[2] - q[1])
+        bounds += [F.greatest(q[2] + room, q[3]).alias(f"{name}_high"), (F.least(q[1] - room, q[0]) if both else F.lit(None).cast("double")).alias(f"{name}_low")]
+    return pairs.select("lang_p", "source_p", *bounds)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def judge(docs: DataFrame) -> DataFrame:
     counted = written(counts(docs), "quality")
     joined = counted.join(fences(counted), F.col("lang").eqNullSafe(F.col("lang_p")) & F.col("source").eqNullSafe(F.col("source_p")), "left")
     inside = F.lit(True)
-    for name, expression, _, both in RATIOS:
+    for name, expression, both in RATIOS:
         value = F.expr(expression.replace("/", ",").join(("try_divide(", ")")))
         inside = inside & (value <= F.col(f"{name}_high"))
         if both:
@@ -112,18 +119,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_sketch(by: str) -> str:
-    pick = ", ".join(f"list(r_{n} ORDER BY r_{n})[greatest(1, ceil({p} * count(*)))::BIGINT] AS {n}_{k}" for n, *_ in RATIOS for k, p in (("a", 0.25), ("b", 0.75)))
+    pick = ", ".join(f"list(r_{n} ORDER BY r_{n})[greatest(1, ceil({p} * count(*)))::BIGINT] AS {n}_{k}" for n, *_ in RATIOS for k, p in enumerate(QUANTILES))
     return f"SELECT {by + ',' if by else ''} count(*) AS n, {pick} FROM ratios {'GROUP BY ' + by if by else ''}"
 
 
 def _sql_inside() -> str:
     out = []
-    for n, expression, slack, both in RATIOS:
-        a, b = (f"CASE WHEN p.n >= {LEAST_TEXTS} THEN p.{n}_{k} WHEN l.n >= {LEAST_TEXTS} THEN l.{n}_{k} ELSE a.{n}_{k} END" for k in "ab")
-        room = f"({FENCE} * (({b}) - ({a})) + {slack})"
-        out.append(f"{expression} <= ({b}) + {room}")
+    for n, expression, both in RATIOS:
+        q = []
+        for k in range(len(QUANTILES)):
+            lang = f"((l.n * l.{n}_{k} + {POOLED_TEXTS} * a.{n}_{k}) / (l.n + {POOLED_TEXTS}))"
+            q.append(f"((p.n * p.{n}_{k} + {POOLED_TEXTS} * {lang}) / (p.n + {POOLED_TEXTS}))")
+        room = f"({FENCE} * ({q[2]} - {q[1]}))"
+        out.append(f"{expression} <= greatest({q[2]} + {room}, {q[3]})")
         if both:
-            out.append(f"{expression} >= ({a}) - {room}")
+            out.append(f"{expression} >= least({q[1]} - {room}, {q[0]})")
     return " AND ".join(out)
 
 
