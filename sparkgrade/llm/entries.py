@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_url_filter": urls.op10_url_filter,
 }
-ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op10_url_filter": urls.OP10_SQL}
+ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op2_ngram_jaccard": jaccard.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op9_decontamination": decontamination.OP9_SQL, "op10_url_filter": urls.OP10_SQL}
