@@ -22,7 +22,7 @@ def test_json_answers(spark, solution, score):
 
 def test_thinking_and_sentences(spark):
     assert value(spark, text.thinking, "<think>a<think> b. c! d </think>{}") == "b. c! d"
-    assert value(spark, text.thinking, "no mark") is None
+    assert value(spark, text.thinking, "no mark") == ""
     assert value(spark, text.last_sentence, "One. Two is 3.5! 最后一句。") == "最后一句。"
     assert value(spark, text.last_sentence_of_paragraph, "One. Two.\n\nThree. Four.\n\n ") == "Four."
 
