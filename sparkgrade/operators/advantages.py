@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import ADVANTAGES
+from .shapes import with_position
 
 EPSILON = 1e-6
 WHITEN_EPSILON = 1e-8
@@ -31,9 +32,8 @@ def group_mean_std(df: DataFrame, group, score: str, floor: float = 0.0) -> Data
 
 
 def dense_group_ids(df: DataFrame, group: str) -> DataFrame:
-    """Adds group_id, the place of the label among the distinct labels from 0. The labels are numbered, not the rows."""
-    labels = df.select(group).distinct()
-    numbered = labels.select(group, (F.dense_rank().over(Window.orderBy(group)) - 1).alias("group_id"))
+    """Adds group_id, the place of the label among the distinct labels from 0. The labels are numbered by ranges, not the rows."""
+    numbered = with_position(df.select(group).distinct(), [group], "group_id")
     return df.join(numbered, group)
 
 
@@ -174,11 +174,13 @@ def optimal_token_baseline(df: DataFrame, group, row: str, t: str, reward: str,
     got = got.withColumn("ret", F.sum(F.col(reward) * m).over(back))
     got = got.withColumn("path", F.sum((1 - 2 * F.exp(logp) + F.col(sum_pi2)) * m).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     at = Window.partitionBy(*keys, slot)
-    rows = F.size(F.collect_set(row).over(Window.partitionBy(*keys)))
+    # The number of a group's responses is counted once and joined, not gathered on each row.
+    got = got.join(df.groupBy(*keys).agg(F.count_distinct(row).alias("_responses")), keys)
+    rows = F.col("_responses")
     base = F.sum(F.col("ret") * F.col("path") * m).over(at) / (F.sum(F.col("path") * m).over(at) + 1e-8)
     # The part of the longest response beyond the second longest has no peers: one row there, baseline 0.
     alone = F.sum(m).over(at) <= 1
-    return got.select("*", ((F.col("ret") - F.when((rows > 1) & ~alone, base).otherwise(0.0)) * m).alias("advantage")).drop("ret", "path", "slot")
+    return got.select("*", ((F.col("ret") - F.when((rows > 1) & ~alone, base).otherwise(0.0)) * m).alias("advantage")).drop("ret", "path", "slot", "_responses")
 
 
 def final_of_session(df: DataFrame, session, index: str, order: list[str] = ()) -> DataFrame:
@@ -222,3 +224,19 @@ def kl_estimate(logp: str | Column, ref: str | Column, kind: str = "k1") -> Colu
 def compute_advantage(df: DataFrame, estimator: str, **columns) -> DataFrame:
     """Looks the estimator up by name."""
     return ADVANTAGES.resolve(estimator)(df, **columns)
+
+
+def beta_baseline(df: DataFrame, group, score: str, rho: str | float, alpha: str, beta: str) -> DataFrame:
+    """Score minus a prompt's smoothed success rate: alpha and beta are the prompt's counts so far, decayed by rho; adds the counts to keep.
+
+    The rate is alpha / (alpha + beta) before this batch; a prompt's scores (0 to 1) then add to the decayed counts.
+    """
+    w = _group(group)
+    r = F.col(rho) if isinstance(rho, str) else F.lit(float(rho))
+    a, b = F.col(alpha), F.col(beta)
+    return df.select("*", (F.col(score) - a / (a + b)).alias("advantage"), (r * a + F.sum(score).over(w)).alias("next_alpha"), (r * b + F.sum(1 - F.col(score)).over(w)).alias("next_beta"))
+
+
+def decay_by_divergence(divergence: Column, half: float, least: float, most: float) -> Column:
+    """rho: halves for every `half` of divergence between the policy then and now, within bounds."""
+    return F.least(F.greatest(F.pow(F.lit(2.0), -divergence / half), F.lit(float(least))), F.lit(float(most)))

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shapes import ranged, with_position
+
 
 def varied_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     """Rows of groups of one row, or with at least two values. A null value of a group is an error."""
@@ -29,38 +31,53 @@ def refill(dropped: int) -> int:
 
 
 def passing_first(df: DataFrame, group: str, passes: Column, order: str, keep_one_in: int) -> DataFrame:
-    """One in k of the groups: those that pass first, then by order."""
+    """One in k of the groups: those that pass first, then by order. Their places come from ranges, not from one sorted list."""
     own = df.groupBy(group).agg(F.max(passes.cast("int")).alias("ok"), F.min(order).alias("at"))
     n = own.count() // keep_one_in
-    return df.join(own.orderBy(F.col("ok").desc(), "at").limit(n).select(group), group, "left_semi")
+    placed = with_position(own.withColumn("fails", 1 - F.col("ok")), ["fails", "at"], "_place")
+    return df.join(placed.where(F.col("_place") < n).select(group), group, "left_semi")
 
 
 def oldest(df: DataFrame, version: str, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(version, *order).limit(n)
 
 
+def seeded(seed: int, *keys) -> Column:
+    """A number from 0 to 1 that the seed and the keys (as text) decide: the first 52 bits of an MD5 digest."""
+    told = F.concat_ws("_", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def hash_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows that a seeded hash of the key chooses; the same ones however the rows are dealt."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(seeded(seed, key), key).limit(n)
 
 
 def draw_with_replacement(df: DataFrame, weight: Column, draws: int, seed: int, order: list[str]) -> DataFrame:
     """`draws` rows, each with probability as its weight: uniform draws meet the running sums of weights.
 
-    Running sums come from those of range partitions; a draw finds its row by a join on cells of
-    equal weight, so neither side is compared with all of the other.
+    Running sums come from those of ranges; a row's interval begins where the one before it
+    ends, so no draw falls between. A draw finds its row by a join on cells of equal weight, so
+    neither side is compared with all of the other.
     """
-    parts = df.withColumn("_w", weight.cast("double")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_hi", F.sum("_w").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    sums = inside.groupBy("_part").agg(F.max("_hi").alias("_sum"))
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_start"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))
-    ranged = inside.join(F.broadcast(starts), "_part").withColumns({"_lo": (F.col("_start") + F.col("_hi") - F.col("_w")) / F.col("_total"), "_up": (F.col("_start") + F.col("_hi")) / F.col("_total")})
+    parts = ranged(df.withColumn("_w", F.coalesce(weight.cast("double"), F.lit(0.0))), order)
+    w = Window.partitionBy("_range").orderBy("_key")
+    inside = parts.withColumn("_hi", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = inside.withColumn("_low", F.coalesce(F.lag("_hi").over(w), F.lit(0.0)))
+    sums = inside.groupBy("_range").agg(F.max("_hi").alias("_sum"))
+    before = Window.orderBy("_range")
+    starts = sums.select("_range", F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"))
+    starts = starts.select("_range", F.coalesce(F.lag("_end").over(before), F.lit(0.0)).alias("_start"), "_end", F.max("_end").over(Window.partitionBy()).alias("_total"))
+    top = F.max("_hi").over(Window.partitionBy("_range"))
+    # The last row of a range ends where the next range begins, to the bit.
+    up = F.when(F.col("_hi") == top, F.col("_end")).otherwise(F.col("_start") + F.col("_hi")) / F.col("_total")
+    low = F.when(F.col("_low") == top, F.col("_end")).otherwise(F.col("_start") + F.col("_low")) / F.col("_total")
+    ranged_rows = inside.join(F.broadcast(starts), "_range").select("*", low.alias("_lo"), up.alias("_up"))
     cells = 4096
-    cut = ranged.where("_w > 0").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_up") * cells), F.lit(cells - 1)))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / F.lit(float(1 << 52)))
-    asked = df.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * cells))
+    cut = ranged_rows.where("_up > _lo").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_up") * cells), F.lit(cells - 1)))))
+    asked = df.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("_u", seeded(seed, "draw")).withColumn("_cell", F.floor(F.col("_u") * cells))
     found = cut.join(asked, "_cell").where("_u >= _lo AND _u < _up")
-    return found.drop("_w", "_part", "_hi", "_start", "_total", "_lo", "_up", "_cell", "_u")
+    return found.select(*df.columns, "draw")
 
 
 def score_weights(score: Column, kind: str, power: float = 2.0, extremes: tuple[Column, Column] | None = None, coin: Column | None = None) -> Column:
@@ -117,3 +134,14 @@ def ready_groups(rows: DataFrame, group: str, size: int, n: int) -> DataFrame:
 def stale(df: DataFrame, born: str, now: Column, threshold: int) -> Column:
     """Whether a group's age in versions is over the threshold."""
     return now - F.col(born) + 1 > threshold
+
+
+def top_conflicts(df: DataFrame, conflict: str, confidence: str, n: int, order: list[str]) -> DataFrame:
+    """The n conflicts of the highest confidence."""
+    return df.where(F.col(conflict)).orderBy(F.col(confidence).desc(), *order).limit(n)
+
+
+def kept_with_counts(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """(the rows that keep is true of, a row with before, after and dropped)."""
+    counts = df.agg(F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after")).withColumn("dropped", F.col("before") - F.col("after"))
+    return df.where(keep), counts

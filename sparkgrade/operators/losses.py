@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import LOSSES
+from .filters import seeded
+from .shapes import with_position
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -125,26 +127,36 @@ def _covariance(df: DataFrame, c: dict) -> DataFrame:
     return df.crossJoin(F.broadcast(means)).withColumn("cov", (F.col(c["adv"]) - F.col("mean_a")) * (F.col(c["logp"]) - F.col("mean_l"))).drop("mean_a", "mean_l")
 
 
+def _first(df: DataFrame, eligible: Column, order: list[Column], keys: list[str], n: int) -> DataFrame:
+    """Adds _picked: whether an eligible row is among the first n in the order. Places come from ranges, so no task sorts all rows."""
+    names = [f"_o{i}" for i in range(len(order))]
+    some = df.where(eligible).select(*keys, *(o.alias(c) for c, o in zip(names, order, strict=True)))
+    picked = with_position(some, [*names, *keys], "_place").where(F.col("_place") < n).select(*keys).withColumn("_picked", F.lit(True))
+    return df.join(picked, keys, "left").withColumn("_picked", F.coalesce("_picked", F.lit(False)))
+
+
 @LOSSES.register("clip_cov")
-def clip_cov(df: DataFrame, ratio: float = 2e-4, low: float = 1.0, high: float = 5.0, clip: float = 0.2, order: list[str] = (), **names) -> DataFrame:
-    """A hash-chosen part of the unclipped tokens with a covariance in the band gets no loss."""
+def clip_cov(df: DataFrame, ratio: float = 2e-4, low: float = 1.0, high: float = 5.0, clip: float = 0.2, order: list[str] = (), seed: int = 0, **names) -> DataFrame:
+    """Of the unclipped tokens with a covariance in the band, max(1, int(ratio * masked-in tokens)) get no loss: those that a seeded hash of the key `order` puts first."""
     c = COLUMNS | names
     got = _covariance(vanilla(df, clip, clip, 1e9, **names), c)
     eligible = F.col("cov").between(low, high) & (F.col("clipped") == 0) & (F.col(c["mask"]) != 0)
-    total = got.agg(F.greatest(F.floor(ratio * F.sum(c["mask"])), F.lit(1)).alias("quota"), F.count_if(eligible).alias("pool"))
-    chosen = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < (F.lit(1 << 30) * F.col("quota") / F.greatest(F.col("pool"), F.lit(1)))
-    return got.crossJoin(F.broadcast(total)).withColumn("loss", F.when(eligible & chosen, 0.0).otherwise(F.col("loss"))).drop("quota", "pool")
+    quota = max(1, int(ratio * (df.agg(F.sum(c["mask"])).first()[0] or 0)))
+    picked = _first(got, eligible, [seeded(seed, *order)], list(order), quota)
+    return picked.withColumn("loss", F.when(F.col("_picked"), 0.0).otherwise(F.col("loss"))).drop("_picked")
 
 
 @LOSSES.register("kl_cov")
 def kl_cov(df: DataFrame, ratio: float = 2e-4, weight: float = 1.0, order: list[str] = (), **names) -> DataFrame:
-    """The tokens of the highest covariance get a penalty on the log-ratio's size; the bound is the exact quantile."""
+    """The max(1, int(ratio * n)) of n masked-in tokens that have the highest covariance (then first by the key `order`) get a penalty on the log-ratio's size."""
     c = COLUMNS | names
     got = _covariance(df, c)
-    bound = got.where(F.col(c["mask"]) != 0).agg(F.expr(f"percentile(cov, {1 - ratio})").alias("bound"))
+    inside = F.col(c["mask"]) != 0
+    n = df.where(inside).count()
+    picked = _first(got, inside, [-F.col("cov")], list(order), max(1, int(n * ratio)))
     plain = -F.col(c["adv"]) * _ratio(c)
     d = F.abs(F.col(c["logp"]) - F.col(c["old"]))
-    return got.crossJoin(F.broadcast(bound)).withColumn("loss", F.when((F.col(c["mask"]) != 0) & (F.col("cov") >= F.col("bound")), plain + weight * d).otherwise(plain)).drop("bound")
+    return picked.withColumn("loss", F.when(F.col("_picked"), plain + weight * d).otherwise(plain)).drop("_picked")
 
 
 @LOSSES.register("group_centred")
@@ -217,6 +229,32 @@ def cross_entropy_preference(total: Column, correct: Column, beta: float) -> Col
     return F.greatest(x, F.lit(0.0)) - x * correct + F.log1p(F.exp(-F.abs(x)))
 
 
+def detached_preference(df: DataFrame, group: str, total: str, correct: str, beta: float, weight: str = "none") -> DataFrame:
+    """Sequence rows: adds loss, -log sigmoid of the distance (by outcome's sign) between beta * total and the mean of the group's other side.
+
+    The other side of a row with a positive outcome are rows of lower outcome, else those of
+    higher; without any its mean is 0. weight: none; bon_rm or bon_acc, which weigh a row by
+    n * (share of the group at or under it in total or outcome) ** (n - 1).
+    """
+    w = Window.partitionBy(group)
+    by = w.orderBy(correct)
+    below, at, above = by.rangeBetween(Window.unboundedPreceding, Window.currentRow), by.rangeBetween(Window.currentRow, Window.currentRow), by.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    t = F.col(total)
+    side = lambda span: ((F.sum(t).over(span) - F.sum(t).over(at)), (F.count(t).over(span) - F.count(t).over(at)))
+    (ls, ln), (hs, hn) = side(below), side(above)
+    good = F.col(correct) > 0
+    other = F.coalesce(F.when(good, F.try_divide(ls, ln)).otherwise(F.try_divide(hs, hn)), F.lit(0.0)) * beta
+    x = (t * beta - other) * F.when(good, 1.0).otherwise(-1.0)
+    loss = F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    if weight == "none":
+        return df.select("*", loss.alias("loss"))
+    if weight not in ("bon_rm", "bon_acc"):
+        raise ValueError(weight)
+    n = F.count(F.lit(1)).over(w)
+    under = F.count(F.lit(1)).over(w.orderBy(total if weight == "bon_rm" else correct).rangeBetween(Window.unboundedPreceding, Window.currentRow)) / n
+    return df.select("*", (loss * n * F.pow(under, n - 1)).alias("loss"))
+
+
 def pairwise_accuracy(df: DataFrame, group: str, score: str, correct: str) -> DataFrame:
     """One row `accuracy` over groups: pairs of a group with unlike outcomes, ordered by score as by outcome,
     weighted by the difference of outcomes; 0.5 where a group has none.

@@ -17,29 +17,41 @@ def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def trace_back(records: DataFrame, sources: DataFrame, record_id: str, key: str, source_key: str, ordinal: str, truth: str | None = None, source_truth: str | None = None) -> DataFrame:
+def heads(sources: DataFrame, source_key: str) -> DataFrame:
+    """The index of sources that can be found inside a key: _sk, _head (a hash of its first SHORTEST characters); each key once."""
+    own = sources.select(F.col(source_key).alias("_sk")).where(F.char_length("_sk") >= SHORTEST).distinct()
+    return own.withColumn("_head", F.xxhash64(F.substring("_sk", 1, SHORTEST)))
+
+
+def trace_back(records: DataFrame, sources: DataFrame, record_id: str, key: str, source_key: str, ordinal: str, truth: str | None = None, source_truth: str | None = None, override: dict[str, str] | None = None) -> DataFrame:
     """record_id, ordinal (null if none): the source with the record's key; else the longest source key of SHORTEST
     characters or more inside it. Equal truth narrows the choice if any has it; then the first source.
+    override: further columns of sources (by name) that the result takes over under new names.
 
     Only keys without an equal one, each once, go to the containment step. A source key inside a
-    key shares its first SHORTEST characters with some place of it, so that step is an equi-join
-    on such pieces, followed by the exact test; not a comparison of all keys with all sources.
+    key shares its first SHORTEST characters with some place of it: the hashes of those places
+    meet the hashes of the sources' heads, rows of two numbers, and only the pairs that agree
+    take their texts back for the exact test.
     """
-    src = sources.where(F.col(source_key) != "").select(F.col(source_key).alias("_sk"), F.col(ordinal).alias("_o"), (F.col(source_truth) if source_truth else F.lit(None)).cast("string").alias("_st"))
+    more = override or {}
+    src = sources.where(F.col(source_key) != "").select(F.col(source_key).alias("_sk"), F.col(ordinal).alias("_o"), (F.col(source_truth) if source_truth else F.lit(None)).cast("string").alias("_st"), F.struct(F.lit(0).alias("_"), *(F.col(c).alias(n) for c, n in more.items())).alias("_more"))
     rec = records.select(F.col(record_id).alias("_r"), F.col(key).alias("_k"), (F.col(truth) if truth else F.lit(None)).cast("string").alias("_t"))
     exact = rec.join(src, F.col("_k") == F.col("_sk"))
     rest = rec.join(src.select("_sk").distinct(), F.col("_k") == F.col("_sk"), "left_anti")
-    # Pieces are cut from blocks that overlap, as finding a place in a long string costs its distance from the start.
+    # Places are cut from blocks that overlap, as finding a place in a long string costs its distance from the start.
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("_k") - 1) / BLOCK).cast("int")), lambda b: F.substring(F.col("_k"), b * BLOCK + 1, F.lit(BLOCK + SHORTEST - 1)))
-    cut = rest.where(F.char_length("_k") >= SHORTEST).select("_k").distinct().withColumn("_b", F.explode(blocks)).where(F.char_length("_b") >= SHORTEST)
-    pieces = F.transform(F.sequence(F.lit(1), F.char_length("_b") - SHORTEST + 1), lambda i: F.substring(F.col("_b"), i, F.lit(SHORTEST)))
-    asked = cut.select("_k", F.explode(pieces).alias("_piece"))
-    heads = src.where(F.char_length("_sk") >= SHORTEST).select("_sk").distinct().withColumn("_piece", F.substring("_sk", 1, SHORTEST))
-    inside = asked.join(heads, "_piece").where(F.contains("_k", "_sk")).groupBy("_k").agg(F.max_by("_sk", F.struct(F.char_length("_sk"), "_sk")).alias("_sk"))
+    keys = rest.where(F.char_length("_k") >= SHORTEST).select("_k").distinct().withColumn("_id", F.xxhash64("_k"))
+    pieces = F.transform(F.sequence(F.lit(1), F.char_length("_b") - SHORTEST + 1), lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.lit(SHORTEST))))
+    cut = keys.select("_id", F.explode(blocks).alias("_b")).where(F.char_length("_b") >= SHORTEST)
+    asked = cut.select("_id", F.explode(F.array_distinct(pieces)).alias("_head"))
+    index = heads(src, "_sk")
+    met = asked.join(index.select("_head").distinct(), "_head", "left_semi").distinct()
+    inside = met.join(keys, "_id").join(index, "_head").where(F.contains("_k", "_sk")).groupBy("_k").agg(F.max_by("_sk", F.struct(F.char_length("_sk"), "_sk")).alias("_sk"))
     loose = rest.join(inside, "_k").join(src, "_sk")
-    columns = ("_r", "_o", "_t", "_st")
-    best = exact.select(*columns).unionByName(loose.select(*columns)).groupBy("_r").agg(F.min_by("_o", F.struct(F.when(F.col("_t") == F.col("_st"), 0).otherwise(1).alias("x"), F.col("_o").alias("y"))).alias("_o"))
-    return rec.select("_r").join(best, "_r", "left").select(F.col("_r").alias(record_id), F.col("_o").alias(ordinal))
+    columns = ("_r", "_o", "_t", "_st", "_more")
+    found = F.struct(F.col("_o"), F.col("_more"))
+    best = exact.select(*columns).unionByName(loose.select(*columns)).groupBy("_r").agg(F.min_by(found, F.struct(F.when(F.col("_t") == F.col("_st"), 0).otherwise(1).alias("x"), F.col("_o").alias("y"))).alias("_b"))
+    return rec.select("_r").join(best, "_r", "left").select(F.col("_r").alias(record_id), F.col("_b._o").alias(ordinal), *(F.col(f"_b._more.{n}").alias(n) for n in more.values()))
 
 
 def match_counts(traced: DataFrame, ordinal: str, keys: list[str] = ()) -> DataFrame:
@@ -62,6 +74,30 @@ def alignment_faults(left: DataFrame, right: DataFrame, key: str, same: list[str
     return both.select(F.coalesce("_a", "_b").alias(key), fault.alias("fault")).where("fault IS NOT NULL")
 
 
+def aligned(runs: dict[str, DataFrame], key: str, same: list[str], order: str | None = None) -> DataFrame:
+    """key, run, fault of any number of runs: keys that a run lacks, has more than once, or holds with other columns than the first run has. Empty if all are aligned.
+
+    order: a column that must be each run's place of the key, as it is in the first.
+    """
+    names = list(runs)
+    columns = [*same, *([order] if order else [])]
+    rows = None
+    for i, name in enumerate(names):
+        own = runs[name].select(F.col(key).alias("_k"), F.lit(i).alias("_run"), F.struct(*columns).alias("_v"))
+        rows = own if rows is None else rows.unionByName(own)
+    by_key = rows.groupBy("_k").agg(F.collect_list(F.struct("_run", "_v")).alias("_all"))
+    first = F.get(F.filter("_all", lambda x: x["_run"] == 0), F.lit(0))
+
+    def judged(run: Column) -> Column:
+        own = F.filter("_all", lambda x: x["_run"] == run)
+        value = F.get(own, F.lit(0))["_v"]
+        fault = F.when(F.size(own) == 0, "missing").when(F.size(own) > 1, "repeated").when(first.isNotNull() & ~value.eqNullSafe(first["_v"]), "differs")
+        return F.struct(run.alias("run"), fault.alias("fault"))
+
+    each = by_key.select(F.col("_k").alias(key), F.explode(F.transform(F.array(*(F.lit(i) for i in range(len(names)))), judged)).alias("_f"))
+    return each.where("_f.fault IS NOT NULL").select(key, F.element_at(F.array(*map(F.lit, names)), F.col("_f.run") + 1).alias("run"), F.col("_f.fault").alias("fault"))
+
+
 def completeness(df: DataFrame, order: str, expected: int, constant: list[str]) -> DataFrame:
     """One row `complete`: the expected count, orders exactly 0 to n - 1, and constants that are."""
     same = [F.count_distinct(c) <= 1 for c in constant]

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shapes import with_position
+
 
 def ladder(n: Column) -> Column:
     """2, 4, 8, ... below n, and n at the end."""
@@ -56,6 +58,46 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, size: int, position: s
     return df.select(*keys, value, position).groupBy(*keys).applyInPandas(run, f"{schema}, n bigint, best double, best_std double, worst double, worst_std double")
 
 
+def resampled_tree(df: DataFrame, source: str, uid: str, values: list[str], position: str, vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """source, variable, metric, value: mean@n, std@n, and for k of the ladder best@k, worst@k and (with a vote) maj@k, each /mean and /std over seeded resamples.
+
+    A prompt's responses are one small group, resampled in the order of position in NumPy's
+    random stream; prompts then weigh 1 each. Null values make a prompt's metric null.
+    """
+
+    def rungs(n: int) -> list[int]:
+        return [*(1 << k for k in range(1, n.bit_length()) if 1 << k < n), *([n] if n > 1 else [])]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(position, kind="stable")
+        votes = rows[vote].to_numpy() if vote else None
+        codes = pd.factorize(votes)[0] if vote else None
+        n, out = len(rows), []
+        for name in values:
+            x = rows[name].to_numpy(float)
+            out.append((name, f"mean@{n}", x.mean()))
+            if n > 1:
+                out.append((name, f"std@{n}", x.std()))
+            for k in rungs(n):
+                np.random.seed(seed)
+                at = np.random.choice(n, size=(draws, k), replace=True)
+                told = {"best": x[at].max(1), "worst": x[at].min(1)}
+                if vote:
+                    # The most common vote of a draw, the first drawn of equal ones; its first drawn row's value.
+                    tally = np.zeros((draws, int(codes.max()) + 1), np.int64)
+                    np.add.at(tally, (np.arange(draws)[:, None], codes[at]), 1)
+                    counts = np.take_along_axis(tally, codes[at], 1)
+                    told["maj"] = x[at[np.arange(draws), counts.argmax(1)]]
+                for kind, got in told.items():
+                    out += [(name, f"{kind}@{k}/mean", got.mean()), (name, f"{kind}@{k}/std", got.std())]
+        return pd.DataFrame([(*key, *o) for o in out], columns=[source, uid, "variable", "metric", "value"])
+
+    types = dict(df.dtypes)
+    schema = f"{source} {types[source]}, {uid} {types[uid]}, variable string, metric string, value double"
+    each = df.select(source, uid, position, *values, *([vote] if vote else [])).groupBy(source, uid).applyInPandas(run, schema)
+    return each.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
+
+
 def reduce_by_name(metrics: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """key, value: the maximum of keys with "max" in the name, the minimum with "min", else the mean."""
     k = F.col(key)
@@ -136,20 +178,35 @@ def ratio_means(df: DataFrame, drafts: str, accepts: str, verifies: str) -> Data
     return df.agg(each(accepts, drafts).alias("accept_rate"), each(accepts, verifies).alias("accept_length"))
 
 
+def _placed(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """keys, value, i (the place of the value within its key, from 0), n; null values are left out. A key of many rows is spread over ranges."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    placed = with_position(rows, [*keys, value], "_at")
+    own = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n")) if keys else placed.agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
+    if not keys:
+        return placed.crossJoin(F.broadcast(own)).withColumn("i", F.col("_at") - F.col("_first")).drop("_at", "_first")
+    renamed = own.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_first", "n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(renamed, same).withColumn("i", F.col("_at") - F.col("_first")).select(*keys, value, "i", "n")
+
+
 def percentiles_linear(df: DataFrame, value: str, fractions: list[float], keys: list[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, a column p50, p95, ... each."""
-    return df.groupBy(*keys).agg(*(F.expr(f"percentile({value}, {f})").alias(f"p{round(f * 100)}") for f in fractions))
+    """Exact percentiles with linear interpolation, a column p50, p95, ... each: from the two values beside each place."""
+    placed = _placed(df, value, list(keys))
+    out = []
+    for f in fractions:
+        at = f * (F.col("n") - 1)
+        share = F.when(F.col("i") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("i") == F.floor(at) + 1, at - F.floor(at))
+        out.append(F.sum(F.col(value) * share).alias(f"p{round(f * 100)}"))
+    return placed.groupBy(*keys).agg(*out)
 
 
 def percentile_nearest(df: DataFrame, value: str, fraction: float, keys: list[str] = ()) -> DataFrame:
-    """The value at the rank round(fraction * (n - 1)), half to even, from a rank window (no list is gathered)."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    if not keys:  # a global rank without one sorted partition: the exact order statistic by its fraction
-        n = df.where(F.col(value).isNotNull()).count()
-        at = round(fraction * (n - 1)) if n else 0
-        return df.agg(F.expr(f"percentile_disc({(at + 1) / n if n else 0}) WITHIN GROUP (ORDER BY {value})").alias("percentile"))
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.where(F.col("i") == F.bround(fraction * (F.col("n") - 1))).select(*keys, F.col(value).alias("percentile"))
+    """The value at the rank round(fraction * (n - 1)), half to even."""
+    placed = _placed(df, value, list(keys))
+    return placed.where(F.col("i") == F.bround(fraction * (F.col("n") - 1))).select(*keys, F.col(value).alias("percentile"))
 
 
 def result_summary(df: DataFrame, conflict: str, confidence: str, thresholds: list[float], keys: list[str] = ()) -> DataFrame:
@@ -164,6 +221,18 @@ def trend(df: DataFrame, source: str, step: str, metrics: list[str]) -> DataFram
     return wide.select(source, step, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}.mean").alias("mean"), F.col(f"{m}.n").alias("n")) for m in metrics))).alias("x")).select(source, step, "x.*")
 
 
+def imbalance_change(df: DataFrame, before: str, after: str, load: str) -> DataFrame:
+    """One row: imbalance() of two ways of dealing the rows, with `before_` and `after_` in front, and both means of the largest difference."""
+    a, b = (imbalance(df, p, load).select(*(F.col(c).alias(f"{n}_{c}") for c in ("max", "min", "mean", "spread"))) for n, p in (("before", before), ("after", after)))
+    return a.crossJoin(F.broadcast(b))
+
+
+def file_counts(rows: DataFrame, file: str, flags: dict[str, Column]) -> DataFrame:
+    """file, rows and a count for each flag, and a row of all files (file is null there): counters that add."""
+    counted = rows.groupBy(file).agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in flags.items()))
+    return counted.unionByName(counted.agg(F.lit(None).cast("string").alias(file), F.sum("rows").alias("rows"), *(F.sum(n).alias(n) for n in flags)).select(*counted.columns))
+
+
 def imbalance(df: DataFrame, part: str, load: str) -> DataFrame:
     """One row: the largest, smallest and mean load of the parts, and the spread."""
     sums = df.groupBy(part).agg(F.sum(load).alias("load"))

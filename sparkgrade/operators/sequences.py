@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,11 +25,11 @@ def masked_mean(values: Column, mask: Column) -> Column:
 
 
 def masked_var(values: Column, mask: Column) -> Column:
-    """With Bessel's correction; an error if the mask has one element or none."""
+    """With Bessel's correction; an error if the mask has one element or none. The mean is evaluated once for each row."""
     n = F.aggregate(mask, F.lit(0.0), lambda a, x: a + x)
-    mean = masked_mean(values, mask)
-    centred = F.transform(values, lambda x: (x - mean) * (x - mean))
-    return F.when(n <= 1, F.raise_error(F.lit("a variance needs two elements")).cast("double")).otherwise(masked_mean(centred, mask) * n / (n - 1))
+    centred = lambda mean: F.transform(values, lambda x: (x - mean) * (x - mean))
+    spread = F.transform(F.array(masked_mean(values, mask)), lambda mean: masked_mean(centred(mean), mask))[0]
+    return F.when(n <= 1, F.raise_error(F.lit("a variance needs two elements")).cast("double")).otherwise(spread * n / (n - 1))
 
 
 def response_mask(ids: Column, eos) -> Column:
@@ -39,31 +39,58 @@ def response_mask(ids: Column, eos) -> Column:
     return F.transform(ids, lambda x, i: F.when(first.isNull() | (i <= first), 1).otherwise(0))
 
 
+#: Values that a scan appends to one array before it sets it aside.
+BLOCK = 256
+
+
+def scanned(rows: Column, start: dict[str, Column], step) -> Column:
+    """Array of doubles, one for each of rows: step(state, row) gives (the next state, the value).
+
+    Values are gathered in blocks, so a long array doesn't cost the square of its length.
+    """
+    none = F.expr("CAST(array() AS array<double>)")
+    names = list(start)
+    first = F.struct(*(v.cast("double").alias(n) for n, v in start.items()), none.alias("_own"), F.expr("CAST(array() AS array<array<double>>)").alias("_full"))
+
+    def fold(a: Column, x: Column) -> Column:
+        state, value = step(a, x)
+        one, full = F.array(value.cast("double")), F.size(a["_own"]) >= BLOCK
+        own = F.when(full, one).otherwise(F.concat(a["_own"], one))
+        return F.struct(*(state[n].cast("double").alias(n) for n in names), own.alias("_own"), F.when(full, F.concat(a["_full"], F.array(a["_own"]))).otherwise(a["_full"]).alias("_full"))
+
+    return F.aggregate(rows, first, fold, lambda a: F.concat(F.flatten(a["_full"]), a["_own"]))
+
+
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted sums; the running sum starts anew after a masked token."""
-    rows = F.reverse(_struct_zip(["r", "m"], [rewards, mask]))
-    start = F.struct(F.lit(0.0).alias("run"), F.expr("CAST(array() AS array<double>)").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        now = x["r"].cast("double") + gamma * a["run"]
-        return F.struct((now * x["m"]).cast("double").alias("run"), F.concat(a["out"], F.array(now.cast("double"))).alias("out"))
+    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        now = x["r"] + gamma * a["run"]
+        return {"run": now * x["m"]}, now
 
-    return F.reverse(F.aggregate(rows, start, step, lambda a: a["out"]))
+    return F.reverse(scanned(F.reverse(_struct_zip(["r", "m"], [rewards, mask])), {"run": F.lit(0.0)}, step))
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Array of advantages: the reverse recurrence; masked tokens carry the next value and sum through."""
-    rows = F.reverse(_struct_zip(["r", "v", "m"], [rewards, values, mask]))
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("sum"), F.expr("CAST(array() AS array<double>)").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
         m = x["m"].cast("double")
-        delta = x["r"] + gamma * a["next"] - x["v"]
-        now = delta + gamma * lam * a["sum"]
+        now = x["r"] + gamma * a["next"] - x["v"] + gamma * lam * a["sum"]
         kept = now * m + (1 - m) * a["sum"]
-        return F.struct((x["v"] * m + (1 - m) * a["next"]).cast("double").alias("next"), kept.cast("double").alias("sum"), F.concat(a["out"], F.array(kept.cast("double"))).alias("out"))
+        return {"next": x["v"] * m + (1 - m) * a["next"], "sum": kept}, kept
+
+    return F.reverse(scanned(F.reverse(_struct_zip(["r", "v", "m"], [rewards, values, mask])), {"next": F.lit(0.0), "sum": F.lit(0.0)}, step))
+
 
-    return F.reverse(F.aggregate(rows, start, step, lambda a: a["out"]))
+def gae_whitened(df: DataFrame, rewards: str, values: str, mask: str, gamma: float, lam: float) -> DataFrame:
+    """Adds advantages, whitened over all masked-in tokens, and returns (advantages before that, plus values)."""
+    got = df.withColumn("_a", gae(F.col(rewards), F.col(values), F.col(mask), gamma, lam))
+    tokens = got.select(F.explode(F.arrays_zip(F.col("_a").alias("a"), F.col(mask).alias("m"))).alias("t")).where("t.m <> 0")
+    moments = tokens.agg(F.avg("t.a").alias("_mean"), F.var_samp("t.a").alias("_var"))
+    whole = got.crossJoin(F.broadcast(moments))
+    out = F.transform("_a", lambda x: (x - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8))
+    return whole.select(*df.columns, out.alias("advantages"), F.zip_with("_a", values, lambda a, v: a + v).alias("returns"))
 
 
 def softmax_of(logprobs: Column) -> Column:
