@@ -18,16 +18,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | None = None,
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """file, offset order, record, reason of every line: why a line has no record (blank_line, malformed, not_an_object), or null.
+    """file, line (from 1), record, reason of every line: why a line has no record (blank_line, malformed, not_an_object), or null.
 
-    Lines are numbered within a file by their places in it, which only whole files have: for
-    files of one split. The fast readers above don't number lines.
+    Files are read in splits. A line's number is its place in its split, after the lines of the
+    splits before it in the file, so no file is held in one row or one task.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    counts = text.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("file").alias("_f"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = text.withColumn("_i", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at")))
+    text = placed.join(starts, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b"))).select("file", (F.col("_before") + F.col("_i")).alias("line"), "text")
     bare = F.btrim(F.col("text"), F.lit(" \t\r\n"))
     parsed = F.from_json("text", schema, {"mode": "PERMISSIVE"})
     reason = F.when(bare == "", "blank_line").when(F.try_parse_json(bare).isNull(), "malformed").when(~bare.startswith("{"), "not_an_object")
-    return text.select("file", (F.col("line") + 1).alias("line"), reason.alias("reason"), F.when(reason.isNull(), parsed).alias("record"))
+    return text.select("file", "line", reason.alias("reason"), F.when(reason.isNull(), parsed).alias("record"))
 
 
 def skip_reasons(lines: DataFrame) -> DataFrame:
@@ -61,14 +66,33 @@ def read_tree(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
     return out
 
 
-def parquet_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The columns, with file and row_index, a row's number in its file."""
-    return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+def discover(spark: SparkSession, root: str, names: list[str]) -> tuple[list[str], list[str]]:
+    """(the Parquet files of the named folders below root, in order; the folders that have none)."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found, missing = [], []
+    for name in names:
+        at = fs.Path(f"{root.rstrip('/')}/{name}")
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        own = [str(f.getPath()) for f in store.listStatus(at) if str(f.getPath()).endswith(".parquet")] if store.exists(at) else []
+        found += sorted(own)
+        if not own:
+            missing.append(name)
+    return found, missing
 
 
-def rows_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows at given files and row numbers."""
-    return rows.join(wanted.select("file", "row_index"), ["file", "row_index"])
+def parquet_rows(spark: SparkSession, path: str, columns: list[str], across: bool = False) -> DataFrame:
+    """The columns, with file and row_index, a row's number in its file; across: also row, its number over all files in the order of their names."""
+    rows = spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    if not across:
+        return rows
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(F.col("file").alias("_f"), F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return rows.join(starts, F.col("file") == F.col("_f")).select(*columns, "file", "row_index", (F.col("_start") + F.col("row_index")).alias("row"))
+
+
+def rows_at(rows: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ("file", "row_index")) -> DataFrame:
+    """Rows at given files and row numbers (or by=("row",): at numbers over all files)."""
+    return rows.join(wanted.select(*by), list(by))
 
 
 def read_mixed(spark: SparkSession, paths: list[str], most: int | None = None, seed: int | None = None, key: str | None = None) -> DataFrame:
@@ -96,6 +120,20 @@ def write_steps(df: DataFrame, folder: str, step: str = "step") -> None:
     df.write.mode("append").partitionBy(step).json(folder)
 
 
+def dump_step(columns: dict[str, list], spark: SparkSession, folder: str, step: int) -> str:
+    """Writes one step's columns, lists of one length (else ValueError), as {step}.jsonl; returns the path. The rows are one batch, and small."""
+    if len({len(v) for v in columns.values()}) > 1:
+        raise ValueError(f"lengths differ: { {k: len(v) for k, v in columns.items()} }")
+    import json
+
+    rows = [dict(zip(columns, r, strict=True)) | {"step": step} for r in zip(*columns.values(), strict=True)]
+    files = Files(spark)
+    files.make(folder)
+    target = f"{folder.rstrip('/')}/{step}.jsonl"
+    files.write(target, "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows))
+    return target
+
+
 def write_summary(df: DataFrame, folder: str) -> None:
     """A small summary in one CSV file and one of JSON lines, replaced each time."""
     one = df.coalesce(1)
@@ -120,12 +158,129 @@ def rewrite_parquet(spark: SparkSession, source: str, target: str, change, check
     if told["bad"] or told["n"] != rows.count():
         store.delete(path(beside), True)
         raise ValueError(f"{told['bad']} rows fail the check, {told['n']} rows written")
-    if store.exists(path(target)):
-        store.delete(path(target), True)
-    store.rename(path(beside), path(target))
+    # The old table steps aside and goes last, so that one of the two is whole at any time.
+    aside = f"{target}.{uuid.uuid4().hex}.old"
+    had = store.exists(path(target))
+    if had and not store.rename(path(target), path(aside)):
+        raise OSError(f"{target} can't be moved")
+    if not store.rename(path(beside), path(target)):
+        if had:
+            store.rename(path(aside), path(target))
+        raise OSError(f"{target} can't be put in place")
+    if had:
+        store.delete(path(aside), True)
     return told["n"]
 
 
+def write_results(scores: DataFrame, path: str, row: str, model: str, columns: list[str]) -> DataFrame:
+    """The evaluation sink: a JSON line for each row with a map of each model's scores; returns what was written, read again."""
+    from ..operators.matching import results_map
+
+    results_map(scores, row, model, columns).write.mode("overwrite").json(path)
+    return scores.sparkSession.read.json(path)
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one where a local session has none."""
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sparkgrade-")
+    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+#: The columns that may hold a truth, in their order; then the field of reward_model.
+TRUTH_COLUMNS = ("gts", "ground_truth", "gt")
+
+
+def truth_of(df: DataFrame) -> Column:
+    """The first of the truth columns that the frame has and that isn't null, then reward_model.ground_truth."""
+    found = [F.col(c).cast("string") for c in TRUTH_COLUMNS if c in df.columns]
+    if "reward_model" in df.columns and "ground_truth" in df.schema["reward_model"].dataType.fieldNames():
+        found.append(F.col("reward_model.ground_truth").cast("string"))
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def parse_records(df: DataFrame, prompt: str = "input", output: str = "output") -> DataFrame:
+    """Adds option_a, option_b, answer, thinking, last_sentence and reason: the first rule by which a row is no record, or null (then only are the others set)."""
+    from ..functions import text
+
+    p, o = F.col(prompt), F.col(output)
+    lines = F.filter(text.option_lines(p), lambda x: x["letter"].isNotNull())
+    last = lambda letter: (lambda own: F.get(own, F.size(own) - 1)["value"])(F.filter(lines, lambda x: x["letter"] == letter))
+    a, b = last("A"), last("B")
+    think = text.thinking(o)
+    said = F.regexp_extract_all(F.substring_index(o, "</think>", -1), F.lit(r"(?i)\"answer\"\s*:\s*\"\(?([AB])\)?\""), F.lit(1))
+    answer = F.upper(F.get(said, F.size(said) - 1))
+    reason = (
+        F.when(p.isNull() | o.isNull(), "missing_input_or_output").when(a.isNull() | b.isNull(), "no_ab_options").when(~F.contains(o, F.lit("</think>")), "missing_think_end")
+        .when(think == "", "empty_thinking").when(answer.isNull(), "missing_final_answer")
+    )
+    values = {"option_a": text.trimmed(a), "option_b": text.trimmed(b), "answer": answer, "thinking": think, "last_sentence": text.last_sentence_of_paragraph(think)}
+    got = df.withColumn("reason", reason)
+    return got.select("*", *(F.when(F.col("reason").isNull(), v).alias(n) for n, v in values.items()))
+
+
+def bound_media(text: Column, images: Column) -> Column:
+    """Array of (type, text, item): the parts of a text with the image of each mark in order; an error when run if marks and images aren't as many."""
+    from ..functions.text import media_parts
+
+    parts = F.filter(media_parts(text), lambda p: p["type"].isin("text", "image"))
+    marks = F.size(F.filter(parts, lambda p: p["type"] == "image"))
+    have = F.coalesce(F.size(images), F.lit(0))
+    number = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), lambda p: p["type"] == "image"))
+    bound = F.transform(parts, lambda p, i: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.when(p["type"] == "image", F.get(images, number(i))).alias("item")))
+    return F.when(marks != have, F.raise_error(F.concat(marks.cast("string"), F.lit(" marks and "), have.cast("string"), F.lit(" images"))).cast(f"array<struct<type:string,text:string,item:{'string'}>>")).otherwise(bound)
+
+
+def revealed(parts: Column, truth: Column, reveal: bool = True) -> Column:
+    """The parts, and where wanted the truth as one more part at the end."""
+    return F.concat(parts, F.array(F.struct(F.lit("text").alias("type"), truth.alias("text"), F.lit(None).cast("string").alias("item")))) if reveal else parts
+
+
+def search_rows(df: DataFrame, source: Column, question: Column, targets: Column, split: str, index: Column, system: str | None = None) -> DataFrame:
+    """data_source (with its prefix), prompt, ability, reward_model, extra_info with the arguments of a search tool: rows of a tool-using training set."""
+    user = F.struct(F.lit("user").alias("role"), question.alias("content"))
+    turns = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), user) if system else F.array(user)
+    named = F.concat(F.lit("searchR1_"), source)
+    truth = F.struct(targets.alias("target"))
+    create = F.struct(truth.alias("ground_truth"), question.alias("question"), named.alias("data_source"))
+    info = F.struct(F.lit(split).alias("split"), index.cast("long").alias("index"), F.lit(True).alias("need_tools_kwargs"), F.struct(F.struct(create.alias("create_kwargs")).alias("search")).alias("tools_kwargs"))
+    return df.select(named.alias("data_source"), turns.alias("prompt"), F.lit("fact-reasoning").alias("ability"), F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"), info.alias("extra_info"))
+
+
+def mapped_union(parts: list[tuple[DataFrame, object]]) -> DataFrame:
+    """The rows of several sources, each through its own function of a DataFrame, under one schema."""
+    out = None
+    for df, change in parts:
+        own = change(df)
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def normal_messages(messages: Column) -> Column:
+    """(role, content) in lower-case roles without blanks around them; `human` and `gpt`, as some sets call them, are user and assistant; empty turns go."""
+    names = F.create_map(*(F.lit(x) for pair in (("human", "user"), ("gpt", "assistant"), ("bot", "assistant")) for x in pair))
+    role = lambda m: F.lower(F.trim(m["role"]))
+    out = F.transform(messages, lambda m: F.struct(F.coalesce(names[role(m)], role(m)).alias("role"), m["content"].alias("content")))
+    return F.filter(out, lambda m: F.coalesce(F.trim(m["content"]), F.lit("")) != "")
+
+
+def load_rollouts(spark: SparkSession, paths: list[str], length: Column | None = None, longest: int | None = None, most: int | None = None, seed: int | None = None, key: str | None = None) -> DataFrame:
+    """Rows of Parquet, JSON and JSON lines; without prompts over `longest` tokens; then at most `most` rows, by a seeded hash of the key if there is one."""
+    rows = read_mixed(spark, paths)
+    if length is not None and longest is not None:
+        rows = prompt_length_filter(rows, length, longest)
+    if most is None:
+        return rows
+    from ..operators.filters import hash_sample
+
+    return hash_sample(rows, most, seed, key) if seed is not None and key else rows.limit(most)
+
+
 def enrich_options(df: DataFrame, prompt: Column, info: str, source: str, gated: set[str], detection: set[str]) -> DataFrame:
     """Adds option_a and option_b to the info struct of gated sources; status: added, present, detection or an error's message."""
     from ..functions.text import strict_options
@@ -212,6 +367,16 @@ class Files:
         store, p = self._at(path)
         store.mkdirs(p)
 
+    def list(self, folder: str, ending: str) -> list[str]:
+        store, p = self._at(folder)
+        return sorted(x for f in store.listStatus(p) if (x := str(f.getPath())).endswith(ending))
+
+    def write(self, path: str, text: str) -> None:
+        store, p = self._at(path)
+        out = store.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def copy(self, source: str, target: str) -> None:
         (a, p), (b, q) = self._at(source), self._at(target)
         self.fs.FileUtil.copy(a, p, b, q, False, self.conf)

@@ -34,18 +34,54 @@ def evictions(states: DataFrame, now: int, threshold: int | None = None, constan
     return states.withColumn("reason", reason)
 
 
-def sample_groups(states: DataFrame, now: int, size: int, threshold: int | None = None, wait: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(the oldest `size` ready groups, or none if there are fewer or a group in flight is at the threshold; a row of eviction counts and the refill asked for)."""
+def sample_groups(states: DataFrame, now: int, size: int, threshold: int | None = None, wait: bool = False, refill: int = 2) -> tuple[DataFrame, DataFrame]:
+    """refill: prompts asked for in place of an evicted one (1: a buffer that keeps its size while it waits).
+
+    (the oldest `size` ready groups, or none if there are fewer or a group in flight is at the threshold; a row of eviction counts and the refill asked for)."""
     told = evictions(states, now, threshold)
     ready = told.where(F.col("ended") & F.col("reason").isNull()).orderBy("born", "uid").limit(size)
     gate = told.agg((F.count_if(F.col("ended") & F.col("reason").isNull()) >= size).alias("enough"), (F.count_if(~F.col("ended") & (F.lit(now) - F.col("born") + 1 >= (threshold if threshold is not None else 1 << 60))) > 0).alias("blocked"))
     open_gate = F.col("enough") & (~F.col("blocked") if wait else F.lit(True))
     chosen = ready.crossJoin(F.broadcast(gate.select(open_gate.alias("_go")))).where("_go").drop("_go")
     gone = told.where("reason IS NOT NULL")
-    counts = gone.agg(F.count(F.lit(1)).alias("evicted"), F.count_if(F.col("reason") == "stale").alias("stale"), F.count_if(F.col("reason") == "failed").alias("failed"), F.count_if(F.col("reason") == "constant").alias("constant"), (2 * F.count(F.lit(1))).alias("refill"))
+    counts = gone.agg(F.count(F.lit(1)).alias("evicted"), F.count_if(F.col("reason") == "stale").alias("stale"), F.count_if(F.col("reason") == "failed").alias("failed"), F.count_if(F.col("reason") == "constant").alias("constant"), (refill * F.count(F.lit(1))).alias("refill"))
     return chosen, counts
 
 
+def drained(states: DataFrame, sampled: DataFrame, now: int, threshold: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the groups that stay: neither evicted nor sampled; those that are discarded, with why: sampled or the reason)."""
+    told = evictions(states, now, threshold).join(sampled.select("uid", F.lit(True).alias("_s")), "uid", "left")
+    why = F.when(F.col("_s"), "sampled").otherwise(F.col("reason"))
+    marked = told.withColumn("why", why).drop("_s", "reason")
+    return marked.where("why IS NULL").drop("why"), marked.where("why IS NOT NULL")
+
+
+def count_or_time(rows: DataFrame, queue: str, at: str, order: list[str], most: int, wait: float) -> DataFrame:
+    """Adds batch: a queue's rows in order; a batch ends when it has `most` rows, or a row comes `wait` or more after its first one.
+
+    A queue is what one server's worker sees, and is as long as that; one fold passes over it.
+    """
+    from ..operators.sequences import scanned
+
+    own = rows.groupBy(queue).agg(F.sort_array(F.collect_list(F.struct(at, *order))).alias("_rows"))
+
+    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        t = x[at].cast("double")
+        new = (a["n"] >= most) | (t - a["first"] >= wait) | (a["n"] == 0)
+        batch = F.when(new, a["batch"] + 1).otherwise(a["batch"])
+        return {"n": F.when(new, 1.0).otherwise(a["n"] + 1), "first": F.when(new, t).otherwise(a["first"]), "batch": batch}, batch
+
+    start = {"n": F.lit(0.0), "first": F.lit(0.0), "batch": F.lit(-1.0)}
+    each = own.select(queue, F.explode(F.arrays_zip("_rows", scanned(F.col("_rows"), start, step).alias("_b"))).alias("_x"))
+    return each.select(queue, *(F.col(f"_x._rows.{c}").alias(c) for c in (at, *order)), F.col("_x._b").cast("long").alias("batch"))
+
+
+def next_queue(queued: dict[str, int]) -> str | None:
+    """The task of the longest queue, the first named of equal ones; null if all are empty. One task runs at a time."""
+    waiting = {k: n for k, n in queued.items() if n > 0}
+    return max(waiting, key=waiting.get) if waiting else None
+
+
 def staleness_metrics(rows: DataFrame, first: str, last: str, now: Column) -> DataFrame:
     """One row: spans of versions within a trajectory and their age, mean, maximum and minimum."""
     span, age = F.col(last) - F.col(first), now - F.col(last)
@@ -112,23 +148,26 @@ class TokenBucket:
             waited += pause
 
 
-def rate_limited(df: DataFrame, call, schema: str, per_second: float, batch: int = 32, tries: int = 3) -> DataFrame:
-    """call(frame of at most `batch` rows) over the rows, at most per_second rows a second in all; failures are tried again with doubled waits."""
+def rate_limited(df: DataFrame, call, schema: str, per_second: float, batch: int = 32, tries: int = 5, tokens: str | None = None, tokens_per_second: float | None = None, retry: tuple = (OSError, TimeoutError)) -> DataFrame:
+    """call(frame of at most `batch` rows) over the rows, at most per_second rows a second in all (and tokens_per_second of the column `tokens`); failures of the kinds in retry are tried again with doubled waits."""
     import time
 
     parts = df.rdd.getNumPartitions()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket = TokenBucket(per_second / parts, max(batch, per_second / parts))
+        budget = TokenBucket(tokens_per_second / parts) if tokens and tokens_per_second else None
         for frame in frames:
             for i in range(0, len(frame), batch):
                 some = frame.iloc[i : i + batch]
                 for k in range(tries):
                     bucket.acquire(len(some))
+                    if budget:
+                        budget.acquire(float(some[tokens].sum()))
                     try:
                         yield call(some)
                         break
-                    except (OSError, TimeoutError):
+                    except retry:
                         if k == tries - 1:
                             raise
                         time.sleep(min(30, 2**k))
