@@ -11,6 +11,7 @@ from ..functions import boxes, parsers, text
 from ..operators import advantages as adv
 from ..operators import correction, filters, losses, matching, metrics, packing, scoring, sequences, shapes
 from ..streaming import lifecycle
+from . import cases, files, more
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,6 +36,11 @@ def _r(c: Column | str, digits: int = 4) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
+def seeded_sql(seed: int, key: str) -> str:
+    """The number that filters.seeded() gives a key."""
+    return f"(('0x' || md5('{seed}_' || {key})[1:13])::BIGINT / 4503599627370496.0)"
+
+
 # Group-relative advantages: an order is a prompt, a line a response, the quantity its score, the line number its length.
 
 _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -223,14 +229,19 @@ for _kind, _sql in _LOSS_SQL.items():
 
 @query(
     f"""WITH t AS (SELECT * FROM {_TOKENS_SQL}), m AS (SELECT sum(advantage * mask) / (sum(mask) + 1e-8) AS a, sum(logp * mask) / (sum(mask) + 1e-8) AS l FROM t),
-    c AS (SELECT t.*, (advantage - a) * (logp - l) AS cov FROM t, m), b AS (SELECT quantile_cont(cov, 0.98) AS bound FROM c WHERE mask <> 0)
-    SELECT event_id, round(-advantage * {_RATIO} + CASE WHEN mask <> 0 AND cov >= bound THEN abs(logp - old_logp) ELSE 0 END, 4) + 0.0 AS loss FROM c, b"""
+    c AS (SELECT t.*, (advantage - a) * (logp - l) AS cov FROM t, m), b AS (SELECT *, row_number() OVER (PARTITION BY mask <> 0 ORDER BY cov DESC, event_id) AS k, count(*) FILTER (mask <> 0) OVER () AS n FROM c)
+    SELECT event_id, round(-advantage * {_RATIO} + CASE WHEN mask <> 0 AND k <= greatest(1, floor(n * 0.02)) THEN abs(logp - old_logp) ELSE 0 END, 4) + 0.0 AS loss FROM b"""
 )
 def loss_kl_cov(spark, d):
-    return losses.kl_cov(_tokens(spark, d), ratio=0.02).select("event_id", _r("loss").alias("loss"))
+    return losses.kl_cov(_tokens(spark, d), ratio=0.02, order=["event_id"]).select("event_id", _r("loss").alias("loss"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT *, {_RATIO} AS r FROM {_TOKENS_SQL}), m AS (SELECT sum(advantage * mask) / (sum(mask) + 1e-8) AS a, sum(logp * mask) / (sum(mask) + 1e-8) AS l, greatest(1, floor(0.02 * sum(mask))) AS quota FROM t),
+    c AS (SELECT t.*, quota, (advantage - a) * (logp - l) AS cov, -advantage * r AS plain, -advantage * least(greatest(r, 0.8), 1.2) AS cut FROM t, m),
+    e AS (SELECT *, mask <> 0 AND cov BETWEEN 1 AND 5 AND NOT cut > plain AS eligible FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY {seeded_sql(0, "event_id")}, event_id) AS k FROM e)
+    SELECT event_id, round(CASE WHEN eligible AND k <= quota THEN 0 WHEN advantage < 0 THEN least(-advantage * 1e9, greatest(plain, cut)) ELSE greatest(plain, cut) END, 4) + 0.0 AS loss FROM k"""
+)
 def loss_clip_cov(spark, d):
     return losses.clip_cov(_tokens(spark, d), ratio=0.02, order=["event_id"]).select("event_id", _r("loss").alias("loss"))
 
@@ -404,10 +415,15 @@ def validation_best_worst(spark, d):
     return got.groupBy("event_type", "k").agg(_r(F.avg("best")).alias("best"), _r(F.avg("worst")).alias("worst"))
 
 
-@query()
+@query(
+    _LADDER_SQL
+    + """, u AS (SELECT event_type, user_id, avg(value) AS a, stddev_pop(value) AS s, count(*) AS n FROM events GROUP BY ALL),
+    m AS (SELECT event_type, 'mean@' || n AS metric, a AS value FROM u UNION ALL SELECT event_type, 'std@' || n, s FROM u WHERE n > 1 UNION ALL SELECT event_type, 'best@' || k, best FROM e UNION ALL SELECT event_type, 'worst@' || k, worst FROM e)
+    SELECT event_type, metric, round(avg(value), 3) AS value FROM m GROUP BY ALL"""
+)
 def validation_metric_tree(spark, d):
     got = metrics.validation_metrics(_t(spark, d, "events"), "event_type", "user_id", "value")
-    return got.select("event_type", "metric", _r("value").alias("value"))
+    return got.select("event_type", "metric", _r("value", 3).alias("value"))
 
 
 @query()
@@ -478,14 +494,18 @@ def aggregate_steps(spark, d):
     return metrics.aggregate_steps(rows).select("key", _r("value").alias("value"))
 
 
+def _moments_sql(name: str, c: str) -> str:
+    return ", ".join(f"round({f}({c}), 4)::DOUBLE AS {name}_{k}" for k, f in (("mean", "avg"), ("max", "max"), ("min", "min")))
+
+
 @query(
-    """SELECT round(avg(l_quantity), 4) AS score_mean, round(max(l_quantity), 4) AS score_max, round(min(l_quantity), 4) AS score_min, round(avg(l_extendedprice), 4) AS reward_mean, round(avg(l_linenumber), 4) AS response_length_mean,
-    round(avg((l_linenumber = 7)::INT), 4) AS response_length_clip_ratio, round(1 - var_samp(l_quantity - 50 * l_discount) / (var_samp(l_quantity) + 1e-5), 4) AS explained_variance FROM lineitem"""
+    f"""SELECT {_moments_sql("score", "l_quantity")}, {_moments_sql("reward", "l_extendedprice")}, {_moments_sql("advantage", "l_discount")}, {_moments_sql("returns", "l_quantity")}, {_moments_sql("prompt_length", "l_suppkey")}, round(avg((l_suppkey = 100)::INT), 4) AS prompt_length_clip_ratio,
+    {_moments_sql("response_length", "l_linenumber")}, round(avg((l_linenumber = 7)::INT), 4) AS response_length_clip_ratio, round(avg((l_linenumber = 0)::INT), 4) AS aborted_ratio, round(1 - var_samp(l_quantity - 50 * l_discount) / (var_samp(l_quantity) + 1e-5), 4) AS explained_variance FROM lineitem"""
 )
 def data_metrics(spark, d):
     rows = _t(spark, d, "lineitem").withColumn("v", 50 * F.col("l_discount"))
     got = metrics.data_metrics(rows, "l_quantity", "l_extendedprice", "l_discount", "l_quantity", "l_suppkey", "l_linenumber", 100, 7, "v")
-    return got.select(*(_r(c).alias(c) for c in ("score_mean", "score_max", "score_min", "reward_mean", "response_length_mean", "response_length_clip_ratio", "explained_variance")))
+    return got.select(*(_r(c).alias(c) for c in got.columns))
 
 
 @query("SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS conflicts, round(avg((l_linestatus = 'O')::INT), 4) AS rate, round(avg(l_discount), 4) AS confidence, count(*) FILTER (l_linestatus = 'O' AND l_discount >= 0.05) AS at_5 FROM lineitem GROUP BY 1")
@@ -569,12 +589,16 @@ def same_version_sample(spark, d):
     return filters.same_version(_t(spark, d, "events").select("event_id", "user_id"), "user_id", 1).select("event_id")
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders ORDER BY {seeded_sql(42, 'o_orderkey')}, o_orderkey LIMIT 50")
 def hash_sample(spark, d):
     return filters.hash_sample(_t(spark, d, "orders").select("o_orderkey"), 50, 42, "o_orderkey")
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT c_custkey, pow(abs(c_acctbal), 2) AS w FROM customer), r AS (SELECT c_custkey, w, sum(w) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS up FROM w),
+    i AS (SELECT c_custkey, coalesce(lag(up) OVER (ORDER BY c_custkey), 0) AS lo, up FROM r), u AS (SELECT x AS draw, {seeded_sql(7, "x")} AS u FROM (SELECT unnest(range(500)) AS x))
+    SELECT c_custkey, draw FROM u JOIN i ON u >= lo AND u < up"""
+)
 def weighted_resample(spark, d):
     got = filters.draw_with_replacement(_t(spark, d, "customer").select("c_custkey", "c_acctbal"), filters.score_weights(F.col("c_acctbal"), "pow"), 500, 7, ["c_custkey"])
     return got.select("c_custkey", "draw")
@@ -720,7 +744,12 @@ def json_scalars(spark, d):
     return _t(spark, d, "events").select("event_id", _r(F.get_json_object("props", "$.k").try_cast("double")).alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS one, list_filter(regexp_split_to_array(text, '\n[ \t\n\x0b\f\r]*\n'), lambda p: regexp_matches(p, '[^ \t\n\x0b\f\r]')) AS parts FROM documents),
+    c AS (SELECT doc_id, one, list_filter(list_transform(string_split(replace(regexp_replace(one, '([!?\x{3002}\x{FF01}\x{FF1F}])', '\1' || chr(1), 'g'), '. ', '.' || chr(1)), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s,
+      string_split(regexp_replace(regexp_replace(parts[-1], '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g'), '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM d)
+    SELECT doc_id, coalesce(s[-1], one) AS last, l[-1] AS last_of_paragraph FROM c"""
+)
 def last_sentences(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.last_sentence(F.col("text")).alias("last"), text.last_sentence_of_paragraph(F.col("text")).alias("last_of_paragraph"))
 
@@ -744,10 +773,14 @@ def answer_score(spark, d):
     return g.select("event_id", scoring.json_answer(F.col("solution"), F.col("truth")).alias("score"), th.alias("thinking"), text.last_sentence(th).alias("last"))
 
 
-@query("SELECT event_id, 1.0 AS score FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 3 = 0)::INT::DOUBLE WHEN 1 THEN (event_id % 3 = 0)::INT::DOUBLE WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE -1.0 END ELSE (event_id % 3 = 0)::INT::DOUBLE END AS score FROM events")
 def routed_score(spark, d):
-    rows = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "json").otherwise("number").alias("source"), F.concat(F.lit('it is {"answer": "b"} #### '), F.col("event_id").cast("string")).alias("solution"), F.when(F.col("event_id") % 2 == 0, "B").otherwise(F.col("event_id").cast("string")).alias("truth"))
-    return scoring.route(rows, "source", "solution", "truth", {"json": "json_answer", "number": "last_number"}).select("event_id", "score")
+    """Four sources with a scorer each; a third of the solutions is right."""
+    e, right = F.col("event_id"), F.col("event_id") % 3 == 0
+    n = e.cast("string")
+    said = F.when(e % 4 == 0, F.concat(F.lit('it is {"answer": "'), F.when(right, " (b) ").otherwise("c"), F.lit('"}'))).when(e % 4 == 1, F.concat(F.lit("about 1 and "), F.when(right, n).otherwise(F.concat(n, F.lit("1"))))).when(e % 4 == 2, F.concat(F.lit("Answer: "), F.when(right, F.concat(n, F.lit(" cm"))).otherwise("0.5"))).otherwise(F.concat(F.lit("\\boxed{"), F.when(right, n).otherwise("x"), F.lit("}")))
+    rows = _t(spark, d, "events").select("event_id", F.concat(F.lit("s"), (e % 4).cast("string")).alias("source"), said.alias("solution"), F.when(e % 4 == 0, "B").otherwise(n).alias("truth"))
+    return scoring.route(rows, "source", "solution", "truth", {"s0": "json_answer", "s1": "last_number", "s2": "minerva", "s3": "boxed_exact"}).select("event_id", "score")
 
 
 @query("SELECT event_id, round(CASE WHEN event_id % 500 < 500 THEN i / (160000 + 160000 - i) END, 4) AS iou FROM (SELECT event_id, greatest(least(event_id % 500 + 400, 700) - greatest(event_id % 500, 300), 0) * greatest(least(event_id % 300 + 400, 600) - greatest(event_id % 300, 200), 0) AS i FROM events)")
@@ -758,13 +791,21 @@ def box_iou(spark, d):
     return _t(spark, d, "events").select("event_id", _r(boxes.iou_column(a, b)).alias("iou"))
 
 
-@query()
+def _overlap_sql(a: int, b: int, c: int, e: int) -> str:
+    return f"greatest(least(event_id % 500 + 400, {c}) - greatest(event_id % 500, {a}), 0) * greatest(least(event_id % 300 + 400, {e}) - greatest(event_id % 300, {b}), 0)"
+
+
+@query(f"SELECT event_id, round(greatest(i / (320000 - i), j / (320000 - j)) / 2, 4) AS score FROM (SELECT event_id, {_overlap_sql(0, 0, 400, 400)} AS i, {_overlap_sql(300, 200, 700, 600)} AS j FROM events)")
 def hungarian_box_score(spark, d):
     truth = '{"boxes": [[0,0,400,400],[300,200,700,600]]}'
     return _graded(spark, d).select("event_id", _r(boxes.hungarian_iou("solution", F.lit(truth))).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH o AS (SELECT event_id, event_id % 4 IN (0, 2) AS same, {_overlap_sql(100, 100, 500, 500)} AS i, 300 - (event_id % 500 + 200) AS dx, event_id % 300 + 200 - 120 AS dy FROM events),
+    p AS (SELECT event_id, same, i / (320000 - i) AS iou, CASE WHEN sqrt(dx * dx + dy * dy) < 1e-9 THEN 0 ELSE greatest(0, least(1, dy / sqrt(dx * dx + dy * dy))) END AS agree FROM o)
+    SELECT event_id, round(CASE WHEN same THEN 0.1 + 0.25 * iou + 0.25 * iou * agree + 0.4 * 0.5 ELSE 0 END, 4) + 0.0 AS consistency, round(0.25 * iou + 0.25 * iou * agree + 0.5 * 0.5, 4) AS detection FROM p"""
+)
 def box_composites(spark, d):
     truth = '{"answer": "a", "boxes": [{"bbox": [100, 100, 500, 500], "label": "move (300, 100)"}]}'
     given = F.regexp_replace("solution", r"\[\[(.*?)\]\]", '[{"bbox": [$1], "label": "move (300, 120)"}]')
@@ -786,14 +827,14 @@ def cosine_to_first(spark, d):
     return e.crossJoin(F.broadcast(first)).select("vec_id", _r(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).alias("cosine"))
 
 
-@query()
+@query("SELECT event_id, 'look' AS name, '{\"id\": ' || event_id || '}' AS arguments FROM events")
 def tool_calls(spark, d):
     e = F.col("event_id").cast("string")
     t = F.concat(F.lit("<function=look><parameter=id>"), e, F.lit("</parameter></function>"))
     return _t(spark, d, "events").select("event_id", F.explode(parsers.tool_calls(t, "function_xml")).alias("c")).select("event_id", "c.*")
 
 
-@query()
+@query("SELECT event_id, '\\frac{' || (event_id % 9 + 1) || '}{2}' AS form, event_id % 9 + 1 = 3 AS equal FROM events")
 def math_forms(spark, d):
     t = F.concat(F.lit("so \\boxed{\\frac"), (F.col("event_id") % 9 + 1).cast("string"), F.lit("2}"))
     return _t(spark, d, "events").select("event_id", parsers.latex_plain(parsers.boxed_answer(t)).alias("form"), parsers.math_equal(parsers.boxed_answer(t), F.lit("1.5")).alias("equal"))
@@ -802,16 +843,20 @@ def math_forms(spark, d):
 # Packing.
 
 
-@query()
+@query("SELECT doc_id // 256 AS batch, count(*) AS rows, sum(n_chars)::BIGINT AS load, true AS balanced FROM documents GROUP BY 1")
 def balanced_parts(spark, d):
+    """Every document has a part, and no two parts of a batch differ by more than the largest load."""
     rows = _t(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 256).alias("batch"), F.col("n_chars").alias("load"))
-    return packing.partition(rows, ["batch"], "doc_id", "load", lambda x: packing.differencing(x, 8))
+    parts = packing.partition(rows, ["batch"], "doc_id", "load", lambda x: packing.differencing(x, 8)).groupBy("batch", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("s"), F.max("load").alias("big"))
+    return parts.groupBy("batch").agg(F.sum("n").alias("rows"), F.sum("s").alias("load"), ((F.max("s") - F.min("s") <= F.max("big")) & (F.max("part") < 8)).alias("balanced"))
 
 
-@query()
+@query("SELECT doc_id // 256 AS batch, count(*) AS rows, sum(n_chars)::BIGINT AS load, true AS within FROM documents GROUP BY 1")
 def token_budget_batches(spark, d):
+    """Every document has a batch, and none is over the budget."""
     rows = _t(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 256).alias("batch"), F.col("n_chars").alias("load"))
-    return packing.partition(rows, ["batch"], "doc_id", "load", lambda x: packing.micro_batches(x, max(200_000, max(x))))
+    parts = packing.partition(rows, ["batch"], "doc_id", "load", lambda x: packing.micro_batches(x, max(200_000, max(x)))).groupBy("batch", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("s"), F.max("load").alias("big"))
+    return parts.groupBy("batch").agg(F.sum("n").alias("rows"), F.sum("s").alias("load"), F.bool_and(F.col("s") <= F.greatest(F.lit(200_000), F.col("big"))).alias("within"))
 
 
 @query("SELECT o_orderkey, 24576 * (o_orderkey % 1000) + (o_orderkey % 1000) * (o_orderkey % 1000) AS load FROM orders")
@@ -838,6 +883,18 @@ def lifecycle_evictions(spark, d):
     return lifecycle.evictions(lifecycle.group_states(_events(spark, d), 3), 100, 90).select("uid", "reason")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS uid, event_id % 4 AS session, CASE WHEN event_id % 10 = 9 THEN 'failure' WHEN event_id % 10 >= 2 THEN 'finished' ELSE 'running' END AS status, event_id // 100 AS step, event_id AS seq, floor(value / 50) AS m FROM events),
+    l AS (SELECT uid, session, arg_max(status, seq) AS status, arg_max(m, seq) AS m, min(step) AS born FROM e GROUP BY ALL),
+    g AS (SELECT uid, count(*) AS n, count(*) FILTER (status IN ('finished', 'failure')) >= 3 AS ended, bool_or(status = 'failure') AS failed, min(born) AS born, min(m) FILTER (status = 'finished') AS lo, max(m) FILTER (status = 'finished') AS hi FROM l GROUP BY uid),
+    r AS (SELECT uid, born, count(*) OVER () AS c FROM g WHERE ended AND NOT failed AND NOT (n > 1 AND lo IS NOT DISTINCT FROM hi)) SELECT uid, born FROM r WHERE c >= 4 ORDER BY born, uid LIMIT 4"""
+)
 def lifecycle_sample(spark, d):
     return lifecycle.sample_groups(lifecycle.group_states(_events(spark, d), 3), 100, 4)[0].select("uid", "born")
+
+
+# Over literal cases, files, and the rest.
+
+for _more in (cases, files, more):
+    QUERIES.update(_more.QUERIES)
+    ORACLE_SQL.update(_more.ORACLE_SQL)

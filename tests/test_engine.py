@@ -173,7 +173,7 @@ def test_json_lines(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text('{"x": 1}\n\nbroken\n[1]\n{"x": 2}\n')
     lines = sources.read_lines(spark, str(path), "x int")
-    assert sorted((r.line, r.reason) for r in lines.where("reason IS NOT NULL").collect()) == [(2, "blank_line"), (3, "malformed"), (4, "not_an_object"), (6, "blank_line")]
+    assert sorted((r.line, r.reason) for r in lines.where("reason IS NOT NULL").collect()) == [(2, "blank_line"), (3, "malformed"), (4, "not_an_object")]
     assert sorted((r.line, r.record.x) for r in lines.where("reason IS NULL").collect()) == [(1, 1), (5, 2)]
     from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -221,11 +221,139 @@ def test_routes_raise_for_unknown_sources(spark):
 
 
 def test_gate_and_judge(spark):
-    df = spark.createDataFrame([("k1", 1, "t", "A"), ("k2", 1, None, "A"), ("k3", 0, "t", "B"), ("k4", 1, "t", "B"), ("k5", 1, "t", "A")], "k string, ok int, think string, answer string")
-    judge = spark.createDataFrame([("k1", "A"), ("k3", "B"), ("k4", "A"), ("k5", "U")], "k string, option string")
-    got = {r.k: (r.gated_score, r.malformed) for r in scoring.reasoning_gate(df, "ok", "think", judge, "k").collect()}
-    assert got == {"k1": (1, 0), "k2": (0, 1), "k3": (0, 0), "k4": (0, 0), "k5": (1, 0)}
+    question = "Are they consistent?\nA. It remains.\nB. It changed.\n"
+    rows = [
+        ("same", "pos", '<think>The layout is stable.</think>{"answer":"A"}', '{"answer":"A"}', question), ("other", "pos", '<think>The layout changed.</think>{"answer":"A"}', '{"answer":"A"}', question),
+        ("wrong", "neg", '<think>The layout is stable.</think>{"answer":"A"}', '{"answer":"B"}', "no options"), ("bare", "pos", '{"answer":"A"}', '{"answer":"A"}', question), ("unclear", "pos", '<think>More is needed.</think>{"answer":"A"}', '{"answer":"A"}', question),
+        ("boxes", "detection", "{}", "{}", None), ("swapped", "pos", '<think>The layout is stable.</think>{"answer":"B"}', '{"answer":"B"}', "Q\nA. It changed.\nB. It remains.\n"),
+    ]
+    df = spark.createDataFrame(rows, "k string, source string, solution string, truth string, prompt string")
+    judge = spark.createDataFrame([("The layout is stable.", "It remains.", "It changed.", "A", 0.0), ("The layout changed.", "It remains.", "It changed.", "B", 0.1), ("More is needed.", "It remains.", "It changed.", "U", 0.9), ("The layout is stable.", "It changed.", "It remains.", "B", 0.0)], "sentence string, option_a string, option_b string, option string, unclear double")
+    gate = lambda d, j: scoring.reasoning_gate(d, "k", "source", "solution", "truth", "prompt", F.lit(1.0), j, {"pos", "neg"})
+    got = {r[0]: tuple(r)[1:] for r in gate(df, judge).collect()}
+    assert got == {"same": (1, 1, 1, 1, 0, 0), "other": (0, 1, 0, 1, 0, 0.1), "wrong": (0, 0, 0, 0, 0, 0), "bare": (0, 1, 0, 1, 1, 0), "unclear": (1, 1, 1, 1, 0, 0.9), "boxes": (1, 1, 1, 0, 0, 0), "swapped": (1, 1, 1, 1, 0, 0)}
+    with pytest.raises(Exception, match="lacks a question"):
+        gate(df, judge.limit(1)).collect()
+    with pytest.raises(Exception, match="isn't A, B or U"):
+        gate(df, judge.withColumn("option", F.lit("C"))).collect()
+    with pytest.raises(Exception, match="two options"):
+        gate(df.withColumn("prompt", F.lit("none")), judge).collect()
     pairs = spark.createDataFrame([("a", "b"), ("X", "x"), (" ", "b"), ("a", "b")], "p string, t string")
     table = spark.createDataFrame([("a", "b", [0.1, 0.2, 0.4, 0.3])], "prediction string, truth string, probabilities array<double>")
     assert sorted(r.judged for r in scoring.with_judge(pairs, "p", "t", table).collect()) == pytest.approx([0, 0.3, 0.3, 1])
     assert text.ACTIONS
+
+
+def test_positions_over_many_partitions(spark):
+    """Rows whose order repeats, in more ranges than cores, and with pruned columns."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(300_000).selectExpr("id", "CAST(pmod(hash(id), 5000) AS int) AS k", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 7 END AS n")
+        got = shapes.with_position(df, ["n", "k"]).agg(F.count_distinct("pos").alias("d"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.count(F.lit(1)).alias("c")).first()
+        assert tuple(got) == (300_000, 0, 299_999, 300_000)
+        rows = shapes.with_position(df, ["n", "k"]).orderBy("pos").select("n", "k").collect()
+        keys = [(r.n is not None, r.n or 0, r.k) for r in rows]
+        assert keys == sorted(keys)
+        draws = filters.draw_with_replacement(df, F.lit(1.0), 20_000, 3, ["id"])
+        assert draws.columns == [*df.columns, "draw"] and draws.select("draw").distinct().count() == draws.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    none = spark.createDataFrame([], "x int")
+    assert shapes.with_position(none, ["x"]).count() == 0
+
+
+def test_resampled_tree_in_numpys_stream(spark):
+    rnd = random.Random(5)
+    rows = [(s, u, i, float(rnd.randrange(5)), rnd.choice("AB")) for s in "xy" for u in "pq" for i in range(2 + (u == "q") * 5)]
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "s string, u string, i int, v double, vote string")
+    got = {(r.s, r.metric): r.value for r in metrics.resampled_tree(df, "s", "u", ["v"], "i", "vote").collect()}
+    want = {}
+    for s in "xy":
+        for u in "pq":
+            own = [r for r in rows if r[:2] == (s, u)]
+            n = len(own)
+            told = {f"mean@{n}": np.mean([r[3] for r in own]), f"std@{n}": np.std([r[3] for r in own])}
+            for k in [x for x in (2, 4) if x < n] + [n]:
+                np.random.seed(42)
+                draws = [[own[i] for i in some] for some in np.random.choice(n, size=(1000, k), replace=True)]
+
+                def voted(draw):
+                    votes = {}
+                    for r in draw:
+                        votes.setdefault(r[4], []).append(r[3])
+                    return max(votes.values(), key=len)[0]
+
+                for name, f in (("best", lambda d: max(r[3] for r in d)), ("worst", lambda d: min(r[3] for r in d)), ("maj", voted)):
+                    values = [f(d) for d in draws]
+                    told |= {f"{name}@{k}/mean": np.mean(values), f"{name}@{k}/std": np.std(values)}
+            for m, v in told.items():
+                want.setdefault((s, m), []).append(v)
+    assert got == pytest.approx({k: np.mean(v) for k, v in want.items()})
+
+
+def slow_or_wrong(x):
+    import time
+
+    if x == 3:
+        time.sleep(60)
+    if x == 4:
+        raise KeyError("four")
+    return x * 2
+
+
+def test_guarded_scores_end_what_hangs():
+    from sparkgrade.functions.guarded import Pool
+
+    with Pool(slow_or_wrong, 2) as pool:
+        got = pool.map([(x,) for x in range(6)], 1.0)
+        assert [v for v, _ in got] == [0, 2, 4, None, None, 10] and got[3][1] == "timeout" and got[4][1].startswith("KeyError")
+        assert pool.map([(7,)], 1.0) == [(14, None)] and pool.map([], 1.0) == []
+
+
+def test_rewrites_keep_one_whole_table(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(5).write.parquet(source)
+    for k in (1, 2):
+        sources.rewrite_parquet(spark, source, target, lambda d, k=k: d.withColumn("k", F.lit(k)), F.col("k") == k)
+        assert {r.k for r in spark.read.parquet(target).collect()} == {k}
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["in", "out"]
+    with pytest.raises(ValueError, match="lengths"):
+        sources.dump_step({"a": [1], "b": []}, spark, str(tmp_path / "s"), 1)
+
+
+def test_media_and_images_must_agree(spark):
+    df = spark.createDataFrame([("a <image> b", ["x"]), ("no", ["x"])], "t string, i array<string>")
+    assert [p.item for p in df.where("size(i) = 1 AND t LIKE 'a%'").select(sources.bound_media(F.col("t"), F.col("i")).alias("p")).first().p] == [None, "x", None]
+    with pytest.raises(Exception, match="marks and"):
+        df.select(sources.bound_media(F.col("t"), F.col("i"))).collect()
+
+
+def test_remote_tests_and_batches(spark):
+    tests = spark.createDataFrame([("a", 0, "c", "1", "1"), ("a", 1, "c", "2", "3"), ("b", 0, "c", "1", "1")], "k string, test int, code string, input string, output string")
+    results = scoring.run_tests(tests, "k", lambda rows: [(r[3] == r[4], None) for r in rows])
+    assert {(r.key, r.test): r.passed for r in results.collect()} == {("a", 0): True, ("a", 1): False, ("b", 0): True}
+
+    def lost(rows):
+        raise OSError("gone")
+
+    assert not any(r.passed for r in scoring.run_tests(tests, "k", lost).collect())
+    assert lifecycle.next_queue({"a": 2, "b": 5, "c": 5}) == "b" and lifecycle.next_queue({"a": 0}) is None
+
+
+def test_notes_of_concatenated_frames(spark):
+    a = spark.range(2)
+    assert shapes.concat([a, a], [{"x": 1}, {"x": 1}])[0].count() == 4
+    with pytest.raises(ValueError, match="x is"):
+        shapes.concat([a, a], [{"x": 1}, {"x": 2}])
+    odd = spark.createDataFrame([([1, 2, 3],)], "v array<int>")
+    with pytest.raises(Exception, match="divide"):
+        shapes.unfold_chunks(odd, "v", 2).collect()
+
+
+def test_long_scans_keep_their_order(spark):
+    from sparkgrade.operators import sequences
+
+    n = 3 * sequences.BLOCK + 7
+    df = spark.createDataFrame([([1.0] * n, [1] * n)], "r array<double>, m array<int>")
+    got = df.select(sequences.discounted_returns(F.col("r"), F.col("m"), 1.0).alias("v")).first().v
+    assert got == [float(n - i) for i in range(n)]
