@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .calibration import calibrated
 from .common import bounded_batches, table
+from .hashing import word_hashes
 
 #: Bounds of the training sample: labelled rows of each class, and bytes of their texts; a longer text than a 64th isn't in it.
 SAMPLE_ROWS = 2500
@@ -42,29 +43,24 @@ FOLDS = 5
 SLICE_BYTES = 1 << 20
 
 
-def words_of(texts: pa.Array) -> pa.ListArray:
-    """Lower-cased runs of letters and digits of each text; null and empty texts have none (or one empty word)."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN]+", " ")
-    return pc.split_pattern(pc.utf8_trim(plain, " "), " ")
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased runs of letters and digits, and where each text's begin (one more at the end); null and empty texts have none."""
+    return word_hashes(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN]+", " "))
 
 
 class Vocabulary:
-    """Numbers of words. Words that no fitted text has share number 0; the last number stands before a text's first word."""
+    """Numbers of words, by their hashes. Words that no fitted text has share number 0; the last number stands before a text's first word."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        words: set[str] = set()
-        for start in range(0, len(texts), 256):
-            words.update(pc.unique(words_of(pa.array(texts[start : start + 256], pa.string())).flatten()).to_pylist())
-        self.number = {w: i + 1 for i, w in enumerate(sorted(words - {""}))}
-        self.size = len(self.number) + 2
+        parts = [np.unique(words_of(pa.array(texts[start : start + 256], pa.string()))[0]) for start in range(0, len(texts), 256)]
+        self.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+        self.size = len(self.hashes) + 2
 
     def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The keys (head * size + tail) of all pairs of neighbouring words, and where each text's begin (one more at the end)."""
-        lists = words_of(texts)
-        coded = lists.flatten().dictionary_encode()
-        known = np.fromiter((self.number.get(w, 0) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        codes = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        bounds = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        words, bounds = words_of(texts)
+        at = np.minimum(np.searchsorted(self.hashes, words), max(0, len(self.hashes) - 1))
+        codes = np.where(self.hashes[at] == words, at + 1, 0) if len(self.hashes) else np.zeros(len(words), np.int64)
         heads = np.concatenate([[self.size - 1], codes[:-1]]) if len(codes) else codes
         heads[bounds[:-1][bounds[:-1] < bounds[1:]]] = self.size - 1
         return heads * self.size + codes, bounds
@@ -72,8 +68,11 @@ class Vocabulary:
 
 def _share(own: np.ndarray, its: np.ndarray, totals: tuple[float, float], power: float) -> np.ndarray:
     """How much a count is a class's own: the excess of its rate over the other's, one count added to each, as a power."""
-    a, b = own / totals[0], its / totals[1]
-    return (np.maximum(a - b, 0.0) / (a + b + 1 / totals[0] + 1 / totals[1])) ** power
+    kind = own.dtype.type
+    a, b = own * kind(1 / totals[0]), its * kind(1 / totals[1])
+    out = np.maximum(a - b, kind(0))
+    out /= a + b + kind(1 / totals[0] + 1 / totals[1])
+    return out ** kind(power)
 
 
 class KneserNey:
@@ -81,15 +80,15 @@ class KneserNey:
 
     def __init__(self, size: int, keys: np.ndarray, counts: tuple[np.ndarray, np.ndarray], texts: tuple[int, int], power: float) -> None:
         self.size, self.keys = size, keys
-        heads, tails = keys // size, keys % size
+        heads, tails = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
         by = lambda of, w: np.bincount(of, weights=w, minlength=size)
         # Lower order: distinct left contexts of a word, in each class and in both together. A word never seen has one.
-        contexts = [by(tails, (c > 0).astype(float)) for c in counts]
-        shared = by(tails, np.ones(len(keys)))
+        contexts = [np.bincount(tails[c > 0], minlength=size).astype(float) for c in counts]
+        shared = np.bincount(tails, minlength=size).astype(float)
         shared[0] += 1
         self.shared = shared / shared.sum()
         seen = tuple(max(1.0, c.sum()) for c in contexts)
-        own = lambda c, totals, k: np.maximum(c[k] - DISCOUNT, 0.0) * _share(c[k], c[1 - k], (totals[k], totals[1 - k]), power)
+        own = lambda c, totals, k: np.maximum(c[k] - c[k].dtype.type(DISCOUNT), c[k].dtype.type(0)) * _share(c[k], c[1 - k], (totals[k], totals[1 - k]), power)
         high, low = [own(counts, texts, k) for k in (0, 1)], [own(contexts, seen, k) for k in (0, 1)]
         # What neither class keeps backs off, by the same weight in both.
         back = 1 - by(heads, high[0] + high[1]) / np.maximum(1, by(heads, counts[0] + counts[1]))
@@ -97,7 +96,8 @@ class KneserNey:
         self.high, self.back, self.low = [], [], []
         for h, one in zip(high, low, strict=True):
             held = by(heads, h)
-            self.high.append((1 - back[heads]) * h / np.where(held[heads] > 0, held[heads], 1.0))
+            share = (1 - back) / np.where(held > 0, held, 1.0)
+            self.high.append(h * share.astype(np.float32)[heads])
             self.back.append(np.where(held > 0, back, 1.0))
             self.low.append((1 - low_back) * one / one.sum() + low_back * self.shared if one.any() else self.shared)
 
@@ -125,7 +125,7 @@ class ToxicityModel:
         keys = np.union1d(found[0][0], found[1][0])
         counts = []
         for own, n in found:
-            counts.append(np.zeros(len(keys)))
+            counts.append(np.zeros(len(keys), np.float32))
             counts[-1][np.searchsorted(keys, own)] = n
         judged, truth = pa.array(held[0] + held[1], pa.string()), np.repeat([False, True], [len(h) for h in held])
         best = None

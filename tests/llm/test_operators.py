@@ -223,7 +223,7 @@ def test_evidence_against_a_plain_kneser_ney_model():
 
     asked = [*texts[:40], "ax ax b", "unknown a other", ""]
     want = [sum(math.log(p(1, *x) / p(0, *x)) for x in pairs(t)) / (len(t.split()) + toxicity.PRIOR_WORDS) for t in asked]
-    assert model.evidence(pa.array(asked)).tolist() == pytest.approx(want, abs=1e-9)
+    assert model.evidence(pa.array(asked)).tolist() == pytest.approx(want, abs=1e-5)
     for k in (0, 1):  # both are distributions
         assert sum(low(k, w) for w in both) == pytest.approx(1)
         assert sum(p(k, "a", w) for w in both) == pytest.approx(1)
