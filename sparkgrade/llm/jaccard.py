@@ -46,7 +46,7 @@ COMMON = 8
 #: Bits of the filter of ids that keeps other texts out of a join: its size is fixed; it only saves work.
 FILTER_BITS = 1 << 24
 #: Shingles of a cluster that one task holds at most, as index or as queries.
-CLUSTER_SHINGLES = 1_000_000
+CLUSTER_SHINGLES = 500_000
 #: Sets of a cluster from which it is dealt to blocks, and blocks that their number alone makes at most on a side.
 CLUSTER_SETS, CLUSTER_BLOCKS = 400, 8
 #: Bytes of texts that are hashed at once.
@@ -331,22 +331,31 @@ def _links(members: DataFrame, words: int, percent: int, seed: int, partitions:
     return dealt.select("cluster", "qb", "ib", "node", "known", "is_query", "text").mapInArrow(run, "a bigint, b bigint")
 
 
-def _led(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """cluster, leader, node, doc_id, n, linked: whether each set of a large cluster is linked with the leader's (leader_text)."""
+def _led(members: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """cluster, leader, node, doc_id, n, linked: whether each set of a large cluster is linked with the leader's (leader_text).
+
+    Rows whose text isn't their node's are other documents of the same id and go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders: dict = {}
         for batch in batches:
-            texts, leaders = sets_of(batch.column("text"), words), {}
-            out = []
-            for own, leader in zip(texts, batch.column("leader_text").to_pylist(), strict=True):
-                if leader not in leaders:
-                    leaders = {leader: sets_of(pa.array([leader]), words)[0]}
-                its = leaders[leader]
-                overlap = len(np.intersect1d(own, its, assume_unique=True))
-                out.append(100 * overlap >= percent * (len(own) + len(its) - overlap))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("cluster", "leader", "node", "doc_id", "n")} | {"linked": pa.array(out, pa.bool_())})
-
-    return members.select("cluster", "leader", "node", "doc_id", "n", "text", "leader_text").mapInArrow(run, "cluster bigint, leader bigint, node bigint, doc_id bigint, n bigint, linked boolean")
+            for some in slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), *(batch.column(c) for c in ("leader", "node", "doc_id", "n", "leader_text"))], ["cluster", "text", "leader", "node", "doc_id", "n", "leader_text"]), SLICE_BYTES):
+                out, keep = [], []
+                for own, leader, node in zip(sets_of(some.column(1), words), some.column("leader_text").to_pylist(), some.column("node").to_pylist(), strict=True):
+                    keep.append(len(own) > 0 and set_keys(own, seed)[0] == node)
+                    if not keep[-1]:
+                        continue
+                    if leader not in leaders:
+                        leaders = {leader: sets_of(pa.array([leader]), words)[0]}
+                    its = leaders[leader]
+                    overlap = len(np.intersect1d(own, its, assume_unique=True))
+                    out.append(100 * overlap >= percent * (len(own) + len(its) - overlap))
+                kept = some.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_pydict({c: kept.column(c) for c in ("cluster", "leader", "node", "doc_id", "n")} | {"linked": pa.array(out, pa.bool_())})
+
+    got = members.select("cluster", "leader", "node", "doc_id", "n", "text", "leader_text").mapInArrow(run, "cluster bigint, leader bigint, node bigint, doc_id bigint, n bigint, linked boolean")
+    return got.dropDuplicates(["cluster", "node"])
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = CLUSTER_SHINGLES) -> DataFrame:
@@ -410,7 +419,7 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     leaders = with_text(held.where("node = leader")).select(F.col("leader").alias("of"), F.col("text").alias("leader_text"))
     leaders = _own_text(leaders, words, seed)
     # Large clusters are few, so a leader's row meets its sets by broadcast or is split as a skewed key.
-    led = written(_led(_own_text(with_text(held).withColumnRenamed("node", "of"), words, seed).withColumnRenamed("of", "node").join(leaders.withColumnRenamed("of", "leader"), "leader"), words, percent), "led")
+    led = written(_led(with_text(held).join(leaders.withColumnRenamed("of", "leader"), "leader"), words, percent, seed), "led")
     asked = led.where("NOT linked").groupBy("cluster").agg(F.sum("n").alias("asked"), F.count(F.lit(1)).alias("asking"))
     blocks_of = lambda shingles, sets: F.greatest(F.ceil(F.col(shingles) / most), F.least(F.lit(CLUSTER_BLOCKS), F.ceil(F.col(sets) / CLUSTER_SETS))).cast("int")
     shape = written(large.join(asked, "cluster").select("cluster", blocks_of("asked", "asking").alias("nq"), blocks_of("total", "sets").alias("ni")), "shape")
