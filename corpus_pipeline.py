@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the documents of the next."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the documents of the next.
+
+Every stage takes null ids, null, empty and very long texts, repeated rows and empty tables,
+and keeps columns that it doesn't know, whatever their names. Null and empty texts are
+neither toxic nor copies, hold no item and no secret, and stay; rows that repeat an id and a
+text are copies.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +16,28 @@ from sparkgrade.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity models reject."""
+    """Without the documents that the toxicity models reject. Without labels of both kinds none is rejected."""
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more; the one with the smallest id. Of rows without an id, one of each text stays that no row with an id is near."""
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that contain a test item."""
+    """Without the documents that contain a test item. An item without words is in none."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With every secret replaced in the text; n_chars follows the text."""
+    """With every secret replaced in the text; n_chars, where it is a column, follows the text. Null texts stay null."""
     clean = secrets.redact(docs, secrets.trained(docs))
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the byte-level BPE ids, and of what they decode to."""
+    """Token counts and digests of the byte-level BPE ids, and of what they decode to; null texts as empty ones. The ids and digests alone are returned."""
     return bpe.round_trip(docs, bpe.default_path())
 
 
