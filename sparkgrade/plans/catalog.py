@@ -419,11 +419,11 @@ def validation_best_worst(spark, d):
     _LADDER_SQL
     + """, u AS (SELECT event_type, user_id, avg(value) AS a, stddev_pop(value) AS s, count(*) AS n FROM events GROUP BY ALL),
     m AS (SELECT event_type, 'mean@' || n AS metric, a AS value FROM u UNION ALL SELECT event_type, 'std@' || n, s FROM u WHERE n > 1 UNION ALL SELECT event_type, 'best@' || k, best FROM e UNION ALL SELECT event_type, 'worst@' || k, worst FROM e)
-    SELECT event_type, metric, round(avg(value), 3) AS value FROM m GROUP BY ALL"""
+    SELECT event_type, metric, round(avg(value), 6) AS value FROM m GROUP BY ALL"""
 )
 def validation_metric_tree(spark, d):
     got = metrics.validation_metrics(_t(spark, d, "events"), "event_type", "user_id", "value")
-    return got.select("event_type", "metric", _r("value", 3).alias("value"))
+    return got.select("event_type", "metric", _r("value", 6).alias("value"))
 
 
 @query()
