@@ -301,7 +301,7 @@ def linked(nodes: list[int], sets: list[np.ndarray], queries: list[int], known:
 
 
 def _links(members: DataFrame, words: int, percent: int, seed: int, partitions: int) -> DataFrame:
-    """a, b: links in blocks of clusters. members: key columns cluster, qb, ib, then node, known, is_query, text, sorted by key."""
+    """a, b: links in blocks of clusters. members: key columns cluster, qb, ib, and slot, the key's partition, then node, known, is_query, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -327,7 +327,8 @@ def _links(members: DataFrame, words: int, percent: int, seed: int, partitions:
         if key is not None:
             yield solved()
 
-    dealt = members.repartition(partitions, "cluster", "qb", "ib").sortWithinPartitions("cluster", "qb", "ib", "node")
+    # Blocks of one cluster have neighbouring slots, so they go to different partitions.
+    dealt = members.repartitionById(partitions, "slot").sortWithinPartitions("cluster", "qb", "ib", "node")
     return dealt.select("cluster", "qb", "ib", "node", "known", "is_query", "text").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -411,7 +412,8 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
         small = members
     else:
         small = members.join(large, "cluster", "left_anti")
-    block = small.select("cluster", F.lit(0).alias("qb"), F.lit(0).alias("ib"), "node", none.alias("known"), F.lit(True).alias("is_query"), "doc_id")
+    first_slot = F.pmod(F.xxhash64("cluster"), F.lit(1 << 30)).cast("int")
+    block = small.select("cluster", F.lit(0).alias("qb"), F.lit(0).alias("ib"), first_slot.alias("slot"), "node", none.alias("known"), F.lit(True).alias("is_query"), "doc_id")
     links = _links(with_text(block), words, percent, seed, partitions)
     if large.isEmpty():
         return links, [large]
@@ -429,7 +431,7 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = every.select("cluster", "ni", "nq", "node", known.alias("known"), F.lit(False).alias("is_query"), "doc_id").withColumn("ib", own("ni")).withColumn("qb", upto("nq"))
     queries = every.where("NOT linked").select("cluster", "ni", "nq", "node", none.alias("known"), F.lit(True).alias("is_query"), "doc_id").withColumn("qb", own("nq")).withColumn("ib", upto("ni"))
-    columns = ("cluster", "qb", "ib", "node", "known", "is_query", "doc_id")
+    columns = ("cluster", "qb", "ib", (first_slot + F.col("qb") * F.col("ni") + F.col("ib")).alias("slot"), "node", "known", "is_query", "doc_id")
     blocks = index.select(*columns).unionAll(queries.select(*columns))
     starred = led.where("linked AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = links.unionAll(starred)
