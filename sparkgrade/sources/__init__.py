@@ -233,7 +233,7 @@ def bound_media(text: Column, images: Column) -> Column:
     have = F.coalesce(F.size(images), F.lit(0))
     number = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), lambda p: p["type"] == "image"))
     bound = F.transform(parts, lambda p, i: F.struct(p["type"].alias("type"), p["text"].alias("text"), F.when(p["type"] == "image", F.get(images, number(i))).alias("item")))
-    return F.when(marks != have, F.raise_error(F.concat(marks.cast("string"), F.lit(" marks and "), have.cast("string"), F.lit(" images"))).cast(f"array<struct<type:string,text:string,item:{'string'}>>")).otherwise(bound)
+    return F.when(marks != have, F.raise_error(F.concat(marks.cast("string"), F.lit(" marks and "), have.cast("string"), F.lit(" images"))).cast("array<struct<type:string,text:string,item:string>>")).otherwise(bound)
 
 
 def revealed(parts: Column, truth: Column, reveal: bool = True) -> Column:
@@ -241,15 +241,19 @@ def revealed(parts: Column, truth: Column, reveal: bool = True) -> Column:
     return F.concat(parts, F.array(F.struct(F.lit("text").alias("type"), truth.alias("text"), F.lit(None).cast("string").alias("item")))) if reveal else parts
 
 
+#: The prefix of a search set's source, and its ability.
+SEARCH_PREFIX, SEARCH_ABILITY = "searchR1_", "fact-reasoning"
+
+
 def search_rows(df: DataFrame, source: Column, question: Column, targets: Column, split: str, index: Column, system: str | None = None) -> DataFrame:
     """data_source (with its prefix), prompt, ability, reward_model, extra_info with the arguments of a search tool: rows of a tool-using training set."""
     user = F.struct(F.lit("user").alias("role"), question.alias("content"))
     turns = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), user) if system else F.array(user)
-    named = F.concat(F.lit("searchR1_"), source)
+    named = F.concat(F.lit(SEARCH_PREFIX), source)
     truth = F.struct(targets.alias("target"))
     create = F.struct(truth.alias("ground_truth"), question.alias("question"), named.alias("data_source"))
     info = F.struct(F.lit(split).alias("split"), index.cast("long").alias("index"), F.lit(True).alias("need_tools_kwargs"), F.struct(F.struct(create.alias("create_kwargs")).alias("search")).alias("tools_kwargs"))
-    return df.select(named.alias("data_source"), turns.alias("prompt"), F.lit("fact-reasoning").alias("ability"), F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"), info.alias("extra_info"))
+    return df.select(named.alias("data_source"), turns.alias("prompt"), F.lit(SEARCH_ABILITY).alias("ability"), F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"), info.alias("extra_info"))
 
 
 def mapped_union(parts: list[tuple[DataFrame, object]]) -> DataFrame:
