@@ -29,6 +29,8 @@ CONTAINMENT = 0.8
 PERMUTATIONS = 24
 #: Bytes of item texts that one index holds; more items are searched in blocks, one after another.
 INDEX_BYTES = 8 << 20
+#: Bytes of texts that are searched at once.
+SLICE_BYTES = 1 << 20
 _TABLE_BITS = 16
 _RATIO = 1.5
 
@@ -163,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for some in slices(batch):
+                for some in slices(batch, SLICE_BYTES):
                     ids, rows = some.column(0).to_pylist(), index.value.search(some.column(1))
                     yield pa.RecordBatch.from_pydict(
                         {"doc_id": pa.array([ids[r[0]] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], pa.int64())}
@@ -185,7 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 start, keep = 0, np.ones(batch.num_rows, bool)
-                for some in slices(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["a", "b"])):
+                for some in slices(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["a", "b"]), SLICE_BYTES):
                     keep[[start + r[0] for r in index.value.search(some.column(1))]] = False
                     start += some.num_rows
                 yield batch.filter(pa.array(keep))

@@ -50,7 +50,7 @@ CLUSTER_SHINGLES = 1_000_000
 #: Sets of a cluster from which it is dealt to blocks, and blocks that their number alone makes at most on a side.
 CLUSTER_SETS, CLUSTER_BLOCKS = 400, 8
 #: Bytes of texts that are hashed at once.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Rows of a shuffle, signatures or shingles, that a partition holds about.
 PARTITION_ROWS = 8_000_000
 #: Postings that are merged by a heap of the lists' heads; more are merged as sorted runs in numpy.

@@ -39,8 +39,9 @@ POWERS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 #: Words that are added to a text's length.
 PRIOR_WORDS = 8.0
 FOLDS = 5
-#: Bytes of texts that are scored at once.
-SLICE_BYTES = 1 << 20
+#: Bytes of texts that are scored at once, and texts that the fit reads at once.
+SLICE_BYTES = 1 << 18
+FIT_TEXTS = 64
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ class Vocabulary:
     """Numbers of words, by their hashes. Words that no fitted text has share number 0; the last number stands before a text's first word."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        parts = [np.unique(words_of(pa.array(texts[start : start + 256], pa.string()))[0]) for start in range(0, len(texts), 256)]
+        parts = [np.unique(words_of(pa.array(texts[start : start + FIT_TEXTS], pa.string()))[0]) for start in range(0, len(texts), FIT_TEXTS)]
         self.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
         self.size = len(self.hashes) + 2
 
@@ -131,7 +132,8 @@ class ToxicityModel:
         best = None
         for power in POWERS:
             self.models = KneserNey(self.vocabulary.size, keys, tuple(counts), tuple(max(1, len(f)) for f in fitted), power)
-            loss, slope, shift = calibrated(self.evidence(judged), truth)
+            told = [self.evidence(judged.slice(start, FIT_TEXTS)) for start in range(0, len(judged), FIT_TEXTS)]
+            loss, slope, shift = calibrated(np.concatenate([np.zeros(0), *told]), truth)
             if best is None or loss < best[0]:
                 best = loss, slope, shift, power, self.models
         _, self.slope, self.shift, self.power, self.models = best
@@ -139,8 +141,8 @@ class ToxicityModel:
     def _counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Pairs, and how many of the texts have each."""
         parts = []
-        for start in range(0, len(texts), 256):
-            keys, bounds = self.vocabulary.pairs(pa.array(texts[start : start + 256], pa.string()))
+        for start in range(0, len(texts), FIT_TEXTS):
+            keys, bounds = self.vocabulary.pairs(pa.array(texts[start : start + FIT_TEXTS], pa.string()))
             parts += [np.unique(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
 
