@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard, pii, quality, records, secrets, sharding, toxicity, urls
+from . import bpe, clustering, decontamination, jaccard, pii, quality, records, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_url_filter": urls.op10_url_filter,
+    "op12_delta_lloyd": clustering.op12_delta_lloyd,
 }
-ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op2_ngram_jaccard": jaccard.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op9_decontamination": decontamination.OP9_SQL, "op10_url_filter": urls.OP10_SQL}
+ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op2_ngram_jaccard": jaccard.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op9_decontamination": decontamination.OP9_SQL, "op10_url_filter": urls.OP10_SQL, "op12_delta_lloyd": clustering.OP12_SQL}
