@@ -122,10 +122,10 @@ def _round(rows: DataFrame, centroids: list[list[int]], changed: list[bool], dim
     return rows.select("row", "vec_id", "v", "owner", "held").mapInArrow(run, f"row bigint, vec_id {kind}, owner int, held bigint, transfers array<struct<centroid:int,gains:array<bigint>>>")
 
 
-def _summed(assigned: DataFrame) -> list[tuple[int, int, int]]:
-    """(centroid, place, gain) over all of the round's transfers: a row for each centroid and dimension at most."""
-    each = assigned.where("transfers IS NOT NULL").select(F.inline("transfers")).select("centroid", F.posexplode("gains"))
-    return [tuple(r) for r in each.groupBy("centroid", "pos").agg(F.sum("col")).collect()]
+def _summed(assigned: DataFrame, dimensions: int) -> dict[int, list[int]]:
+    """centroid -> its gains over all of the round's transfers: a row for each centroid at most."""
+    each = assigned.where("transfers IS NOT NULL").select(F.inline("transfers"))
+    return {r[0]: list(r[1:]) for r in each.groupBy("centroid").agg(*(F.sum(F.get("gains", F.lit(i))) for i in range(1 + dimensions))).collect()}
 
 
 def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", dimensions: int = DIMENSIONS, scale: int = SCALE) -> DataFrame:
@@ -155,8 +155,8 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
         held = after
         if k == rounds:
             break
-        for c, place, gain in _summed(held.read()):
-            totals[c][place] += gain
+        for c, gains in _summed(held.read(), dimensions).items():
+            totals[c] = [a + b for a, b in zip(totals[c], gains, strict=True)]
         moved = [[s // n for s in own] if n else old for (n, *own), old in zip(totals, centroids, strict=True)]
         changed, centroids = [a != b for a, b in zip(moved, centroids, strict=True)], moved
         if not any(changed):
