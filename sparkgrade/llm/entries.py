@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, clustering, decontamination, jaccard, pii, quality, ranked, records, secrets, sharding, toxicity, urls
+from . import bpe, clustering, decontamination, extraction, jaccard, pii, quality, ranked, records, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_url_filter": urls.op10_url_filter,
     "op11_ranked_search": ranked.op11_ranked_search,
     "op12_delta_lloyd": clustering.op12_delta_lloyd,
+    "op13_html_extraction": extraction.op13_html_extraction,
 }
-ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op2_ngram_jaccard": jaccard.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op9_decontamination": decontamination.OP9_SQL, "op10_url_filter": urls.OP10_SQL, "op11_ranked_search": ranked.OP11_SQL, "op12_delta_lloyd": clustering.OP12_SQL}
+ORACLE_SQL = {"op1_sharding": sharding.OP1_SQL, "op2_ngram_jaccard": jaccard.OP2_SQL, "op5_quality_rules": quality.OP5_SQL, "op9_decontamination": decontamination.OP9_SQL, "op10_url_filter": urls.OP10_SQL, "op11_ranked_search": ranked.OP11_SQL, "op12_delta_lloyd": clustering.OP12_SQL, "op13_html_extraction": extraction.OP13_SQL}
