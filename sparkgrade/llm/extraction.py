@@ -283,13 +283,22 @@ class _Layout:
         return f"<!DOCTYPE html><html><head><title>{html.escape(self.pieces.title)}</title></head><body>{inner}</body></html>"
 
 
+def shortened(page: str, draw: random.Random) -> str:
+    """The page with a few words in place of its article: a heading and one or two paragraphs."""
+    before, _, rest = page.partition("<article")
+    article, end, after = rest.partition("</article>")
+    words = Batch([article.partition(">")[2]]).nodes.block_texts or ["Text."]
+    few = lambda: html.escape(" ".join(draw.choice(words).split()[: draw.randint(1, 5)]))
+    return f'{before}<article {MARK}="main"><h1>{few()}</h1>' + f"<p>{few()}</p>" * draw.randint(1, 2) + end + after
+
+
 def training_pages(pages: list[str], layouts: int = LAYOUTS) -> list[str]:
-    """Marked pages: those with an article as they are, and each laid out anew."""
+    """Marked pages: those with an article as they are and shortened, and each laid out anew."""
     out = []
     pieces = [_Pieces(p) for p in pages] or [_Pieces("")]
     for i, (page, own) in enumerate(zip(pages or [""], pieces, strict=True)):
         if "<article" in page:
-            out.append(by_article(page))
+            out += [by_article(page), shortened(page, random.Random(i))]
         beside = pieces[(i + 1) % len(pieces)]
         for k in range(layouts):
             # Comments and side matter are prose too: another page's article gives them words.
@@ -304,9 +313,13 @@ def fitted(pages: list[str]) -> BoostedTrees:
 
 
 def trained(pages: DataFrame, html_col: str = "html") -> BoostedTrees:
-    """The trees of the pages with the smallest hashes, at most SAMPLE_ROWS of up to SAMPLE_LENGTH code points."""
-    some = pages.select(F.col(html_col).alias("html")).where((F.length("html") > 0) & (F.length("html") <= SAMPLE_LENGTH))
-    return fitted(sorted(r.html for r in some.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_ROWS).collect()))
+    """The trees of the different pages with the smallest hashes, SAMPLE_ROWS of up to SAMPLE_LENGTH code points.
+
+    The hashes are chosen first, so that no more pages come to the driver, whatever the number of partitions.
+    """
+    some = pages.select(F.col(html_col).alias("html")).where((F.length("html") > 0) & (F.length("html") <= SAMPLE_LENGTH)).withColumn("h", F.xxhash64("html"))
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).collect()]
+    return fitted([r.html for r in some.where(F.col("h") <= max(least)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()] if least else [])
 
 
 def texts_of(pages: list[str | None], model: BoostedTrees) -> list[str]:
