@@ -103,7 +103,7 @@ _CANONICAL = [('{"b":1, "a": [2]}', '{"a":[2],"b":1}'), (" a \n b ", "a b"), (""
 _BOXED = [("\\boxed{\\frac{1}{2}} and \\boxed{3{4}}", "3{4}"), ("\\boxed{1", None), ("none", None), ("x \\boxed{} y", ""), ("\\boxed{a}", "a")]
 _FINAL = [
     ("12 square inches", "12"), ("x = 5", "5"), ("1,000", "1000"), ("\\frac12", "\\frac{1}{2}"), ("\\sqrt2", "\\sqrt{2}"), ("$7$ apples", "7"), ("3\\text{ cm}", "3"), ("90^\\circ", "90"), ("\\text{Monday}", "Monday"), ("10 dollars", "10"),
-    ("\\$5", "5"), ("a 9", "9"), ("\\boxed{4}", "4"), ("5,\\!000", "5000"), ("12{,}345", "12345"), ("\\frac{1}{2}", "\\frac{1}{2}"), ("7\\mathrm{th}", "7"), ("2\\text{m}^2", "2"), ("8\\ldots", "8"), ("\\textbf{6} points", "6"),
+    ("\\$5", "5"), ("a 9", "9"), ("\\boxed{4}", "4"), ("5,\\!000", "5000"), ("12{,}345", "12345"), ("\\frac{1}{2}", "\\frac{1}{2}"), ("7\\mathrm{th}", "7"), ("2\\text{m}^2", "2"), ("8\\ldots", "8"), ("\\textbf{6} points", "6"), ("area 5", "are5"),
 ]
 _LATEX = [
     ("\\tfrac12", "\\frac{1}{2}"), ("0.5", "\\frac{1}{2}"), ("k = 7", "7"), ("3/4", "\\frac{3}{4}"), ("\\sqrt 2", "\\sqrt{2}"), ("50\\%", "50"), ("\\left( 1, 2 \\right)", "(1,2)"), ("90^{\\circ}", "90"), (".25", "0.25"), ("5\\text{ cm}", "5"),
@@ -177,6 +177,12 @@ put("prompt_key_cases", key=(text.prompt_key, _KEYS))
 put("number_cases", flexible=(text.last_number, _FLEXIBLE), strict=(lambda t: text.last_number(t, strict=True), _STRICT), tagged=(text.tagged_answer, _TAGS), qa=(text.qa_normal, _QA), fenced=(text.fenced_json, _FENCED), cleaned=(text.cleanup, _CLEAN), answer=(text.normal_answer, _NORMAL), choice=(text.choice_letter, _CHOICE))
 put("json_cases", last=(parsers.last_object_json, _LAST_JSON), canonical=(parsers.canonical_json, _CANONICAL), boxes=(_plain_boxes, _FLAT))
 put("latex_cases", boxed=(parsers.boxed_answer, _BOXED), final=(parsers.final_answer_text, _FINAL), plain=(parsers.latex_plain, _LATEX), equal=(parsers.math_equal, _EQUAL))
+_VERDICT_CASES = [
+    ("(x+1)^2", "x^2+2x+1", "equal"), ("(x+1)^2", "x^2+1", "different"), ("\\frac{x^2-1}{x-1}", "x+1", "equal"), ("\\frac{1}{1+\\sqrt{2}}", "\\sqrt{2}-1", "equal"), ("2^x 2^x", "4^x", "equal"), ("(1,2]", "(1,2)", "different"),
+    ("(-\\infty,3)\\cup(4,5)", "(-\\infty, 3) \\cup (4, 5)", "equal"), ("\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", "\\begin{pmatrix}1&2\\\\3&\\frac{8}{2}\\end{pmatrix}", "equal"), ("y=2x+1", "2x-y+1=0", "equal"), ("y=2x+1", "y=2x+2", "different"), ("x<3", "3>x", "equal"),
+    ("(((9^{64})^{64})^{64})^{64}", "1", "not evaluated"), ("(((9^{64})^{64})^{64})^{64}", "((9^{4096})^{64})^{64}", "equal"), ("{{{{{{", "1", "not evaluated"), ("1/0", "1", "not evaluated"), ("\\frac{\\frac{", "1", "not evaluated"), ("\\log_2{8}", "3", "equal"), ("x^y", "y^x", "different"),
+]
+put("verdict_cases", verdict=(parsers.math_verdict, _VERDICT_CASES), equal=(parsers.math_equal, [(a, b, {"equal": True, "different": False}.get(v)) for a, b, v in _VERDICT_CASES]))
 put("stated_answer_cases", minerva=(scoring.minerva, _MINERVA), pred=(lambda s, t: parsers.minerva_score(s, t)["pred"], _MINERVA_PRED), strict_box=(lambda s, t: parsers.strict_box_score(s, t)["score"], _BOX_SIGN), chars=(scoring.boxed_exact, _CHARS), verdict=(scoring.boxed_true, _VERDICTS))
 put("math_grade_cases", correct=(lambda s, t: parsers.math_grade(s, t)["correct"], [("\\boxed{6.28}", "2\\pi", True), ("\\boxed{1/2}", "0.5", True), ("\\boxed{3}", "4", False), ("7", "7", True)]), boxed=(lambda s, t: parsers.math_grade(s, t)["boxed"], [("\\boxed{1}", "1", True), ("1", "1", False)]))
 put("tool_call_cases", **{d: (_told_calls(d), c) for d, c in _CALLS.items() if d in TOOL_PARSERS})

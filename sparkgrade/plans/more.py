@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import boxes
+from ..functions import boxes, parsers
 from ..functions.registry import SCORERS
 from ..operators import advantages as adv
 from ..operators import correction, filters, losses, matching, metrics, packing, scoring, sequences, shapes
@@ -526,3 +526,13 @@ def union_region_overlap(spark, d):
     text = lambda b: F.concat(F.lit('{"boxes": [{"bbox": ['), b, F.lit('], "label": "add"}]}'))
     rows = _t(spark, d, "events").select("event_id", text(box).alias("s"), text(F.lit("300, 200, 700, 600")).alias("t"))
     return rows.select("event_id", _r(boxes.box_parts(F.col("s"), F.col("t"))["region"]).alias("iou"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 3 THEN 'different' ELSE 'equal' END AS verdict FROM lineitem")
+def symbolic_lines(spark, d):
+    """Expressions built of each line's numbers against other forms of them: expanded, as a quotient, and, for every fourth line, another expression."""
+    q, k, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_linenumber") % 4
+    square, twice = (F.col("l_quantity") * F.col("l_quantity")).cast("int").cast("string"), (2 * F.col("l_quantity")).cast("int").cast("string")
+    given = F.when(n == 1, F.concat(F.lit("(x+"), q, F.lit(")^2"))).when(n == 2, F.concat(F.lit("\\frac{x^2-"), square, F.lit("}{x-"), q, F.lit("}"))).otherwise(F.concat(q, F.lit("x+\\sqrt{"), k, F.lit("}")))
+    truth = F.when(n == 1, F.concat(F.lit("x^{2}+"), twice, F.lit("x+"), square)).when(n == 2, F.concat(F.lit("x+"), q)).when(n == 3, F.concat(q, F.lit("x-\\sqrt{"), k, F.lit("}"))).otherwise(F.concat(F.lit("\\frac{"), k, F.lit("}{\\sqrt{"), k, F.lit("}}+"), q, F.lit("x")))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", given.alias("g"), truth.alias("t")).select("l_orderkey", "l_linenumber", parsers.math_verdict("g", "t").alias("verdict"))
