@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from .algebra import DIFFERENT, EQUAL, NOT_EVALUATED, compared
@@ -18,6 +19,9 @@ TEXT_FILLERS = ("", "s", ".", "m", "and")
 #: Articles, wherever these letters and a blank stand.
 ARTICLES = ("an ", "a ")
 
+#: Characters of a pair whose verdict a worker remembers.
+REMEMBERED = 400
+
 _COMMAND = re.compile(r"[td]?frac|sqrt|[A-Za-z]+|.", re.S)
 _WORD = re.compile(r"[A-Za-z]+")
 _TICKETS = re.compile(r"\s*tickets")
@@ -213,7 +217,12 @@ def verdict(a: str, b: str, tolerance: float = 1e-4, percentage: bool = True) ->
     """EQUAL, DIFFERENT or NOT_EVALUATED: equal as plain forms, or as compared() says of them.
 
     Two equations are compared whole; of one against an expression, a short left side goes.
+    Short pairs are remembered: many samples of a prompt give one answer.
     """
+    return (_remembered if len(a) + len(b) <= REMEMBERED else _verdict)(a, b, tolerance, percentage)
+
+
+def _verdict(a: str, b: str, tolerance: float, percentage: bool) -> str:
     x, y = strip_latex(a), strip_latex(b)
     if x == y:
         return EQUAL
@@ -222,6 +231,9 @@ def verdict(a: str, b: str, tolerance: float = 1e-4, percentage: bool = True) ->
     return compared(x, y, tolerance, percentage)
 
 
+_remembered = functools.lru_cache(1 << 14)(_verdict)
+
+
 def numeric_equal(a: str, b: str, tolerance: float = 1e-4, percentage: bool = True) -> bool:
     """Whether the verdict is EQUAL; what can't be evaluated isn't."""
     return verdict(a, b, tolerance, percentage) == EQUAL
