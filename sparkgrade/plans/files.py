@@ -45,23 +45,34 @@ def jsonl_skip_reasons(spark, d):
     return sources.skip_reasons(sources.read_lines(spark, folder, "event_id long"))
 
 
-@query("SELECT event_id, line FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line FROM events) WHERE event_id % 6 >= 4")
+@query("SELECT event_id, line FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS line FROM events) WHERE event_id % 6 >= 4")
 def jsonl_line_numbers(spark, d):
-    """Lines keep their numbers in a file: the records of one file in the order of their ids."""
+    """Lines keep their numbers in their files: seven files of records, blank lines and others, each in the order of its ids."""
     folder = sources.work_folder(spark, "numbered")
-    _t(spark, d, "events").repartition(1).sortWithinPartitions("event_id").select(F.expr(_LINE).alias("value")).write.text(folder)
+    lines = _t(spark, d, "events").select((F.col("event_id") % 7).alias("step"), F.expr(_LINE).alias("value"), "event_id")
+    sources.write_step_lines(lines, folder, ["event_id"])
     return sources.read_lines(spark, folder, "event_id long").where("reason IS NULL").select("record.event_id", "line")
 
 
-@query("SELECT event_id, event_id % 5 AS step FROM events WHERE event_id % 5 < 3")
+@query("SELECT event_id, value, event_type, event_id // 1000 AS step, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY user_id, event_id) AS line FROM events")
 def step_files(spark, d):
-    """Files {step}.jsonl of a folder, and others that aren't read."""
+    """A file {step}.jsonl for every thousand events, written and read by the data source; other files aren't read."""
     folder = sources.work_folder(spark, "steps")
-    rows = [r[0] for r in _t(spark, d, "events").select("event_id").orderBy("event_id").toLocalIterator()]
-    for step in range(3):
-        sources.dump_step({"event_id": [i for i in rows if i % 5 == step]}, spark, folder, step)
+    rows = _t(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.floor(F.col("event_id") / 1000).alias("step"))
+    sources.write_steps(rows, folder, order=["user_id", "event_id"])
     sources.Files(spark).write(f"{folder}/other.jsonl", '{"event_id": -1}\n')
-    return sources.read_steps(spark, folder, StructType([StructField("event_id", LongType())]))
+    return sources.read_step_records(spark, folder, "event_id long, event_type string, value double").select("event_id", "value", "event_type", "step", "line")
+
+
+@query("SELECT event_id // 1000 AS step, count(*) AS n, min(event_id) AS first FROM events WHERE event_id // 1000 >= 3 AND event_id // 1000 <> 5 GROUP BY 1")
+def later_steps(spark, d):
+    """Steps that are written again replace theirs; a filter on step leaves files out before they are opened."""
+    folder = sources.work_folder(spark, "steps")
+    rows = _t(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 1000).alias("step"))
+    sources.write_steps(rows.where("event_id % 2 = 0"), folder, order=["event_id"])
+    sources.write_steps(rows, folder, order=["event_id"])
+    got = sources.read_step_records(spark, folder, "event_id long").where("step >= 3 AND step <> 5")
+    return got.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
 @query("SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'one' ELSE 'two' END AS source FROM events")
@@ -80,7 +91,7 @@ def parquet_rows_by_number(spark, d):
     """Rows at given numbers over all files of a table that is written in order."""
     folder = sources.work_folder(spark, "ordered")
     placed = shapes.with_position(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"], "at")
-    placed.withColumn("part", F.floor(F.col("at") / 1000)).repartitionByRange(1, "at").sortWithinPartitions("at").drop("part").write.parquet(folder)
+    placed.withColumn("part", F.floor(F.col("at") / 1000)).repartitionByRange("at").sortWithinPartitions("at").drop("part").write.parquet(folder)
     rows = sources.parquet_rows(spark, folder, ["o_orderkey"], across=True)
     wanted = spark.range(0, placed.count()).where("id % 100 = 7").select(F.col("id").alias("row"))
     return sources.rows_at(rows, wanted, ("row",)).select("o_orderkey", "row")

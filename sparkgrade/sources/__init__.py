@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .steps import read_step_lines, read_step_records, write_step_lines, write_steps
+
+__all__ = ["read_step_lines", "read_step_records", "write_step_lines", "write_steps"]
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | None = None, strict: bool = True) -> DataFrame:
     """Objects of JSON lines; blank lines are skipped. strict: anything else is an error when run."""
@@ -46,7 +49,8 @@ def read_steps(spark: SparkSession, folder: str, schema: StructType | None = Non
         reader = reader.schema(schema)
     rows = reader.json(folder)
     step = F.regexp_extract("_metadata.file_name", r"^(\d+)\.jsonl$", 1)
-    return rows.select("*", F.nullif(step, F.lit("")).cast("long").alias("step")).where("step IS NOT NULL")
+    own = [F.col(f"`{c}`") for c in rows.columns if c != "step"]  # a record's own step gives way to its file's
+    return rows.select(*own, F.nullif(step, F.lit("")).cast("long").alias("step")).where("step IS NOT NULL")
 
 
 def read_tree(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
@@ -116,10 +120,6 @@ def append_checkpoint(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").json(folder)
 
 
-def write_steps(df: DataFrame, folder: str, step: str = "step") -> None:
-    df.write.mode("append").partitionBy(step).json(folder)
-
-
 def dump_step(columns: dict[str, list], spark: SparkSession, folder: str, step: int) -> str:
     """Writes one step's columns, lists of one length (else ValueError), as {step}.jsonl; returns the path. The rows are one batch, and small."""
     if len({len(v) for v in columns.values()}) > 1:
