@@ -53,8 +53,8 @@ CLUSTER_SETS, CLUSTER_BLOCKS = 400, 8
 SLICE_BYTES = 1 << 18
 #: Rows of a shuffle, signatures or shingles, that a partition holds about.
 PARTITION_ROWS = 8_000_000
-#: Postings that are merged by a heap of the lists' heads; more are merged as sorted runs in numpy.
-HEAP_POSTINGS = 4096
+#: Postings of a list that are merged at once, and long lists that are probed at once.
+MERGE_BLOCK, PROBE_BLOCK = 4096, 16
 _MU = 0.0085
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -230,19 +230,30 @@ class Cluster:
         self.keys = np.repeat(np.arange(len(self.tokens)), np.diff(self.starts)) * self.size + self.owners
 
     def _merged(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sets that the lists hold, and in how many of them each is."""
-        parts = [self.owners[self.starts[x] : self.starts[x + 1]] for x in lists]
-        total = sum(map(len, parts))
-        if total > HEAP_POSTINGS:
-            return np.unique(np.concatenate(parts), return_counts=True)
-        found, times = [], []
-        for owner in heapq.merge(*(p.tolist() for p in parts)):
-            if found and found[-1] == owner:
-                times[-1] += 1
-            else:
-                found.append(owner)
-                times.append(1)
-        return np.array(found, np.int64), np.array(times, np.int64)
+        """The sets that the lists hold, and in how many of them each is.
+
+        A heap holds the last set of each list's next block; all lists are read up to the
+        smallest of them, and what they hold is counted, so a set's count is whole.
+        """
+        at, ends = self.starts[lists].copy(), self.starts[lists + 1]
+        last = lambda k: int(self.owners[min(at[k] + MERGE_BLOCK, ends[k]) - 1])
+        heap = [(last(k), k) for k in range(len(lists))]
+        heapq.heapify(heap)
+        found, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while heap:
+            bound, runs = heap[0][0], []
+            for _, k in heap:
+                own = self.owners[at[k] : min(at[k] + MERGE_BLOCK, ends[k])]
+                runs.append(own if own[-1] <= bound else own[: np.searchsorted(own, bound, "right")])
+                at[k] += len(runs[-1])
+            sets, counts = np.unique(np.concatenate(runs), return_counts=True)
+            found.append(sets)
+            times.append(counts)
+            if all(at[k] == ends[k] for _, k in heap):
+                break
+            heap = [(last(k), k) for _, k in heap if at[k] < ends[k]]
+            heapq.heapify(heap)
+        return np.concatenate(found), np.concatenate(times)
 
     def search(self, query: np.ndarray, percent: int, skip) -> Iterator[int]:
         """Sets that are linked with the query, most common in the short lists first; skip(set) leaves one out."""
@@ -256,25 +267,28 @@ class Cluster:
         long = min(t - 1, int(t / (_MU * np.log2(max(2, int(lengths.max()))) + 1)))
         short, aside = lists[order[: len(lists) - long]], lists[order[len(lists) - long :]]
         found, times = self._merged(short)
-        likely = times >= t - long
-        found, times = found[likely], times[likely]
+        # What a partner of its size must share: 100 * overlap >= percent * (sum of sizes - overlap).
+        required = -(-percent * (len(query) + self.sizes[found]) // (100 + percent))
+        likely = times + long >= required
+        found, times, required = found[likely], times[likely], required[likely]
         fresh = np.array([not skip(x) for x in found.tolist()], bool)
-        found, times = found[fresh], times[fresh]
-        overlap = times + self._held(aside, found)
-        enough = 100 * overlap >= percent * (len(query) + self.sizes[found] - overlap)
-        for k in np.argsort(-overlap[enough], kind="stable"):
-            yield int(found[enough][k])
-
-    def _held(self, lists: np.ndarray, sets: np.ndarray) -> np.ndarray:
-        """In how many of the lists each set is: by binary search in every list, or, where that would cost more than reading the lists, by counting them."""
-        if not len(sets) or not len(lists):
-            return np.zeros(len(sets), np.int64)
-        if len(sets) * len(lists) * 8 > int((self.starts[lists + 1] - self.starts[lists]).sum()):
-            owners = np.concatenate([self.owners[self.starts[x] : self.starts[x + 1]] for x in lists])
-            return np.bincount(owners, minlength=self.size)[sets]
-        wanted = (lists[None, :] * self.size + sets[:, None]).ravel()
-        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return (self.keys[place] == wanted).reshape(len(sets), -1).sum(1)
+        found, times = self._probed(aside, found[fresh], times[fresh], required[fresh])
+        for k in np.argsort(-times, kind="stable"):
+            yield int(found[k])
+
+    def _probed(self, lists: np.ndarray, sets: np.ndarray, times: np.ndarray, required: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that reach what is required with the lists' help, and their overlaps: binary search for each set, some lists at once; a set that can't reach it any more goes."""
+        for start in range(0, len(lists), PROBE_BLOCK):
+            if not len(sets):
+                break
+            some = lists[start : start + PROBE_BLOCK]
+            wanted = (some[None, :] * self.size + sets[:, None]).ravel()
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            times = times + (self.keys[place] == wanted).reshape(len(sets), -1).sum(1)
+            alive = times + (len(lists) - start - len(some)) >= required
+            sets, times, required = sets[alive], times[alive], required[alive]
+        enough = times >= required
+        return sets[enough], times[enough]
 
 
 def linked(nodes: list[int], sets: list[np.ndarray], queries: list[int], known: list[int | None], percent: int) -> list[tuple[int, int]]:
@@ -300,7 +314,7 @@ def linked(nodes: list[int], sets: list[np.ndarray], queries: list[int], known:
     return out
 
 
-def _links(members: DataFrame, words: int, percent: int, seed: int, partitions: int) -> DataFrame:
+def _links(members: DataFrame, words: int, percent: int, partitions: int) -> DataFrame:
     """a, b: links in blocks of clusters. members: key columns cluster, qb, ib, and slot, the key's partition, then node, known, is_query, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +333,8 @@ def _links(members: DataFrame, words: int, percent: int, seed: int, partitions:
                         if key is not None:
                             yield solved()
                         key, held = row[:3], {}
-                    node = row[3]
-                    # A text with the node's id but another set is another document of that id.
-                    if len(own[i]) and set_keys(own[i], seed)[0] == node:
-                        before = held.get(node)
-                        held[node] = own[i], row[4], row[5] or bool(before and before[2])
+                    before = held.get(row[3])  # a node may come twice: as a query and for the index, and with copies of its row
+                    held[row[3]] = own[i], row[4], row[5] or bool(before and before[2])
         if key is not None:
             yield solved()
 
@@ -332,28 +343,21 @@ def _links(members: DataFrame, words: int, percent: int, seed: int, partitions:
     return dealt.select("cluster", "qb", "ib", "node", "known", "is_query", "text").mapInArrow(run, "a bigint, b bigint")
 
 
-def _led(members: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """cluster, leader, node, doc_id, n, linked: whether each set of a large cluster is linked with the leader's (leader_text).
-
-    Rows whose text isn't their node's are other documents of the same id and go.
-    """
+def _led(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """cluster, leader, node, doc_id, n, linked: whether each set of a large cluster is linked with the leader's (leader_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaders: dict = {}
         for batch in batches:
             for some in slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), *(batch.column(c) for c in ("leader", "node", "doc_id", "n", "leader_text"))], ["cluster", "text", "leader", "node", "doc_id", "n", "leader_text"]), SLICE_BYTES):
-                out, keep = [], []
-                for own, leader, node in zip(sets_of(some.column(1), words), some.column("leader_text").to_pylist(), some.column("node").to_pylist(), strict=True):
-                    keep.append(len(own) > 0 and set_keys(own, seed)[0] == node)
-                    if not keep[-1]:
-                        continue
+                out = []
+                for own, leader in zip(sets_of(some.column(1), words), some.column("leader_text").to_pylist(), strict=True):
                     if leader not in leaders:
                         leaders = {leader: sets_of(pa.array([leader]), words)[0]}
                     its = leaders[leader]
                     overlap = len(np.intersect1d(own, its, assume_unique=True))
                     out.append(100 * overlap >= percent * (len(own) + len(its) - overlap))
-                kept = some.filter(pa.array(keep, pa.bool_()))
-                yield pa.RecordBatch.from_pydict({c: kept.column(c) for c in ("cluster", "leader", "node", "doc_id", "n")} | {"linked": pa.array(out, pa.bool_())})
+                yield pa.RecordBatch.from_pydict({c: some.column(c) for c in ("cluster", "leader", "node", "doc_id", "n")} | {"linked": pa.array(out, pa.bool_())})
 
     got = members.select("cluster", "leader", "node", "doc_id", "n", "text", "leader_text").mapInArrow(run, "cluster bigint, leader bigint, node bigint, doc_id bigint, n bigint, linked boolean")
     return got.dropDuplicates(["cluster", "node"])
@@ -368,6 +372,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int
     not null among the rows reachable by links. Null ids and repeated rows are kept. No rows:
     no rows. Other columns are left out, whatever their names.
     """
+    return _joined(docs, words, percent, most)[0]
+
+
+def _joined(docs: DataFrame, words: int, percent: int, most: int = CLUSTER_SHINGLES) -> tuple[DataFrame, int]:
+    """join(), and the seed of its nodes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -396,7 +405,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int
     found = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = found.join(smallest, "root").select("node", "component_id")
-    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node"), seed
 
 
 def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, seed: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -404,8 +413,9 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     spark = given.sparkSession
     none = F.lit(None).cast("long")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"), F.min("node").alias("leader"))
-    texts = _wanted(given, members).withColumnRenamed("doc_id", "id")
-    with_text = lambda m: m.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    texts = _wanted(given, members, words, seed)
+    # The node finds the text; its row with the node's id is taken, so that copies stay behind.
+    with_text = lambda m: m.join(texts, (F.col("node") == F.col("of_node")) & F.col("doc_id").eqNullSafe(F.col("id"))).drop("id", "of_node")
     partitions = _partitions(spark, members.agg(F.sum("n")).first()[0] or 0)
     large = written(sizes.where((F.col("total") > most) | (F.col("sets") > CLUSTER_SETS)), "large")
     if large.isEmpty():
@@ -414,14 +424,13 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
         small = members.join(large, "cluster", "left_anti")
     first_slot = F.pmod(F.xxhash64("cluster"), F.lit(1 << 30)).cast("int")
     block = small.select("cluster", F.lit(0).alias("qb"), F.lit(0).alias("ib"), first_slot.alias("slot"), "node", none.alias("known"), F.lit(True).alias("is_query"), "doc_id")
-    links = _links(with_text(block), words, percent, seed, partitions)
+    links = _links(with_text(block), words, percent, partitions)
     if large.isEmpty():
         return links, [large]
     held = members.join(large, "cluster")
-    leaders = with_text(held.where("node = leader")).select(F.col("leader").alias("of"), F.col("text").alias("leader_text"))
-    leaders = _own_text(leaders, words, seed)
+    leaders = with_text(held.where("node = leader")).select("leader", F.col("text").alias("leader_text")).dropDuplicates(["leader"])
     # Large clusters are few, so a leader's row meets its sets by broadcast or is split as a skewed key.
-    led = written(_led(with_text(held).join(leaders.withColumnRenamed("of", "leader"), "leader"), words, percent, seed), "led")
+    led = written(_led(with_text(held).join(leaders, "leader"), words, percent), "led")
     asked = led.where("NOT linked").groupBy("cluster").agg(F.sum("n").alias("asked"), F.count(F.lit(1)).alias("asking"))
     blocks_of = lambda shingles, sets: F.greatest(F.ceil(F.col(shingles) / most), F.least(F.lit(CLUSTER_BLOCKS), F.ceil(F.col(sets) / CLUSTER_SETS))).cast("int")
     shape = written(large.join(asked, "cluster").select("cluster", blocks_of("asked", "asking").alias("nq"), blocks_of("total", "sets").alias("ni")), "shape")
@@ -436,7 +445,7 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     starred = led.where("linked AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = links.unionAll(starred)
     if not shape.isEmpty():
-        found = found.unionAll(_links(with_text(blocks), words, percent, seed, partitions))
+        found = found.unionAll(_links(with_text(blocks), words, percent, partitions))
     return found, [large, led, shape]
 
 
@@ -444,11 +453,12 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _wanted(given: DataFrame, members: DataFrame) -> DataFrame:
-    """given without most rows whose ids no member has, so that their texts needn't be shuffled.
+def _wanted(given: DataFrame, members: DataFrame, words: int, seed: int) -> DataFrame:
+    """id, of_node, text of the rows of given whose id a member has, without most others, so that their texts needn't be shuffled.
 
     The filter is a bit table of fixed size, combined from those of tasks by the words that
-    aren't zero; where it fills up, more rows stay, and the join still decides.
+    aren't zero; where it fills up, more rows stay, and the join still decides. Of rows of one
+    slice that are one node with one id, one stays.
     """
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,21 +474,13 @@ def _wanted(given: DataFrame, members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = _slots(np.array(batch.column(0).fill_null(0)))
-            yield batch.filter(pa.array((sent.value[slot >> 6] >> (slot & 63)) & 1 == 1))
-
-    return given.mapInArrow(run, given.schema)
-
-
-def _own_text(rows: DataFrame, words: int, seed: int) -> DataFrame:
-    """The rows whose text is that of their node (column of): others are further documents of the same id; one row a node."""
-    schema, of, at = rows.schema, rows.columns.index("of"), rows.columns.index("text" if "text" in rows.columns else "leader_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = sets_of(batch.column(at), words)
-            yield batch.filter(pa.array([len(s) > 0 and set_keys(s, seed)[0] == n for s, n in zip(own, batch.column(of).to_pylist(), strict=True)], pa.bool_()))
+            for some in slices(batch.filter(pa.array((sent.value[slot >> 6] >> (slot & 63)) & 1 == 1)), SLICE_BYTES):
+                nodes = [set_keys(s, seed)[0] if len(s) else None for s in sets_of(some.column(1), words)]
+                seen: set = set()
+                fresh = [n is not None and not ((n, i) in seen or seen.add((n, i))) for n, i in zip(nodes, some.column(0).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), some.column(1)], ["id", "of_node", "text"]).filter(pa.array(fresh, pa.bool_()))
 
-    return rows.mapInArrow(run, schema).dropDuplicates(["of"])
+    return given.mapInArrow(run, "id bigint, of_node bigint, text string")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -486,7 +488,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Rows without words are no copies of each other and all stay.
     """
-    found = written(join(docs, words, percent), "groups").where("node IS NOT NULL")
+    groups, seed = _joined(docs, words, percent)
+    found = written(groups, "groups").where("node IS NOT NULL")
     # Rows of one id that has several, or none, can't be told apart by id alone.
     many = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").select("doc_id"), "many")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
@@ -496,7 +499,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     in_many = many.withColumnRenamed("doc_id", kept)
     simple = docs.join(in_many, docs["doc_id"].eqNullSafe(F.col(kept)), "left_anti").join(gone.join(many, "doc_id", "left_anti"), "doc_id", "left_anti").select(*own)
     odd = docs.join(in_many, docs["doc_id"].eqNullSafe(F.col(kept)), "left_semi")
-    return simple.unionByName(_odd_rows(odd, found, words))
+    return simple.unionByName(_odd_rows(odd, found, words, seed))
 
 
 def _fresh(columns: list[str], name: str) -> str:
@@ -506,14 +509,14 @@ def _fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def _odd_rows(odd: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """Of rows whose ids are null or repeated: those without words, and one of each group that has no row elsewhere."""
+def _odd_rows(odd: DataFrame, found: DataFrame, words: int, seed: int) -> DataFrame:
+    """Of rows whose ids are null or repeated: those without words, and one of each group that has no row elsewhere. seed: that of found's nodes."""
     own, schema = odd.columns, odd.schema
     at, keyed_by = own.index("text"), _fresh(own, "group_node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [set_keys(s, 0)[0] if len(s) else None for s in sets_of(batch.column(at), words)]
+            keys = [set_keys(s, seed)[0] if len(s) else None for s in sets_of(batch.column(at), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*own, keyed_by])
 
     # The row travels as one column, so its names clash with none.
