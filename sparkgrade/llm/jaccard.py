@@ -372,11 +372,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int
     not null among the rows reachable by links. Null ids and repeated rows are kept. No rows:
     no rows. Other columns are left out, whatever their names.
     """
-    return _joined(docs, words, percent, most)[0]
+    return _joined(docs, words, percent, most)[0].drop("root")
 
 
 def _joined(docs: DataFrame, words: int, percent: int, most: int = CLUSTER_SHINGLES) -> tuple[DataFrame, int]:
-    """join(), and the seed of its nodes."""
+    """join() with root, the group's least node, and the seed of the nodes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -404,8 +404,8 @@ def _joined(docs: DataFrame, words: int, percent: int, most: int = CLUSTER_SHING
     remove(members, *used)
     found = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = found.join(smallest, "root").select("node", "component_id")
-    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node"), seed
+    of_node = found.join(smallest, "root").select("node", "component_id", "root")
+    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "root"), seed
 
 
 def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, seed: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -510,7 +510,7 @@ def _fresh(columns: list[str], name: str) -> str:
 
 
 def _odd_rows(odd: DataFrame, found: DataFrame, words: int, seed: int) -> DataFrame:
-    """Of rows whose ids are null or repeated: those without words, and one of each group that has no row elsewhere. seed: that of found's nodes."""
+    """Of rows whose ids are null or repeated: those without words, and one of each group whose smallest id is theirs or that has no id. seed: that of found's nodes."""
     own, schema = odd.columns, odd.schema
     at, keyed_by = own.index("text"), _fresh(own, "group_node")
 
@@ -521,12 +521,12 @@ def _odd_rows(odd: DataFrame, found: DataFrame, words: int, seed: int) -> DataFr
 
     # The row travels as one column, so its names clash with none.
     keyed = odd.mapInArrow(run, StructType([*schema.fields, StructField(keyed_by, LongType())])).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(keyed_by).alias("node"))
-    of_node = found.groupBy("node").agg(F.min("component_id").alias("component"))
+    of_node = found.groupBy("node").agg(F.min("component_id").alias("component"), F.min("root").alias("root"))
     joined = keyed.join(of_node, "node", "left")
-    first = joined.where("node IS NOT NULL AND (row.doc_id = component OR (component IS NULL AND row.doc_id IS NULL))")
-    one = first.groupBy("component", "node").agg(F.first("row").alias("row"))
-    by_id = one.where("component IS NOT NULL").groupBy("component").agg(F.min_by("row", "node").alias("row"))
-    rows = joined.where("node IS NULL").select("row").unionByName(by_id.select("row")).unionByName(one.where("component IS NULL").select("row"))
+    # Groups are told apart by their roots: with repeated ids, two can have one smallest id.
+    first = joined.where("node IS NOT NULL AND row.doc_id <=> component")
+    one = first.groupBy("root").agg(F.min_by("row", "node").alias("row"))
+    rows = joined.where("node IS NULL").select("row").unionByName(one.select("row"))
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in own))
 
 
