@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more; the one with the smallest id. Of rows without an id, one of each text stays that no row with an id is near."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more; the one with the smallest id. Of a group without ids one row stays."""
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
