@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,3 +67,9 @@ def remove(*tables: DataFrame) -> None:
         spark = df.sparkSession
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.sparkgrade_path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing holds any more: its cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import slices
-from .common import bounded_batches, remove, table, written
+from .common import bounded_batches, free_shuffles, remove, table, written
 from .components import components
 from .hashing import mix, shingles, word_hashes
 
@@ -395,10 +395,10 @@ def _joined(docs: DataFrame, words: int, percent: int, most: int = CLUSTER_SHING
     common = counts > counts.mean() + 3 * np.sqrt(counts.mean()) + COMMON
     # A set has about half as many signatures as shingles, at most.
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    stars = _stars(_signed(given, words, percent, seed, common), _partitions(spark, total // 2)).distinct()
-    clusters = components(stars)
+    clusters = components(_stars(_signed(given, words, percent, seed, common), _partitions(spark, total // 2)).distinct())
     members = written(clusters.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "doc_id", "n"), "node"), "members")
     remove(clusters)
+    free_shuffles(spark)  # the signatures' rows are several times the texts
     links, used = _all_links(given, members, words, percent, seed, most)
     groups = components(links)
     remove(members, *used)
