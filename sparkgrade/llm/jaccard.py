@@ -45,8 +45,8 @@ SKETCH = 1 << 17
 COMMON = 8
 #: Bits of the filter of ids that keeps other texts out of a join: its size is fixed; it only saves work.
 FILTER_BITS = 1 << 24
-#: Shingles of a cluster that one task holds at most, as index or as queries.
-CLUSTER_SHINGLES = 1_000_000
+#: Shingles of a cluster that one task holds at most, and how many times as many it asks for at most.
+CLUSTER_SHINGLES, QUERY_BLOCK = 2_000_000, 4
 #: Sets of a cluster from which it is dealt to blocks, and blocks that their number alone makes at most on a side.
 CLUSTER_SETS, CLUSTER_BLOCKS = 400, 8
 #: Bytes of texts that are hashed at once.
@@ -291,56 +291,73 @@ class Cluster:
         return sets[enough], times[enough]
 
 
-def linked(nodes: list[int], sets: list[np.ndarray], queries: list[int], known: list[int | None], percent: int) -> list[tuple[int, int]]:
-    """Links among the sets that span every group of them. queries: numbers of sets to search with; known: an earlier group of each set."""
-    up = list(range(len(nodes)))
+#: What a row of a block is: in its index, a query against it, or both.
+INDEXED, ASKED, BOTH = range(3)
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
+
+class _Block:
+    """A block's index, and the groups that its links have made so far."""
+
+    def __init__(self, held: dict[int, tuple[np.ndarray, int | None]], percent: int) -> None:
+        self.nodes, self.percent, self.up = list(held), percent, {}
+        self.index = Cluster([own for own, _ in held.values()])
+        for node, (_, group) in held.items():
+            if group is not None:  # known to be linked with that node
+                self.up[self.root(node)] = self.root(group)
+
+    def root(self, x: int) -> int:
+        while (above := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up.setdefault(above, above)
         return x
 
-    first: dict[int, int] = {}
-    for i, group in enumerate(known):
-        if group is not None:
-            up[root(i)] = root(first.setdefault(group, i))
-    index, out = Cluster(sets), []
-    for q in queries:
-        for x in index.search(sets[q], percent, lambda x, q=q: root(x) == root(q)):
-            if root(x) != root(q):
-                up[root(x)] = root(q)
-                out.append((nodes[q], nodes[x]))
-    return out
+    def links(self, node: int, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The node's links that join groups."""
+        for k in self.index.search(own, self.percent, lambda k: self.root(self.nodes[k]) == self.root(node)):
+            a, b = self.root(self.nodes[k]), self.root(node)
+            if a != b:
+                self.up[a] = b
+                yield node, self.nodes[k]
 
 
 def _links(members: DataFrame, words: int, percent: int, partitions: int) -> DataFrame:
-    """a, b: links in blocks of clusters. members: key columns cluster, qb, ib, and slot, the key's partition, then node, known, is_query, text."""
+    """a, b: links in blocks of clusters. members: key columns cluster, qb, ib, and slot, the key's partition, then node, known, role, text.
+
+    A block's index is held; queries against it come after it and are searched one by one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
+        key, held, block = None, {}, None
 
-        def solved() -> pa.RecordBatch:
-            nodes = list(held)
-            rows = linked(nodes, [held[n][0] for n in nodes], [i for i, n in enumerate(nodes) if held[n][2]], [held[n][1] for n in nodes], percent) if len(nodes) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
+        def both() -> list[tuple[int, int]]:
+            """The links of a block that asks its own index."""
+            if block is not None or len(held) < 2 or not asking:
+                return []
+            own = _Block(held, percent)
+            return [x for n in held if n in asking for x in own.links(n, held[n][0])]
 
+        asking: set[int] = set()
         for batch in batches:
-            for some in slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), *(batch.column(n) for n in ("qb", "ib", "node", "known", "is_query"))], ["cluster", "text", "qb", "ib", "node", "known", "is_query"]), SLICE_BYTES):
-                own = sets_of(some.column(1), words)
-                for i, row in enumerate(zip(*(some.column(n).to_pylist() for n in ("cluster", "qb", "ib", "node", "known", "is_query")), strict=True)):
+            for some in slices(pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), *(batch.column(n) for n in ("qb", "ib", "node", "known", "role"))], ["cluster", "text", "qb", "ib", "node", "known", "role"]), SLICE_BYTES):
+                own, out = sets_of(some.column(1), words), []
+                for i, row in enumerate(zip(*(some.column(n).to_pylist() for n in ("cluster", "qb", "ib", "node", "known", "role")), strict=True)):
                     if row[:3] != key:
-                        if key is not None:
-                            yield solved()
-                        key, held = row[:3], {}
-                    before = held.get(row[3])  # a node may come twice: as a query and for the index, and with copies of its row
-                    held[row[3]] = own[i], row[4], row[5] or bool(before and before[2])
-        if key is not None:
-            yield solved()
+                        out += both()
+                        key, held, block, asking = row[:3], {}, None, set()
+                    node, known, role = row[3:]
+                    if role == ASKED:
+                        block = block or _Block(held, percent)
+                        out += block.links(node, own[i])
+                    else:  # copies of a row are one node
+                        held[node] = own[i], known
+                        if role == BOTH:
+                            asking.add(node)
+                yield pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+        out = both()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
 
     # Blocks of one cluster have neighbouring slots, so they go to different partitions.
-    dealt = members.repartitionById(partitions, "slot").sortWithinPartitions("cluster", "qb", "ib", "node")
-    return dealt.select("cluster", "qb", "ib", "node", "known", "is_query", "text").mapInArrow(run, "a bigint, b bigint")
+    dealt = members.repartitionById(partitions, "slot").sortWithinPartitions("cluster", "qb", "ib", "role", "node")
+    return dealt.select("cluster", "qb", "ib", "node", "known", "role", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def _led(members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -423,7 +440,7 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     else:
         small = members.join(large, "cluster", "left_anti")
     first_slot = F.pmod(F.xxhash64("cluster"), F.lit(1 << 30)).cast("int")
-    block = small.select("cluster", F.lit(0).alias("qb"), F.lit(0).alias("ib"), first_slot.alias("slot"), "node", none.alias("known"), F.lit(True).alias("is_query"), "doc_id")
+    block = small.select("cluster", F.lit(0).alias("qb"), F.lit(0).alias("ib"), first_slot.alias("slot"), "node", none.alias("known"), F.lit(BOTH).alias("role"), "doc_id")
     links = _links(with_text(block), words, percent, partitions)
     if large.isEmpty():
         return links, [large]
@@ -433,14 +450,16 @@ def _all_links(given: DataFrame, members: DataFrame, words: int, percent: int, s
     led = written(_led(with_text(held).join(leaders, "leader"), words, percent), "led")
     asked = led.where("NOT linked").groupBy("cluster").agg(F.sum("n").alias("asked"), F.count(F.lit(1)).alias("asking"))
     blocks_of = lambda shingles, sets: F.greatest(F.ceil(F.col(shingles) / most), F.least(F.lit(CLUSTER_BLOCKS), F.ceil(F.col(sets) / CLUSTER_SETS))).cast("int")
-    shape = written(large.join(asked, "cluster").select("cluster", blocks_of("asked", "asking").alias("nq"), blocks_of("total", "sets").alias("ni")), "shape")
+    # Queries aren't held, so more of them go to a block: an index is dealt once for each block of queries.
+    nq = F.greatest(F.ceil(F.col("asked") / (QUERY_BLOCK * most)), F.lit(1)).cast("int")
+    shape = written(large.join(asked, "cluster").select("cluster", nq.alias("nq"), blocks_of("total", "sets").alias("ni")), "shape")
     every = led.join(shape, "cluster")
     known = F.when(F.col("linked"), F.col("leader"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = every.select("cluster", "ni", "nq", "node", known.alias("known"), F.lit(False).alias("is_query"), "doc_id").withColumn("ib", own("ni")).withColumn("qb", upto("nq"))
-    queries = every.where("NOT linked").select("cluster", "ni", "nq", "node", none.alias("known"), F.lit(True).alias("is_query"), "doc_id").withColumn("qb", own("nq")).withColumn("ib", upto("ni"))
-    columns = ("cluster", "qb", "ib", (first_slot + F.col("qb") * F.col("ni") + F.col("ib")).alias("slot"), "node", "known", "is_query", "doc_id")
+    index = every.select("cluster", "ni", "nq", "node", known.alias("known"), F.lit(INDEXED).alias("role"), "doc_id").withColumn("ib", own("ni")).withColumn("qb", upto("nq"))
+    queries = every.where("NOT linked").select("cluster", "ni", "nq", "node", none.alias("known"), F.lit(ASKED).alias("role"), "doc_id").withColumn("qb", own("nq")).withColumn("ib", upto("ni"))
+    columns = ("cluster", "qb", "ib", (first_slot + F.col("qb") * F.col("ni") + F.col("ib")).alias("slot"), "node", "known", "role", "doc_id")
     blocks = index.select(*columns).unionAll(queries.select(*columns))
     starred = led.where("linked AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = links.unionAll(starred)
