@@ -46,7 +46,7 @@ COMMON = 8
 #: Bits of the filter of ids that keeps other texts out of a join: its size is fixed; it only saves work.
 FILTER_BITS = 1 << 24
 #: Shingles of a cluster that one task holds at most, and how many times as many it asks for at most.
-CLUSTER_SHINGLES, QUERY_BLOCK = 2_000_000, 4
+CLUSTER_SHINGLES, QUERY_BLOCK = 1_600_000, 8
 #: Sets of a cluster from which it is dealt to blocks, and blocks that their number alone makes at most on a side.
 CLUSTER_SETS, CLUSTER_BLOCKS = 400, 8
 #: Bytes of texts that are hashed at once.
@@ -221,11 +221,13 @@ class Cluster:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes, self.size = np.array([len(s) for s in sets], np.int64), len(sets)
         token = np.concatenate([np.zeros(0, np.uint64), *sets])
-        owner = np.repeat(np.arange(self.size), [len(s) for s in sets])
-        order = np.lexsort((owner, token))
-        self.owners = owner[order]
-        self.tokens, starts = np.unique(token[order], return_index=True)
+        order = np.argsort(token, kind="stable")  # the owners of one shingle stay in order
+        self.owners = np.repeat(np.arange(self.size, dtype=np.int32), self.sizes)[order]
+        token = token[order]
+        del order
+        self.tokens, starts = np.unique(token, return_index=True)
         self.starts = np.concatenate([starts, [len(token)]])
+        del token
         #: List number * sets + owner, sorted: one binary search probes many lists.
         self.keys = np.repeat(np.arange(len(self.tokens)), np.diff(self.starts)) * self.size + self.owners
 
@@ -345,7 +347,8 @@ def _links(members: DataFrame, words: int, percent: int, partitions: int) -> Dat
                         key, held, block, asking = row[:3], {}, None, set()
                     node, known, role = row[3:]
                     if role == ASKED:
-                        block = block or _Block(held, percent)
+                        if block is None:
+                            block, held = _Block(held, percent), {}
                         out += block.links(node, own[i])
                     else:  # copies of a row are one node
                         held[node] = own[i], known
