@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed by the result contracts: a word is a run of anything but blank, tab, LF, VT, FF and CR.
@@ -73,3 +75,12 @@ def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing holds any more: its cleaner follows the driver's garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def return_memory() -> None:
+    """Gives what a task has freed back to the system; a Python worker outlives its tasks, and its allocators keep it else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

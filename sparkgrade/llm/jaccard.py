@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import slices
-from .common import bounded_batches, free_shuffles, remove, table, written
+from .common import bounded_batches, free_shuffles, remove, return_memory, table, written
 from .components import components
 from .hashing import mix, shingles, word_hashes
 
@@ -355,8 +355,9 @@ def _links(members: DataFrame, words: int, percent: int, partitions: int) -> Dat
                         if role == BOTH:
                             asking.add(node)
                 yield pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
-        out = both()
+        out, held, block = both(), {}, None
         yield pa.RecordBatch.from_pydict({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+        return_memory()
 
     # Blocks of one cluster have neighbouring slots, so they go to different partitions.
     dealt = members.repartitionById(partitions, "slot").sortWithinPartitions("cluster", "qb", "ib", "role", "node")
