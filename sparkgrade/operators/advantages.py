@@ -33,8 +33,8 @@ def group_mean_std(df: DataFrame, group, score: str, floor: float = 0.0) -> Data
 
 def dense_group_ids(df: DataFrame, group: str) -> DataFrame:
     """Adds group_id, the place of the label among the distinct labels from 0. The labels are numbered by ranges, not the rows."""
-    numbered = with_position(df.select(group).distinct(), [group], "group_id")
-    return df.join(numbered, group)
+    numbered = with_position(df.select(group).distinct(), [group], "group_id").withColumnRenamed(group, "_group")
+    return df.join(numbered, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")  # null is a label of its own
 
 
 def whiten(df: DataFrame, value: str, shift_mean: bool = True, weight: Column | None = None) -> DataFrame:
@@ -175,7 +175,9 @@ def optimal_token_baseline(df: DataFrame, group, row: str, t: str, reward: str,
     got = got.withColumn("path", F.sum((1 - 2 * F.exp(logp) + F.col(sum_pi2)) * m).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     at = Window.partitionBy(*keys, slot)
     # The number of a group's responses is counted once and joined, not gathered on each row.
-    got = got.join(df.groupBy(*keys).agg(F.count_distinct(row).alias("_responses")), keys)
+    counted = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.count_distinct(row).alias("_responses"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]  # a null group is a group
+    got = got.join(counted, same).drop(*(f"_k{i}" for i in range(len(keys))))
     rows = F.col("_responses")
     base = F.sum(F.col("ret") * F.col("path") * m).over(at) / (F.sum(F.col("path") * m).over(at) + 1e-8)
     # The part of the longest response beyond the second longest has no peers: one row there, baseline 0.

@@ -101,3 +101,13 @@ def test_masks_and_softmax(spark):
     df = spark.createDataFrame([([5, 7, 2, 7, 2],)], "ids array<int>")
     got = df.select(sequences.response_mask(F.col("ids"), 2).alias("m"), sequences.response_mask(F.col("ids"), 9).alias("n"), sequences.softmax_of(F.array(F.lit(0.0), F.lit(math.log(3)))).alias("p"), sequences.first_argmax(F.col("ids")).alias("k")).first()
     assert got.m == [1, 1, 1, 0, 0] and got.n == [1] * 5 and np.allclose(got.p, [0.25, 0.75]) and got.k == 1
+
+
+def test_null_groups_keep_their_rows(spark):
+    rows = [(None, "r1", 0, 1.0, 1, -0.1, 0.5), (None, "r2", 0, 0.0, 1, -0.2, 0.5), ("a", "r3", 0, 1.0, 1, -0.1, 0.5), ("a", "r4", 0, 0.0, 1, -0.2, 0.5)]
+    df = spark.createDataFrame(rows, "g string, r string, t int, reward double, m int, logp double, p2 double")
+    got = adv.optimal_token_baseline(df, "g", "r", "t", "reward", "m", "logp", "p2").collect()
+    by = {x.r: x.advantage for x in got}
+    assert len(got) == 4 and by["r1"] == by["r3"] and by["r2"] == by["r4"]
+    ids = {(x.g, x.group_id) for x in adv.dense_group_ids(df.select("g", "r"), "g").collect()}
+    assert len(ids) == 2 and {i for _, i in ids} == {0, 1}
