@@ -11,7 +11,7 @@ from ..functions import boxes, parsers, text
 from ..operators import advantages as adv
 from ..operators import correction, filters, losses, matching, metrics, packing, scoring, sequences, shapes
 from ..streaming import lifecycle
-from . import cases, files, more
+from . import cases, files, more, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -895,6 +895,6 @@ def lifecycle_sample(spark, d):
 
 # Over literal cases, files, and the rest.
 
-for _more in (cases, files, more):
+for _more in (cases, files, more, streams):
     QUERIES.update(_more.QUERIES)
     ORACLE_SQL.update(_more.ORACLE_SQL)
