@@ -56,24 +56,104 @@ def drained(states: DataFrame, sampled: DataFrame, now: int, threshold: int | No
     return marked.where("why IS NULL").drop("why"), marked.where("why IS NOT NULL")
 
 
-def count_or_time(rows: DataFrame, queue: str, at: str, order: list[str], most: int, wait: float) -> DataFrame:
+def _following(queues: list, times: list, own: int, most: int, wait: float) -> list[int]:
+    """For each of the first `own` rows, where the batch after the one that it opens begins."""
+    out, j = [], 0
+    for i in range(own):
+        # The bound moves forward with the rows, but for those after a row without a time.
+        j = i + 1 if i and times[i - 1] != times[i - 1] else max(j, i + 1)
+        end = min(i + most, len(queues))
+        while j < end and queues[j] == queues[i] and not times[j] - times[i] >= wait:
+            j += 1
+        out.append(j)
+    return out
+
+
+class _Piece:
+    """Some rows in order, the row before them and as many after them as a batch can reach."""
+
+    def __init__(self, rows: pd.DataFrame, queue: str, most: int, wait: float) -> None:
+        rows = rows.sort_values("_pos")
+        codes, self.names = pd.factorize(rows[queue], use_na_sentinel=False)
+        before, self.own = int((rows["_side"] < 0).sum()), int((rows["_side"] == 0).sum())
+        self.queues = codes[before:].tolist()
+        self.follows = bool(before) and codes[0] == codes[before]
+        self.goes_on = len(self.queues) > self.own and self.queues[self.own] == self.queues[self.own - 1]
+        self.next = _following(self.queues, rows["_at"].to_numpy(float)[before:].tolist(), self.own, most, wait)
+        self.pos = rows["_pos"].to_numpy()[before : before + self.own]
+
+    def runs(self) -> list[tuple[int, int]]:
+        """Where each queue begins and ends."""
+        cuts = [0, *(i for i in range(1, self.own) if self.queues[i] != self.queues[i - 1]), self.own]
+        return list(zip(cuts, cuts[1:], strict=False))
+
+
+def count_or_time(rows: DataFrame, queue: str, at: str, order: list[str], most: int, wait: float, piece: int = 1 << 16) -> DataFrame:
     """Adds batch: a queue's rows in order; a batch ends when it has `most` rows, or a row comes `wait` or more after its first one.
 
-    A queue is what one server's worker sees, and is as long as that; one fold passes over it.
+    All rows are cut in pieces of `piece` rows, whatever their queues. Where a batch opens decides
+    where the next one does, so a piece is a map from the place (below `most`) at which the first
+    batch in it opens to that in the next piece, and how many it opens. The maps of a queue, one
+    for each piece that it runs through, are folded; no queue comes together in a row or task.
+    Rows without a time come first and end no batch by waiting.
     """
     from ..operators.sequences import scanned
-
-    own = rows.groupBy(queue).agg(F.sort_array(F.collect_list(F.struct(at, *order))).alias("_rows"))
-
-    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
-        t = x[at].cast("double")
-        new = (a["n"] >= most) | (t - a["first"] >= wait) | (a["n"] == 0)
-        batch = F.when(new, a["batch"] + 1).otherwise(a["batch"])
-        return {"n": F.when(new, 1.0).otherwise(a["n"] + 1), "first": F.when(new, t).otherwise(a["first"]), "batch": batch}, batch
-
-    start = {"n": F.lit(0.0), "first": F.lit(0.0), "batch": F.lit(-1.0)}
-    each = own.select(queue, F.explode(F.arrays_zip("_rows", scanned(F.col("_rows"), start, step).alias("_b"))).alias("_x"))
-    return each.select(queue, *(F.col(f"_x._rows.{c}").alias(c) for c in (at, *order)), F.col("_x._b").cast("long").alias("batch"))
+    from ..operators.shapes import with_position
+
+    piece = max(piece, most)
+    placed = with_position(rows.select(queue, at, *order), [queue, at, *order], "_pos")
+    p, k = F.floor(F.col("_pos") / piece), F.col("_pos") % piece
+    side = lambda to, s: F.struct(to.alias("_piece"), F.lit(s).alias("_side"))
+    sides = F.array(side(p, 0), F.when((k < most) & (p > 0), side(p - 1, 1)), F.when(k == piece - 1, side(p + 1, -1)))
+    dealt = placed.select(F.col(queue), F.col(at).cast("double").alias("_at"), "_pos", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("_s")).select(queue, "_at", "_pos", "_s.*")
+    kind = dict(rows.dtypes)[queue]
+
+    def maps(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if (frame["_side"] == 0).any():
+            x = _Piece(frame, queue, most, wait)
+            for n, (a, b) in enumerate(x.runs()):
+                into, on = n == 0 and x.follows, b == x.own and x.goes_on
+                if not into and not on:
+                    continue
+                ends, counts = {}, {}
+                for i in range(b - 1, a - 1, -1):
+                    j = x.next[i]
+                    ends[i], counts[i] = (ends[j], 1 + counts[j]) if j < b else (j - b if on else -1, 1)
+                entries = range(most) if into else (a,)
+                name = x.names[x.queues[a]]
+                out.append((None if pd.isna(name) else name, key[0], [ends.get(i, -1) for i in entries], [counts.get(i, 0) for i in entries]))
+        return pd.DataFrame(out, columns=[queue, "_piece", "ends", "counts"], dtype=object)
+
+    maps_of = dealt.groupBy("_piece").applyInPandas(maps, f"{queue} {kind}, _piece long, ends array<int>, counts array<long>")
+    own = maps_of.groupBy(queue).agg(F.sort_array(F.collect_list(F.struct("_piece", "ends", "counts"))).alias("_maps"))
+
+    def step(told: str):
+        def of(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            i = a["entry"].cast("int")
+            return {"entry": F.get(x["ends"], i), "base": a["base"] + F.get(x["counts"], i)}, a[told]
+
+        return of
+
+    start = {"entry": F.lit(0.0), "base": F.lit(0.0)}
+    entered = own.select(F.posexplode(F.arrays_zip(F.col("_maps._piece").alias("_piece"), scanned(F.col("_maps"), start, step("entry")).alias("entry"), scanned(F.col("_maps"), start, step("base")).alias("base"))).alias("_n", "_x")).where("_n > 0").select("_x.*")
+
+    def numbers(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not (frame["_side"] == 0).any():
+            return pd.DataFrame({"_pos": [], "batch": []})
+        x, batches = _Piece(frame, queue, most, wait), []
+        for n, (a, b) in enumerate(x.runs()):
+            i, batch = (int(entry["entry"].iloc[0]), int(entry["base"].iloc[0])) if n == 0 and x.follows else (a, 0)
+            i = b if i < 0 else min(i, b)
+            batches += [batch - 1] * (i - a)
+            while i < b:
+                j = min(x.next[i], b)
+                batches += [batch] * (j - i)
+                i, batch = j, batch + 1
+        return pd.DataFrame({"_pos": x.pos, "batch": batches})
+
+    numbered = dealt.groupBy("_piece").cogroup(entered.groupBy("_piece")).applyInPandas(numbers, "_pos long, batch long")
+    return placed.join(numbered, "_pos").drop("_pos")
 
 
 def next_queue(queued: dict[str, int]) -> str | None:

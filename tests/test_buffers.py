@@ -134,3 +134,21 @@ def test_a_lone_request_leaves_after_the_wait(spark, tmp_path):
         q.stop()
     assert [g[0] for g in got] == ["a"] * 4 + ["b"]
     assert sorted(g[3] for g in got) == ["full"] * 3 + ["waited"] * 2 and got[-1] == ("b", 9, 0, "waited")
+
+
+@pytest.mark.parametrize(("most", "piece"), [(1, 1), (3, 3), (4, 7), (5, 16), (6, 1000)])
+def test_count_or_time_in_pieces_equals_a_walk_over_each_queue(spark, most, piece):
+    r = random.Random(most)
+    rows = [("hot", i, float(i // 2 + r.randrange(2))) for i in range(90)] + [(f"q{r.randrange(9)}", i, float(r.randrange(60))) for i in range(90, 140)]
+    rows += [("hot", 200, None), ("hot", 201, None), (None, 300, 5.0), (None, 301, 6.0), ("sparse", 400, 0.0), ("sparse", 401, 1e6)]
+    want, state = {}, {}
+    for q, i, t in sorted(rows, key=lambda x: (x[0] or "", x[2] is not None, x[2] or 0, x[1])):
+        n, first, batch = state.get(q, (most, None, -1))
+        if n >= most or (t is not None and first is not None and t - first >= 4):
+            n, first, batch = 0, t, batch + 1
+        state[q] = (n + 1, first, batch)
+        want[q, i] = batch
+    df = spark.createDataFrame(rows, "q string, id long, t double").repartition(5)
+    got = {(x.q, x.id): x.batch for x in lifecycle.count_or_time(df, "q", "t", ["id"], most, 4.0, piece).collect()}
+    assert got == want
+    assert lifecycle.count_or_time(df.where("id < 0"), "q", "t", ["id"], most, 4.0, piece).count() == 0
