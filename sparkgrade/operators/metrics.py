@@ -28,6 +28,70 @@ def expected_extremes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rungs.groupBy(*keys, "n", "k").agg(F.sum(F.col("x") * up).alias("best"), F.sum(F.col("x") * down).alias("worst"))
 
 
+def majority_moments(counts: np.ndarray, means: np.ndarray, variances: np.ndarray, k: int) -> tuple[float, float]:
+    """(mean, deviation) of the majority's value over k draws with replacement from votes with these counts, and means and variances of their values.
+
+    The majority of a draw is its most common vote, the first drawn of equal ones, and its value
+    that of its first drawn row. Given how often each vote is drawn, every order is as likely, so
+    equal votes share the draw evenly and the row is any of its vote. Summed over the highest
+    count: a convolution over the votes by (draws so far, votes that reach the highest count),
+    with Poisson weights, whose total is k with a known probability.
+    """
+    share = counts / counts.sum()
+    centre = float((share * means).sum())
+    first, second = means - centre, variances + (means - centre) ** 2
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, k + 1)))))
+    weights = np.exp(np.arange(k + 1) * np.log(k * share)[:, None] - k * share[:, None] - logs)
+    total = np.zeros(2)
+    for high in range(-(-k // len(share)), k + 1):
+        # For each number of draws and of votes at the highest count: weight, sum of firsts, sum of seconds.
+        held = np.zeros((k + 1, min(len(share), k // high) + 1, 3))
+        held[0, 0, 0] = 1
+        for w, a, b in zip(weights, first, second, strict=True):
+            new = held * w[0]
+            for j in range(1, high):
+                new[j:] += held[: k + 1 - j] * w[j]
+            up = held[: k + 1 - high, :-1] * w[high]
+            new[high:, 1:] += up
+            new[high:, 1:, 1] += a * up[..., 0]
+            new[high:, 1:, 2] += b * up[..., 0]
+            held = new
+        total += (held[k, 1:, 1:] / np.arange(1, held.shape[1])[:, None]).sum(0)
+    mean, square = total / np.exp(k * np.log(k) - k - logs[k])
+    return centre + mean, float(np.sqrt(max(square - mean * mean, 0.0)))
+
+
+def resampling_ladder(df: DataFrame, keys: list[str], value: str, vote: str | None = None) -> DataFrame:
+    """keys, n, k, what (best, worst and, with a vote, maj), mean, std: the exact moments of what bootstrap() and resampled_tree() estimate by draws.
+
+    k runs over the ladder of groups of two rows or more. Null values don't count; null votes are
+    a vote. Best and worst come from order statistics on the JVM. For the majority a group is
+    reduced to its votes' counts, means and variances first; the work grows with the cube of k,
+    so groups are meant to be a prompt's responses.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    w = Window.partitionBy(*keys)
+    ranked = rows.select(*keys, "_v", F.row_number().over(w.orderBy("_v")).alias("_i"), F.count(F.lit(1)).over(w).alias("n"), F.avg("_v").over(w).alias("_c"))
+    rungs = ranked.where("n > 1").withColumn("k", F.explode(ladder(F.col("n")))).withColumn("_x", F.col("_v") - F.col("_c"))
+    power = lambda part: F.pow(part / F.col("n"), F.col("k"))
+    chance = {"best": power(F.col("_i")) - power(F.col("_i") - 1), "worst": power(F.col("n") - F.col("_i") + 1) - power(F.col("n") - F.col("_i"))}
+    sums = rungs.groupBy(*keys, "n", "k").agg(F.first("_c").alias("_c"), *(f.alias(f"_{what}{d}") for what, p in chance.items() for d, f in ((1, F.sum(F.col("_x") * p)), (2, F.sum(F.col("_x") ** 2 * p)))))
+    told = lambda what: F.struct(F.lit(what).alias("what"), (F.col("_c") + F.col(f"_{what}1")).alias("mean"), F.sqrt(F.greatest(F.col(f"_{what}2") - F.col(f"_{what}1") ** 2, F.lit(0.0))).alias("std"))
+    out = sums.select(*keys, "n", "k", F.explode(F.array(*map(told, chance))).alias("_m")).select(*keys, "n", "k", "_m.*")
+    if vote is None:
+        return out
+
+    @F.pandas_udf("struct<mean double, std double>")
+    def moments(counts: pd.Series, means: pd.Series, variances: pd.Series, k: pd.Series) -> pd.DataFrame:
+        got = [majority_moments(np.asarray(c, float), np.asarray(m, float), np.asarray(v, float), int(x)) for c, m, v, x in zip(counts, means, variances, k, strict=True)]
+        return pd.DataFrame(got, columns=["mean", "std"])
+
+    votes = rows.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_a"), F.var_pop("_v").alias("_s"))
+    own = votes.groupBy(*keys).agg(F.sum("_n").alias("n"), F.collect_list(F.struct("_n", "_a", "_s")).alias("_g")).where("n > 1").withColumn("k", F.explode(ladder(F.col("n"))))
+    most = own.select(*keys, "n", "k", F.lit("maj").alias("what"), moments(F.col("_g._n"), F.col("_g._a"), F.col("_g._s"), F.col("k")).alias("_m"))
+    return out.unionByName(most.select(*keys, "n", "k", "what", "_m.*"))
+
+
 def majority(df: DataFrame, keys: list[str], vote: str, value: str, position: str) -> DataFrame:
     """keys, majority: the value of the first row with the most common vote; of equal ones, the first seen."""
     votes = df.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct(F.col(value).alias("v")), position).alias("first"), F.min(position).alias("at"))

@@ -433,6 +433,28 @@ def validation_bootstrap(spark, d):
     return own.where("n >= 4").groupBy("event_type").agg(*(_r(F.avg(c)).alias(c) for c in ("best", "best_std", "worst", "worst_std")))
 
 
+@query(
+    _LADDER_SQL.replace("WITH o", "WITH RECURSIVE o")
+    + """, s AS (SELECT event_type, user_id, k, sum(x * x * (pow(i / n, k) - pow((i - 1) / n, k))) AS best, sum(x * x * (pow((n - i + 1) / n, k) - pow((n - i) / n, k))) AS worst FROM o JOIN k USING (n) GROUP BY ALL),
+    -- Votes one after another: draws so far, the highest count, how many votes have it, the weight, and the weighted sums of those votes' means and squares.
+    v AS (SELECT event_type, user_id, event_id % 3 AS vote, count(*) AS c, avg(value) AS a, avg(value * value) AS q FROM events GROUP BY ALL),
+    g AS (SELECT *, sum(c) OVER u AS n, count(*) OVER u AS votes, row_number() OVER (PARTITION BY event_type, user_id ORDER BY vote) AS j FROM v WINDOW u AS (PARTITION BY event_type, user_id)),
+    h AS (SELECT g.*, k.k FROM g JOIN k USING (n)),
+    t AS (SELECT event_type, user_id, k, 0::BIGINT AS j, 0::BIGINT AS r, 0::BIGINT AS m, 0::BIGINT AS ties, 1.0::DOUBLE AS w, 0.0::DOUBLE AS a, 0.0::DOUBLE AS q FROM h WHERE j = 1
+      UNION ALL SELECT event_type, user_id, k, j, r, m, ties, sum(w), sum(a), sum(q) FROM (
+        SELECT h.event_type, h.user_id, h.k, h.j, t.r + d.d AS r, greatest(t.m, d.d) AS m, CASE WHEN d.d > t.m THEN 1 WHEN d.d = t.m AND d.d > 0 THEN t.ties + 1 ELSE t.ties END AS ties,
+          t.w * p.p AS w, (CASE WHEN d.d > t.m THEN t.w * h.a WHEN d.d = t.m AND d.d > 0 THEN t.a + t.w * h.a ELSE t.a END) * p.p AS a, (CASE WHEN d.d > t.m THEN t.w * h.q WHEN d.d = t.m AND d.d > 0 THEN t.q + t.w * h.q ELSE t.q END) * p.p AS q
+        FROM t JOIN h ON t.event_type = h.event_type AND t.user_id = h.user_id AND t.k = h.k AND h.j = t.j + 1, LATERAL (SELECT unnest(range(CASE WHEN h.j = h.votes THEN h.k - t.r ELSE 0 END, h.k - t.r + 1)) AS d) d, LATERAL (SELECT pow(h.c / h.n, d.d) / gamma(d.d + 1) AS p) p) GROUP BY ALL),
+    maj AS (SELECT t.event_type, t.user_id, t.k, sum(t.a / t.ties) * gamma(any_value(t.k) + 1) AS mean, sum(t.q / t.ties) * gamma(any_value(t.k) + 1) AS square FROM t JOIN h ON t.event_type = h.event_type AND t.user_id = h.user_id AND t.k = h.k AND t.j = h.j WHERE h.j = h.votes AND t.r = t.k GROUP BY ALL),
+    z AS (SELECT event_type, k, 'best' AS what, e.best AS mean, s.best AS square FROM e JOIN s USING (event_type, user_id, k) UNION ALL SELECT event_type, k, 'worst', e.worst, s.worst FROM e JOIN s USING (event_type, user_id, k) UNION ALL SELECT event_type, k, 'maj', mean, square FROM maj)
+    SELECT event_type, k::INT AS k, what, round(avg(mean), 4) AS mean, round(avg(sqrt(greatest(square - mean * mean, 0))), 4) AS std FROM z GROUP BY ALL"""
+)
+def validation_ladder(spark, d):
+    """Means and deviations of best, worst and majority of k, prompts weighing 1 each."""
+    got = metrics.resampling_ladder(_t(spark, d, "events").withColumn("vote", F.col("event_id") % 3), ["event_type", "user_id"], "value", "vote")
+    return got.groupBy("event_type", "k", "what").agg(_r(F.avg("mean")).alias("mean"), _r(F.avg("std")).alias("std"))
+
+
 @query(
     """WITH v AS (SELECT user_id, event_type, count(*) AS c, arg_min(value, event_id) AS v, min(event_id) AS pos FROM events GROUP BY ALL)
     SELECT user_id, round(arg_max(v, c * 1000000000.0 - pos), 4) AS majority FROM v GROUP BY user_id"""
