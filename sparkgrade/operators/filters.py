@@ -57,8 +57,9 @@ def draw_with_replacement(df: DataFrame, weight: Column, draws: int, seed: int,
     """`draws` rows, each with probability as its weight: uniform draws meet the running sums of weights.
 
     Running sums come from those of ranges; a row's interval begins where the one before it
-    ends, so no draw falls between. A draw finds its row by a join on cells of equal weight, so
-    neither side is compared with all of the other.
+    ends, so no draw falls between. Where the intervals begin and the draws are merged in one
+    order, cut in ranges of about one size: a draw takes the last row that begins at or before
+    it, in its own range or the last one that has any. However heavy a row is, it is there once.
     """
     parts = ranged(df.withColumn("_w", F.coalesce(weight.cast("double"), F.lit(0.0))), order)
     w = Window.partitionBy("_range").orderBy("_key")
@@ -73,11 +74,16 @@ def draw_with_replacement(df: DataFrame, weight: Column, draws: int, seed: int,
     up = F.when(F.col("_hi") == top, F.col("_end")).otherwise(F.col("_start") + F.col("_hi")) / F.col("_total")
     low = F.when(F.col("_low") == top, F.col("_end")).otherwise(F.col("_start") + F.col("_low")) / F.col("_total")
     ranged_rows = inside.join(F.broadcast(starts), "_range").select("*", low.alias("_lo"), up.alias("_up"))
-    cells = 4096
-    cut = ranged_rows.where("_up > _lo").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_up") * cells), F.lit(cells - 1)))))
-    asked = df.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("_u", seeded(seed, "draw")).withColumn("_cell", F.floor(F.col("_u") * cells))
-    found = cut.join(asked, "_cell").where("_u >= _lo AND _u < _up")
-    return found.select(*df.columns, "draw")
+    begins = ranged_rows.where("_up > _lo").select(*df.columns, F.lit(0).alias("_drawn"), F.col("_lo").alias("_at"), F.lit(None).cast("long").alias("draw"))
+    asked = df.sparkSession.range(draws).select(F.lit(1).alias("_drawn"), F.col("id").alias("draw")).withColumn("_at", seeded(seed, "draw"))
+    merged = ranged(begins.unionByName(asked, allowMissingColumns=True), ["_at", "_drawn"], "_cut")
+    row = F.when(F.col("_drawn") == 0, F.struct(*df.columns))
+    held = merged.withColumn("_row", F.last(row, ignorenulls=True).over(Window.partitionBy("_cut").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)))
+    # A row for each range: their number is fixed.
+    lasts = merged.groupBy("_cut").agg(F.max_by(row, F.when(F.col("_drawn") == 0, F.col("_key"))).alias("_tail"))
+    carried = lasts.select("_cut", F.last("_tail", ignorenulls=True).over(Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    found = held.where("_drawn = 1").join(F.broadcast(carried), "_cut").select("draw", F.coalesce("_row", "_before").alias("_row"))
+    return found.where("_row IS NOT NULL").select("_row.*", "draw")
 
 
 def score_weights(score: Column, kind: str, power: float = 2.0, extremes: tuple[Column, Column] | None = None, coin: Column | None = None) -> Column:
