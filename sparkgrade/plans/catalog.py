@@ -836,6 +836,44 @@ def box_composites(spark, d):
     return rows.select("event_id", _r(boxes.consistency_score(F.col("p"), F.lit(0.5))).alias("consistency"), _r(boxes.detection_score(F.col("p"), F.lit(0.5))).alias("detection"))
 
 
+@query(
+    f"""WITH o AS (SELECT event_id, event_id % 4 IN (0, 2) AS same, {_overlap_sql(100, 100, 500, 500)} AS i, 300 - (event_id % 500 + 200) AS dx, event_id % 300 + 200 - 120 AS dy FROM events),
+    p AS (SELECT event_id, same, i / (320000 - i) AS iou, CASE WHEN sqrt(dx * dx + dy * dy) < 1e-9 THEN 0 ELSE greatest(0, least(1, dy / sqrt(dx * dx + dy * dy))) END AS agree FROM o)
+    SELECT event_id, 'consistency' AS kind, same::INT::DOUBLE AS c, round(iou, 4) AS r2, round(iou * agree, 4) AS r3, 0.5 AS r4, round(CASE WHEN same THEN 0.1 + 0.25 * iou + 0.25 * iou * agree + 0.4 * 0.5 ELSE 0 END, 4) + 0.0 AS reward FROM p
+    UNION ALL SELECT event_id, 'detection', NULL, round(iou, 4), round(iou * agree, 4), 0.5, round(0.25 * iou + 0.25 * iou * agree + 0.5 * 0.5, 4) FROM p
+    UNION ALL SELECT event_id, 'no boxes wanted', same::INT, NULL, NULL, NULL, round(CASE WHEN same THEN 0.2 ELSE 0 END, 4) FROM p"""
+)
+def score_details(spark, d):
+    """The parts behind a graded answer's reward, of truths with a box and without one."""
+    told = '{"answer": "a", "boxes": [{"bbox": [100, 100, 500, 500], "label": "move (300, 100)"}]}'
+    given = F.regexp_replace("solution", r"\[\[(.*?)\]\]", '[{"bbox": [$1], "label": "move (300, 120)"}]')
+    rows = _graded(spark, d).select("event_id", boxes.box_parts(given, F.lit(told)).alias("p"), boxes.box_parts(given, F.lit('{"answer": "a", "boxes": []}')).alias("q"))
+    kinds = {"consistency": ("p", "consistency"), "detection": ("p", "detection"), "no boxes wanted": ("q", "consistency")}
+    told = F.array(*(F.struct(F.lit(name).alias("kind"), scoring.details(F.col(c), F.lit(0.5), kind).alias("x")) for name, (c, kind) in kinds.items()))
+    each = rows.select("event_id", F.explode(told).alias("e"))
+    return each.select("event_id", "e.kind", *(_r(f"e.x.{n}").alias(n.lower()) for n in ("C", "R2", "R3", "R4", "reward")))
+
+
+@query(_adv_sql("CASE WHEN n > 1 THEN (s - m) / (sd + 1e-6) ELSE s / (1 + 1e-6) END"))
+def dispatched_advantage(spark, d):
+    """An estimator found by its name."""
+    return _adv(adv.compute_advantage(_lines(spark, d), "grpo", group="l_orderkey", score="score"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
+def unpadded(spark, d):
+    """Rows padded to a divisor and without their padding again."""
+    rows = shapes.with_position(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    return shapes.unpad(shapes.pad_to_divisor(rows, 64, rows.count()))
+
+
+@query("SELECT conv_id, sum(CASE WHEN k > 2 THEN len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) ELSE 0 END)::INT AS words FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY conv_id")
+def following_words(spark, d):
+    """Words of a conversation's turns after its second one."""
+    own = _t(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
+    return own.select("conv_id", text.future_words(F.col("turns"), F.lit(2)).alias("words"))
+
+
 @query("SELECT event_id, round(least(-(event_id % 500 - 300) / 100.0, 0), 4) + 0.0 AS penalty FROM events")
 def overlong_penalty(spark, d):
     return _t(spark, d, "events").select("event_id", _r(scoring.overlong_penalty(F.col("event_id") % 500, 400, 100)).alias("penalty"))

@@ -152,3 +152,8 @@ def test_count_or_time_in_pieces_equals_a_walk_over_each_queue(spark, most, piec
     got = {(x.q, x.id): x.batch for x in lifecycle.count_or_time(df, "q", "t", ["id"], most, 4.0, piece).collect()}
     assert got == want
     assert lifecycle.count_or_time(df.where("id < 0"), "q", "t", ["id"], most, 4.0, piece).count() == 0
+
+
+def test_back_pressure_and_quota():
+    assert lifecycle.should_pause(4, 4, 0, 99) and lifecycle.should_pause(1, 4, 5, 6) and not lifecycle.should_pause(1, 4, 4, 6)
+    assert lifecycle.quota_at_sync(8, 0.5, 3, 2) == (7, 5) and lifecycle.quota_at_sync(8, 0.0, 6, 5) == (0, 11)
