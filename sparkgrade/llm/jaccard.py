@@ -7,8 +7,11 @@
    are in bands, and a set is dealt in its own and in the next). Shingles that very many texts
    have are left out, by a sketch of fixed size over all texts; a set with too few others is
    dealt whole as well. So no link is lost, and passages that many texts share gather nobody.
-   Texts with a common signature, directly or through others, form a cluster; a signature links
-   its texts in a star, not in pairs, and combines before the shuffle.
+   A pair with a common signature counts if the parities of its shingles' residues, a bit for
+   each shingle or so, differ in few enough places: linked sets do. Texts that such pairs
+   connect, directly or through others, form a cluster, so texts that share no more than a
+   passage aren't gathered through each other. Pairs of a signature that many texts have are
+   made between groups only that other pairs haven't connected.
 3. In a cluster, each set is a query. An overlap of T shingles is required; the longest lists
    of the cluster's inverted index are set aside, the short ones are merged, and only sets that
    occur often enough there are probed by binary search in the long ones (DivideSkip). Sets
@@ -53,6 +56,10 @@ CLUSTER_SETS, CLUSTER_BLOCKS = 400, 8
 SLICE_BYTES = 1 << 18
 #: Rows of a shuffle, signatures or shingles, that a partition holds about.
 PARTITION_ROWS = 8_000_000
+#: Nodes of a signature that are paired at once, and nodes of several groups that are paired at most; more are one cluster.
+FEW_NODES, MANY_NODES = 8, 512
+#: Pairs that a task holds to drop repeated ones.
+HELD_PAIRS = 250_000
 #: Postings of a list that are merged at once, and long lists that are probed at once.
 MERGE_BLOCK, PROBE_BLOCK = 4096, 16
 _MU = 0.0085
@@ -87,7 +94,7 @@ def needed(n: int, percent: int) -> int:
 
 
 def _scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """doc_id, n, node, check of every text, and bucket, seen: the sketch of each task."""
+    """doc_id, n, node, check, bits (parities) of every text, and bucket, seen: the sketch of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
@@ -100,12 +107,12 @@ def _scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 counts += np.bincount((np.concatenate([np.zeros(0, np.uint64), *short]) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 keys = [set_keys(s, seed) if len(s) else (None, None) for s in own]
                 none = pa.nulls(len(own), pa.int64())
-                yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "n": pa.array([len(s) for s in own], pa.int64()), "node": pa.array([k[0] for k in keys], pa.int64()), "check": pa.array([k[1] for k in keys], pa.int64()), "bucket": none, "seen": none})
+                yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "n": pa.array([len(s) for s in own], pa.int64()), "node": pa.array([k[0] for k in keys], pa.int64()), "check": pa.array([k[1] for k in keys], pa.int64()), "bits": pa.array([parity(s) if len(s) else None for s in own], pa.binary()), "bucket": none, "seen": none})
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "node": none, "check": none, "bucket": pa.array(full, pa.int64()), "seen": pa.array(counts[full], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "node": none, "check": none, "bits": pa.nulls(len(full), pa.binary()), "bucket": pa.array(full, pa.int64()), "seen": pa.array(counts[full], pa.int64())})
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint, bucket bigint, seen bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint, bits binary, bucket bigint, seen bigint")
 
 
 @functools.cache
@@ -157,7 +164,7 @@ def signatures(own: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, percent: int, seed: int, common: np.ndarray) -> DataFrame:
-    """signature, node: those of each set, combined in each slice of the input."""
+    """signature, node: those of each set, each once in a slice of the input."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,20 +178,8 @@ def _signed(docs: DataFrame, words: int, percent: int, seed: int, common: np.nda
                         owners.append(np.full(len(found[-1]), set_keys(own, seed)[0], np.int64))
                 if not found:
                     continue
-                token, node = np.concatenate(found), np.concatenate(owners)
-                order = np.lexsort((node, token))
-                token, node = token[order], node[order]
-                fresh = np.ones(len(token), bool)
-                fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-                token, node = token[fresh], node[fresh]
-                first = np.ones(len(token), bool)
-                first[1:] = token[1:] != token[:-1]
-                # Several nodes of a slice meet under a key of their own; the first goes on for all.
-                # The key depends on the slice's content alone, so that a task that runs again gives the same rows.
-                many = np.diff(np.concatenate([np.flatnonzero(first), [len(token)]])) > 1
-                group = np.repeat(many, np.diff(np.concatenate([np.flatnonzero(first), [len(token)]])))
-                local = mix(token[group] ^ mix(node.min(keepdims=True).view(np.uint64) ^ _SALT))
-                yield pa.RecordBatch.from_pydict({"signature": pa.array(np.concatenate([token[first], local]).view(np.int64)), "node": pa.array(np.concatenate([node[first], node[group]]))})
+                token, node = _once(np.concatenate(found).view(np.int64), np.concatenate(owners))
+                yield pa.RecordBatch.from_pydict({"signature": pa.array(token), "node": pa.array(node)})
 
     return docs.mapInArrow(run, "signature bigint, node bigint")
 
@@ -194,25 +189,192 @@ def _partitions(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / PARTITION_ROWS))
 
 
-def _stars(signed: DataFrame, partitions: int) -> DataFrame:
-    """a, b: each node of a signature, and the first of them."""
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
+
+
+def parity(own: np.ndarray) -> bytes:
+    """How often each residue of a set's shingles occurs, modulo 2: a bit for each of at least as many residues as shingles, a power of two."""
+    size = max(64, 1 << (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
+    """False only for sets that aren't linked: each shingle that one of two sets has alone changes one bit, so the bits differ in no more places than there are such shingles."""
+    if percent * max(n_a, n_b) > 100 * min(n_a, n_b):
+        return False
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    if len(a) != len(b):
+        size = 8 * min(len(a), len(b))
+        x, y = _folded(x, 8 * len(a), size), _folded(y, 8 * len(b), size)
+    return (100 + percent) * (x ^ y).bit_count() <= (100 - percent) * (n_a + n_b)
+
+
+def _folded(bits: int, size: int, to: int) -> int:
+    """The parities modulo a smaller power of two."""
+    while size > to:
+        size //= 2
+        bits = (bits >> size) ^ (bits & ((1 << size) - 1))
+    return bits
+
+
+class _Pairs:
+    """Pairs of one task: repeated ones are dropped while they are few enough to be held."""
+
+    def __init__(self) -> None:
+        self.held, self.size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not len(a):
+            return
+        self.held.append((a, b))
+        self.size += len(a)
+        if self.size > 2 * HELD_PAIRS:
+            got = _once(*(np.concatenate(c) for c in zip(*self.held, strict=True)))
+            if len(got[0]) > HELD_PAIRS:
+                yield got
+                got = got[0][:0], got[1][:0]
+            self.held, self.size = [got], len(got[0])
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        return _once(*(np.concatenate(c) for c in zip(*self.held, strict=True)))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Runs of rows with one signature (the first column), the rows in order: whole ones of at most `most` rows, several at once, and (True, rows) for parts of longer ones, each part with the run's first row before it."""
+    held, long = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.asarray(c) for c in batch.columns]
+        if long is not None:  # the run goes on
+            upto = int(np.searchsorted(rows[0], long[0][0], "right"))
+            if upto:
+                yield True, [np.concatenate([x, c[:upto]]) for x, c in zip(long, rows, strict=True)]
+            if upto == len(rows[0]):
+                continue
+            long, rows = None, [c[upto:] for c in rows]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        starts = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(rows[0])]]))
+        for k in np.flatnonzero(lengths > most):
+            yield True, [c[starts[k] : starts[k] + lengths[k]] for c in rows]
+        whole = np.repeat(lengths <= most, lengths)
+        whole[starts[-1] :] = False
+        if whole.any():
+            yield False, [c[whole] for c in rows]
+        last = [c[starts[-1] :] for c in rows]
+        held, long = (None, [c[:1] for c in last]) if lengths[-1] > most else (last, None)
+    if held is not None:
+        yield False, held
+
+
+def _pairs(token: np.ndarray, node: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows with one token, of different groups where these are given."""
+    at, step = np.arange(len(token)), 0
+    while len(at):
+        step += 1
+        at = at[: np.searchsorted(at, len(token) - step)]
+        at = at[token[at] == token[at + step]]
+        apart = at if group is None else at[group[at] != group[at + step]]
+        yield node[apart], node[apart + step]
+
+
+def _candidates(signed: DataFrame, partitions: int) -> DataFrame:
+    """signature, a, b: pairs of nodes with a common signature; of signatures that over FEW_NODES nodes have, each node (a) with the first (b), and the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, None
-        for batch in batches:
-            if not batch.num_rows:
+        def rows(a: np.ndarray, b: np.ndarray, signature: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"signature": pa.nulls(len(a), pa.int64()) if signature is None else pa.array(signature), "a": pa.array(a), "b": pa.array(b)})
+
+        held, head = _Pairs(), (None, None)
+        for long, (token, node) in _groups(batches, FEW_NODES):
+            if long:
+                fresh = np.concatenate([[head != (token[0], node[0])], node[1:] != node[:-1]])  # copies have one node
+                head = token[0], node[0]
+                yield rows(node[fresh], np.full(int(fresh.sum()), node[0]), token[fresh])
+                continue
+            for a, b in _pairs(*_once(token, node)):
+                for full in held.add(a, b):
+                    yield rows(*full)
+        yield rows(*held.rest())
+
+    return signed.repartition(partitions, "signature").sortWithinPartitions("signature", "node").mapInArrow(run, "signature bigint, a bigint, b bigint")
+
+
+def _across(grouped: DataFrame, partitions: int) -> DataFrame:
+    """a, b, sure: pairs of nodes of different groups with a common signature; of signatures that over MANY_NODES nodes have, each node with the first, and sure.
+
+    grouped: signature, node, root (the node's group).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(a: np.ndarray, b: np.ndarray, sure: bool = False) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "sure": pa.array(np.full(len(a), sure))})
+
+        held, heads = _Pairs(), _Pairs()
+        for long, (token, root, node) in _groups(batches, MANY_NODES):
+            if long:
+                apart = root != root[0]
+                for full in heads.add(node[apart], np.full(int(apart.sum()), node[0])):
+                    yield rows(*full, True)
                 continue
-            token, node = (np.asarray(c) for c in batch.columns)
-            first = np.ones(len(token), bool)
-            first[1:] = token[1:] != token[:-1]
-            heads = node[np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))]
-            if last == token[0]:
-                heads[: np.argmax(first[1:]) + 1 if first[1:].any() else len(heads)] = head
-            last, head = token[-1], heads[-1]
-            pairs = np.unique(np.stack([node, heads], axis=1)[node != heads], axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            # Rows are sorted by group: a signature of one group alone has its first and last row in it.
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            lengths = np.diff(np.concatenate([starts, [len(token)]]))
+            mixed = np.repeat(root[starts] != root[starts + lengths - 1], lengths)
+            for a, b in _pairs(token[mixed], node[mixed], root[mixed]):
+                for full in held.add(np.maximum(a, b), np.minimum(a, b)):
+                    yield rows(*full)
+        yield rows(*held.rest())
+        yield rows(*heads.rest(), True)
+
+    dealt = grouped.select("signature", "root", "node").repartition(partitions, "signature").sortWithinPartitions("signature", "root", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint, sure boolean")
 
-    return signed.repartition(partitions, "signature").sortWithinPartitions("signature", "node").mapInArrow(run, "a bigint, b bigint")
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs that may be linked by the parities of their sets (node, n, bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [may_link(*row, percent) for row in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    alike = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _clusters(signed: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """node, cluster of each set that may be linked with another: components of pairs that share a signature and whose parities are near.
+
+    Nodes of a signature that many have are held against the first of them; those that are in
+    one group by then needn't meet, all others do.
+    """
+    spark = signed.sparkSession
+    met = written(_candidates(signed, _partitions(spark, rows)), "candidates")
+    free_shuffles(spark)  # the signatures' rows are several times the texts
+    near = written(_near(met.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets, percent), "near")
+    many = met.where("signature IS NOT NULL").select("signature", F.col("a").alias("node"))
+    if many.isEmpty():
+        found = components(near)
+        remove(met, near)
+        return found
+    groups = components(near)
+    of_node = many.join(groups, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
+    apart = written(_across(of_node, _partitions(spark, rows)).distinct(), "across")
+    remove(groups)
+    more = _near(apart.where("NOT sure").select("a", "b"), sets, percent)
+    found = components(near.unionAll(more).unionAll(apart.where("sure").select("a", "b")))
+    remove(met, near, apart)
+    return found
 
 
 class Cluster:
@@ -416,10 +578,12 @@ def _joined(docs: DataFrame, words: int, percent: int, most: int = CLUSTER_SHING
     common = counts > counts.mean() + 3 * np.sqrt(counts.mean()) + COMMON
     # A set has about half as many signatures as shingles, at most.
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    clusters = components(_stars(_signed(given, words, percent, seed, common), _partitions(spark, total // 2)).distinct())
+    # Rows of one node have one set, so its parities are read from any of them.
+    bits = told.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    sets = written(bits, "parities")
+    clusters = _clusters(_signed(given, words, percent, seed, common), sets, percent, total // 2)
     members = written(clusters.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "doc_id", "n"), "node"), "members")
-    remove(clusters)
-    free_shuffles(spark)  # the signatures' rows are several times the texts
+    remove(clusters, sets)
     links, used = _all_links(given, members, words, percent, seed, most)
     groups = components(links)
     remove(members, *used)

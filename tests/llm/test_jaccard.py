@@ -55,3 +55,38 @@ def test_search_equals_all_pairs(monkeypatch, merge, probe):
         for i, q in enumerate(sets):
             want = {j for j, s in enumerate(sets) if len(q) and 100 * len(np.intersect1d(q, s)) >= percent * len(np.union1d(q, s))}
             assert set(index.search(q, percent, lambda x: False)) == want, (percent, i)
+
+
+def test_parities_rule_out_no_linked_pair():
+    draw = np.random.default_rng(5)
+    seen = {True: 0, False: 0}
+    for _ in range(2000):
+        a = np.unique(draw.integers(0, 1 << 62, draw.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[draw.random(len(a)) < draw.choice([0.3, 0.8, 0.9, 1])], draw.integers(0, 1 << 62, draw.integers(0, 60)).astype(np.uint64)]))
+        if len(b):
+            linked = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+            near = jaccard.may_link(jaccard.parity(a), len(a), jaccard.parity(b), len(b), 80)
+            assert near or not linked
+            seen[linked] += 1
+    assert min(seen.values()) > 100
+
+
+def test_a_shared_passage_makes_no_cluster(spark, monkeypatch):
+    """Texts that share a passage, half of each, aren't gathered: only near copies are dealt to a cluster, however many nodes a signature pairs at once."""
+    rows = []
+    for k in range(60):
+        own = [f"own{k}x{i}" for i in range(60)]
+        rows += [(2 * k, " ".join([f"p{i}" for i in range(60)] + own)), (2 * k + 1, " ".join([f"p{i}" for i in range(60)] + own[:-1] + ["end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes, links = [], jaccard._all_links
+
+    def counted(given, members, *rest):
+        sizes.append(members.groupBy("cluster").count().agg(F.max("count")).first()[0])
+        return links(given, members, *rest)
+
+    monkeypatch.setattr(jaccard, "_all_links", counted)
+    for few in (8, 1):
+        monkeypatch.setattr(jaccard, "FEW_NODES", few)
+        got = {r.doc_id: r.component_id for r in jaccard.join(docs, 3, 80).collect()}
+        assert got == {k: k - k % 2 for k in range(120)}
+    assert sizes == [2, 2]
