@@ -55,7 +55,8 @@ def rejection_mask(df: DataFrame, options: dict[str, float | tuple[float, float]
         at = {"token": value, "seq_sum": F.sum(value * m).over(w), "seq_mean": F.sum(value * m).over(w) / n, "seq_max": F.max(F.when(m != 0, value)).over(w)}[level]
         low, high = bound if isinstance(bound, tuple) else (None, bound)
         if kind == "k1":
-            low, high = (F.log(F.lit(float(low if low is not None else 1 / high)))), F.log(F.lit(float(high)))
+            high = F.log(F.lit(float(high)))
+            low = F.log(F.lit(float(low))) if low is not None else -high  # 1 / high is rounded
         passed = passed & (at <= high)
         if low is not None:
             passed = passed & (at >= low)
