@@ -58,8 +58,9 @@ class _Matches(dict):
         self.bpe = bpe
 
     def __missing__(self, match: str) -> bytes:
-        found = self.bpe.tokenize(match.encode().decode("latin-1").translate(self.bpe.characters))
-        ids = b"".join([t.id.to_bytes(4, "little") for t in found])
+        found = self.bpe.tokenize((match if match.isascii() else match.encode().decode("latin-1")).translate(self.bpe.characters))
+        coded = self.bpe.coded
+        ids = coded[found[0].id] if len(found) == 1 else b"".join([coded[t.id] for t in found])
         if len(match) <= PIECE:
             self[match] = ids
         return ids
@@ -69,7 +70,8 @@ class _Pieces(_Matches):
     """The ids of each piece between white space that a worker has met."""
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.bpe.matches.__getitem__, self.bpe.findall(piece)))
+        found = self.bpe.findall(piece)
+        ids = self.bpe.matches[found[0]] if len(found) == 1 else b"".join(map(self.bpe.matches.__getitem__, found))
         if len(piece) <= PIECE:
             self[piece] = ids
         return ids
@@ -96,6 +98,8 @@ class ByteBpe:
         #: The bytes of each id; one that isn't of byte characters alone stands for no bytes.
         self.bytes = [bytes(back.get(c, 0) for c in by_id.get(i, "")) if back.keys() >= set(by_id.get(i, "")) else b"" for i in range(max(by_id) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes])
+        #: The four bytes that each id is written as.
+        self.coded = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
         self.joined = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         #: A pattern of the added tokens, or None.
         self.added = "|".join(regex.escape(t.content, special_only=True) for t in self.library.get_added_tokens_decoder().values()) or None
