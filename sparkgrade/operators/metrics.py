@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .shapes import with_position
 
@@ -28,37 +35,53 @@ def expected_extremes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rungs.groupBy(*keys, "n", "k").agg(F.sum(F.col("x") * up).alias("best"), F.sum(F.col("x") * down).alias("worst"))
 
 
-def majority_moments(counts: np.ndarray, means: np.ndarray, variances: np.ndarray, k: int) -> tuple[float, float]:
-    """(mean, deviation) of the majority's value over k draws with replacement from votes with these counts, and means and variances of their values.
+@functools.lru_cache(maxsize=1 << 14)
+def majority_chances(counts: tuple[int, ...], k: int) -> tuple[float, ...]:
+    """The chance of each vote, of these counts, to be the majority of k draws with replacement.
 
-    The majority of a draw is its most common vote, the first drawn of equal ones, and its value
-    that of its first drawn row. Given how often each vote is drawn, every order is as likely, so
-    equal votes share the draw evenly and the row is any of its vote. Summed over the highest
-    count: a convolution over the votes by (draws so far, votes that reach the highest count),
-    with Poisson weights, whose total is k with a known probability.
+    The majority of a draw is its most common vote, the first drawn of equal ones. Given how often
+    each vote is drawn, every order is as likely, so equal votes share the draw evenly. Summed over
+    the highest count: a convolution over the votes by (draws so far, votes that reach the highest
+    count), with Poisson weights, whose total is k with a known probability.
     """
-    share = counts / counts.sum()
-    centre = float((share * means).sum())
-    first, second = means - centre, variances + (means - centre) ** 2
+    share = np.array(counts, float) / sum(counts)
     logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, k + 1)))))
     weights = np.exp(np.arange(k + 1) * np.log(k * share)[:, None] - k * share[:, None] - logs)
-    total = np.zeros(2)
+    behind = np.subtract.outer(np.arange(k + 1), np.arange(k + 1))
+    shifted = [np.where(behind >= 0, w[np.maximum(behind, 0)], 0.0) for w in weights]
+    total = np.zeros(len(share))
     for high in range(-(-k // len(share)), k + 1):
-        # For each number of draws and of votes at the highest count: weight, sum of firsts, sum of seconds.
-        held = np.zeros((k + 1, min(len(share), k // high) + 1, 3))
+        # For each number of draws and of votes at the highest count: the weight, and that of the draws of which each vote is one.
+        held = np.zeros((k + 1, min(len(share), k // high) + 1, len(share) + 1))
         held[0, 0, 0] = 1
-        for w, a, b in zip(weights, first, second, strict=True):
-            new = held * w[0]
-            for j in range(1, high):
-                new[j:] += held[: k + 1 - j] * w[j]
+        for v, (w, below) in enumerate(zip(weights, shifted, strict=True)):
+            new = (np.triu(below, 1 - high) @ held.reshape(k + 1, -1)).reshape(held.shape)
             up = held[: k + 1 - high, :-1] * w[high]
             new[high:, 1:] += up
-            new[high:, 1:, 1] += a * up[..., 0]
-            new[high:, 1:, 2] += b * up[..., 0]
+            new[high:, 1:, v + 1] += up[..., 0]
             held = new
         total += (held[k, 1:, 1:] / np.arange(1, held.shape[1])[:, None]).sum(0)
-    mean, square = total / np.exp(k * np.log(k) - k - logs[k])
-    return centre + mean, float(np.sqrt(max(square - mean * mean, 0.0)))
+    return tuple((total / np.exp(k * np.log(k) - k - logs[k])).tolist())
+
+
+def majority_moments(counts: list[int], means: list[float], variances: list[float], ks: list[int]) -> list[tuple[float, float]]:
+    """(mean, deviation) of the majority's value over k draws, for each k, from votes with these counts, and means and variances of their values.
+
+    Its value is that of its first drawn row, which is any of its vote. The chances depend on the
+    counts alone, in any order: groups of equal counts share them.
+    """
+    order = sorted(range(len(counts)), key=counts.__getitem__)
+    key = tuple(counts[i] for i in order)
+    n = sum(key)
+    centre = sum(c * m for c, m in zip(counts, means, strict=True)) / n
+    first = [means[i] - centre for i in order]
+    second = [variances[i] + x * x for i, x in zip(order, first, strict=True)]
+    out = []
+    for k in ks:
+        chances = majority_chances(key, k)
+        mean = sum(map(operator.mul, chances, first))
+        out.append((centre + mean, math.sqrt(max(sum(map(operator.mul, chances, second)) - mean * mean, 0.0))))
+    return out
 
 
 def resampling_ladder(df: DataFrame, keys: list[str], value: str, vote: str | None = None) -> DataFrame:
@@ -81,15 +104,19 @@ def resampling_ladder(df: DataFrame, keys: list[str], value: str, vote: str | No
     if vote is None:
         return out
 
-    @F.pandas_udf("struct<mean double, std double>")
-    def moments(counts: pd.Series, means: pd.Series, variances: pd.Series, k: pd.Series) -> pd.DataFrame:
-        got = [majority_moments(np.asarray(c, float), np.asarray(m, float), np.asarray(v, float), int(x)) for c, m, v, x in zip(counts, means, variances, k, strict=True)]
-        return pd.DataFrame(got, columns=["mean", "std"])
-
     votes = rows.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_a"), F.var_pop("_v").alias("_s"))
-    own = votes.groupBy(*keys).agg(F.sum("_n").alias("n"), F.collect_list(F.struct("_n", "_a", "_s")).alias("_g")).where("n > 1").withColumn("k", F.explode(ladder(F.col("n"))))
-    most = own.select(*keys, "n", "k", F.lit("maj").alias("what"), moments(F.col("_g._n"), F.col("_g._a"), F.col("_g._s"), F.col("k")).alias("_m"))
-    return out.unionByName(most.select(*keys, "n", "k", "what", "_m.*"))
+    own = votes.groupBy(*keys).agg(F.sum("_n").alias("n"), F.collect_list(F.struct("_n", "_a", "_s")).alias("_g")).where("n > 1").withColumn("_k", ladder(F.col("n")))
+    names = out.columns
+    flat = own.select(*keys, "n", "_g._n", "_g._a", "_g._s", "_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ks = batch["_k"].to_pylist()
+            got = [m for c, a, s, k in zip(batch["_n"].to_pylist(), batch["_a"].to_pylist(), batch["_s"].to_pylist(), ks, strict=True) for m in majority_moments(c, a, s, k)]
+            at = pa.array(np.repeat(np.arange(len(ks)), [len(k) for k in ks]))
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in (*keys, "n")), batch["_k"].flatten(), pa.array(["maj"] * len(got), pa.string()), *(pa.array([m[i] for m in got], pa.float64()) for i in (0, 1))], names=names)
+
+    return out.unionByName(flat.mapInArrow(run, out.schema))
 
 
 def majority(df: DataFrame, keys: list[str], vote: str, value: str, position: str) -> DataFrame:
