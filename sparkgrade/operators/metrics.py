@@ -135,18 +135,82 @@ def validation_metrics(df: DataFrame, source: str, uid: str, value: str) -> Data
     return flat.unionByName(more).select(source, "m.*").where("value IS NOT NULL").groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 
+def _gathered(df: DataFrame, keys: list[str], position: str, values: list[str], vote: str | None = None) -> DataFrame:
+    """keys, an array of doubles for each of values (_x0, _x1, ...) and, with a vote, _codes: each group's rows in the order of position, votes as their places among the group's different ones."""
+    votes = [F.col(vote).alias("_vote")] if vote else []
+    rows = F.array_sort(F.collect_list(F.struct(F.col(position).isNull().alias("_last"), F.col(position).alias("_at"), *(F.col(v).cast("double").alias(f"_x{i}") for i, v in enumerate(values)), *votes)))
+    out = df.groupBy(*keys).agg(rows.alias("_g")).select(*keys, *(f"_g._x{i}" for i in range(len(values))), *(["_g._vote"] if vote else []))
+    if not vote:
+        return out
+    # A null vote is one of the votes.
+    return out.withColumn("_kinds", F.array_distinct("_vote")).withColumn("_codes", F.transform("_vote", lambda v: F.coalesce(F.array_position("_kinds", v), F.lit(0)).cast("int"))).drop("_vote", "_kinds")
+
+
+def _by_size(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(places in the batch, a matrix of each column) of the groups of each size."""
+    lists = [batch[c] for c in columns]
+    starts = [x.offsets.to_numpy()[:-1] - x.offsets[0].as_py() for x in lists]
+    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+    sizes = np.diff(lists[0].offsets.to_numpy())
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield at, [v[s[at][:, None] + np.arange(n)] for v, s in zip(flat, starts, strict=True)]
+
+
+def _drawn(n: int, draws: int, k: int, seed: int) -> np.ndarray:
+    """Places of the rows drawn, a row for each draw, in NumPy's random stream: the same in all groups of n rows."""
+    np.random.seed(seed)
+    return np.random.choice(n, size=(draws, k), replace=True)
+
+
+def _extremes(x: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The highest and the lowest value of each draw, a row for each group."""
+    top = low = x[:, drawn[:, 0]]
+    for j in range(1, drawn.shape[1]):
+        own = x[:, drawn[:, j]]
+        top, low = np.maximum(top, own), np.minimum(low, own)
+    return top, low
+
+
+def _most_common(x: np.ndarray, codes: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """Of each draw the first drawn row's value of the most common vote, the first drawn of equal ones."""
+    groups, draws, kinds = len(x), len(drawn), int(codes.max()) + 1
+    told = codes[:, drawn] + kinds * np.arange(groups * draws).reshape(groups, draws, 1)
+    counts = np.bincount(told.ravel(), minlength=groups * draws * kinds)[told]
+    return np.take_along_axis(x, drawn[np.arange(draws), counts.argmax(2)], 1)
+
+
+def _parts(n: int, cells: int) -> list[slice]:
+    """Slices of n groups, so that a slice's draws are some hundred thousand cells."""
+    step = max(1, 500_000 // max(cells, 1))
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
+def _doubles(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x, float), from_pandas=True)
+
+
 def bootstrap(df: DataFrame, keys: list[str], value: str, size: int, position: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """keys, n, best, best_std, worst, worst_std of seeded resamples of a (small) group in the order of position, in NumPy's random stream."""
+    """keys, n, best, best_std, worst, worst_std of seeded resamples of a (small) group in the order of position, in NumPy's random stream.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(position)[value].to_numpy(float)
-        np.random.seed(seed)
-        got = x[np.random.choice(len(x), size=(draws, size), replace=True)]
-        top, low = got.max(1), got.min(1)
-        return pd.DataFrame([[*key, len(x), top.mean(), top.std(), low.mean(), low.std()]], columns=[*keys, "n", "best", "best_std", "worst", "worst_std"])
-
-    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return df.select(*keys, value, position).groupBy(*keys).applyInPandas(run, f"{schema}, n bigint, best double, best_std double, worst double, worst_std double")
+    Groups of one size have the same draws, so they are resampled together.
+    """
+    schema = StructType([*df.select(*keys).schema.fields, StructField("n", LongType()), *(StructField(c, DoubleType()) for c in ("best", "best_std", "worst", "worst_std"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (x,) in _by_size(batch, ["_x0"]):
+                n = x.shape[1]
+                drawn = _drawn(n, draws, size, seed)
+                got = []
+                for part in _parts(len(x), draws):
+                    top, low = _extremes(x[part], drawn)
+                    got.append(np.stack([top.mean(1), top.std(1), low.mean(1), low.std(1)]))
+                told = np.concatenate(got, 1)
+                places = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*(batch[k].take(places) for k in keys), pa.array(np.full(len(at), n)), *map(_doubles, told)], names=schema.names)
+
+    return _gathered(df, keys, position, [value]).mapInArrow(run, schema)
 
 
 def resampled_tree(df: DataFrame, source: str, uid: str, values: list[str], position: str, vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:

@@ -1,10 +1,33 @@
 """Small groups go through Python by the batch: the same results as one by one, and no call a group."""
 
+import random
+
+import numpy as np
 import pytest
 
 from sparkgrade.operators import metrics
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_of_groups_of_one_size(spark):
+    r = random.Random(2)
+    groups = {g: [float(r.randrange(20)) for _ in range(1 + g % 5)] for g in range(40)} | {40: [1.0, None, 3.0]}
+    rows = [(g, i, x) for g, own in groups.items() for i, x in enumerate(own)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "g int, i int, x double")
+    got = metrics.bootstrap(df, ["g"], "x", 3, "i", draws=20)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    got = {x.g: x for x in got.collect()}
+    assert set(got) == set(groups) and got[40].n == 3 and got[40].best is None
+    for g in range(40):
+        np.random.seed(42)
+        drawn = np.array(groups[g])[np.random.choice(len(groups[g]), size=(20, 3), replace=True)]
+        top, low = drawn.max(1), drawn.min(1)
+        assert tuple(got[g])[1:] == pytest.approx((len(groups[g]), top.mean(), top.std(), low.mean(), low.std()), abs=1e-12)
+
+
 def test_chances_are_shared_by_groups_of_equal_counts(spark):
     rows = [(g, v, float(g * v)) for g in range(300) for v in (0, 1, 1, 2)]
     metrics.majority_chances.cache_clear()
