@@ -8,7 +8,6 @@ import operator
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,39 +216,43 @@ def resampled_tree(df: DataFrame, source: str, uid: str, values: list[str], posi
     """source, variable, metric, value: mean@n, std@n, and for k of the ladder best@k, worst@k and (with a vote) maj@k, each /mean and /std over seeded resamples.
 
     A prompt's responses are one small group, resampled in the order of position in NumPy's
-    random stream; prompts then weigh 1 each. Null values make a prompt's metric null.
+    random stream; prompts then weigh 1 each. Null values make a prompt's metric null. Groups of
+    one size have the same draws, so they are resampled together.
     """
+    schema = StructType([*df.select(source).schema.fields, *(StructField(c, StringType()) for c in ("variable", "metric")), StructField("value", DoubleType())])
 
     def rungs(n: int) -> list[int]:
         return [*(1 << k for k in range(1, n.bit_length()) if 1 << k < n), *([n] if n > 1 else [])]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(position, kind="stable")
-        votes = rows[vote].to_numpy() if vote else None
-        codes = pd.factorize(votes)[0] if vote else None
-        n, out = len(rows), []
-        for name in values:
-            x = rows[name].to_numpy(float)
-            out.append((name, f"mean@{n}", x.mean()))
-            if n > 1:
-                out.append((name, f"std@{n}", x.std()))
-            for k in rungs(n):
-                np.random.seed(seed)
-                at = np.random.choice(n, size=(draws, k), replace=True)
-                told = {"best": x[at].max(1), "worst": x[at].min(1)}
-                if vote:
-                    # The most common vote of a draw, the first drawn of equal ones; its first drawn row's value.
-                    tally = np.zeros((draws, int(codes.max()) + 1), np.int64)
-                    np.add.at(tally, (np.arange(draws)[:, None], codes[at]), 1)
-                    counts = np.take_along_axis(tally, codes[at], 1)
-                    told["maj"] = x[at[np.arange(draws), counts.argmax(1)]]
-                for kind, got in told.items():
-                    out += [(name, f"{kind}@{k}/mean", got.mean()), (name, f"{kind}@{k}/std", got.std())]
-        return pd.DataFrame([(*key, *o) for o in out], columns=[source, uid, "variable", "metric", "value"])
-
-    types = dict(df.dtypes)
-    schema = f"{source} {types[source]}, {uid} {types[uid]}, variable string, metric string, value double"
-    each = df.select(source, uid, position, *values, *([vote] if vote else [])).groupBy(source, uid).applyInPandas(run, schema)
+    def told(x: np.ndarray, codes: np.ndarray | None) -> Iterator[tuple[str, np.ndarray]]:
+        n = x.shape[1]
+        yield f"mean@{n}", x.mean(1)
+        if n > 1:
+            yield f"std@{n}", x.std(1)
+        for k in rungs(n):
+            drawn = _drawn(n, draws, k, seed)
+            got: dict[str, list[np.ndarray]] = {}
+            for part in _parts(len(x), draws * k):
+                own = dict(zip(("best", "worst"), _extremes(x[part], drawn), strict=True))
+                if codes is not None:
+                    own["maj"] = _most_common(x[part], codes[part], drawn)
+                for kind, v in own.items():
+                    got.setdefault(kind, []).append(np.stack([v.mean(1), v.std(1)]))
+            for kind, some in got.items():
+                mean, std = np.concatenate(some, 1)
+                yield f"{kind}@{k}/mean", mean
+                yield f"{kind}@{k}/std", std
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [f"_x{i}" for i in range(len(values))] + (["_codes"] if vote else [])
+        for batch in batches:
+            for at, matrices in _by_size(batch, columns):
+                sources = batch[source].take(pa.array(at))
+                for name, x in zip(values, matrices, strict=False):
+                    for metric, v in told(x, matrices[-1] if vote else None):
+                        yield pa.RecordBatch.from_arrays([sources, pa.array([name] * len(at), pa.string()), pa.array([metric] * len(at), pa.string()), _doubles(v)], names=schema.names)
+
+    each = _gathered(df, [source, uid], position, values, vote).mapInArrow(run, schema)
     return each.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
 
 

@@ -28,6 +28,32 @@ def test_bootstrap_of_groups_of_one_size(spark):
         assert tuple(got[g])[1:] == pytest.approx((len(groups[g]), top.mean(), top.std(), low.mean(), low.std()), abs=1e-12)
 
 
+def test_resampled_majorities_and_null_votes(spark):
+    r = random.Random(3)
+    groups = {u: [(r.choice(("a", "b", None)), float(r.randrange(9))) for _ in range(1 + u % 7)] for u in range(60)} | {60: [(None, 1.0), (None, 2.0)]}
+    rows = [("s", u, i, v, x) for u, own in groups.items() for i, (v, x) in enumerate(own)]
+    got = metrics.resampled_tree(spark.createDataFrame(r.sample(rows, len(rows)), "s string, u int, i int, v string, x double"), "s", "u", ["x"], "i", "v", draws=30)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    want = {}
+    for own in groups.values():
+        n = len(own)
+        for k in {2, 4, n} if n > 4 else {2, n} if n > 1 else ():
+            np.random.seed(42)
+            told = {"best": [], "worst": [], "maj": []}
+            for draw in np.random.choice(n, size=(30, k), replace=True):
+                votes, x = [own[i][0] for i in draw], [own[i][1] for i in draw]
+                told["best"].append(max(x))
+                told["worst"].append(min(x))
+                told["maj"].append(x[max(range(k), key=lambda j: (votes.count(votes[j]), -j))])
+            for kind, some in told.items():
+                want.setdefault(f"{kind}@{k}/mean", []).append(np.mean(some))
+                want.setdefault(f"{kind}@{k}/std", []).append(np.std(some))
+    got = {x.metric: x.value for x in got.collect() if "/" in x.metric}
+    assert set(got) == set(want)
+    for metric, some in want.items():
+        assert got[metric] == pytest.approx(np.mean(some), abs=1e-12), metric
+
+
 def test_chances_are_shared_by_groups_of_equal_counts(spark):
     rows = [(g, v, float(g * v)) for g in range(300) for v in (0, 1, 1, 2)]
     metrics.majority_chances.cache_clear()
