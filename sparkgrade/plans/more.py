@@ -451,13 +451,14 @@ def short_prompts(spark, d):
 def packing_methods(spark, d):
     """Four ways of packing a customer's orders: every one deals out all loads, and keeps what it promises."""
     rows = _t(spark, d, "orders").select("o_custkey", "o_orderkey", (F.expr("CAST(round(o_totalprice) AS BIGINT)") % 1000 + 1).alias("load"))
-    out = None
     ways = {"heap": lambda x: packing.largest_first(x, 3), "greedy": lambda x: packing.greedy(x, 3), "kk": lambda x: packing.differencing(x, 3), "budget": lambda x: packing.micro_batches(x, 1500)}
-    for name, way in ways.items():
-        parts = packing.partition(rows, ["o_custkey"], "o_orderkey", "load", way).groupBy("o_custkey", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("s"), F.max("load").alias("big"))
-        each = parts.groupBy("o_custkey").agg(F.sum("n").alias("rows"), F.sum("s").alias("load"), ((F.max("s") - F.min("s") <= F.max("big")) | (F.count(F.lit(1)) < 3) if name in ("heap", "kk") else F.max("s") <= 1500 if name == "budget" else F.max("part") < 3).alias("fits"))
-        out = each if out is None else out.unionByName(each)
-    return out.groupBy("o_custkey").agg(F.max("rows").alias("rows"), F.max("load").alias("load"), (F.bool_and("fits") & (F.min("load") == F.max("load")) & (F.count(F.lit(1)) == 4)).alias("fits"))
+    dealt = packing.partition(rows, ["o_custkey"], "o_orderkey", "load", ways)
+    told = dealt.select("o_custkey", "load", F.explode(F.array(*(F.struct(F.lit(name).alias("way"), F.col(name).alias("part")) for name in ways))).alias("_p")).select("o_custkey", "load", "_p.*")
+    parts = told.groupBy("o_custkey", "way", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("s"), F.max("load").alias("big"))
+    even = (F.max("s") - F.min("s") <= F.max("big")) | (F.count(F.lit(1)) < 3)
+    fits = F.when(F.col("way").isin("heap", "kk"), even).when(F.col("way") == "budget", F.max("s") <= 1500).otherwise(F.max("part") < 3)
+    each = parts.groupBy("o_custkey", "way").agg(F.sum("n").alias("rows"), F.sum("s").alias("load"), fits.alias("fits"))
+    return each.groupBy("o_custkey").agg(F.max("rows").alias("rows"), F.max("load").alias("load"), (F.bool_and("fits") & (F.min("load") == F.max("load")) & (F.count(F.lit(1)) == 4)).alias("fits"))
 
 
 # Life-cycles and queues.

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkgrade.operators import metrics
+from sparkgrade.operators import metrics, packing
 
 
 def plan(df):
@@ -61,3 +61,21 @@ def test_chances_are_shared_by_groups_of_equal_counts(spark):
     assert metrics.majority_chances.cache_info().misses == 2 and sum(metrics.majority_chances((1, 1, 2), 4)) == pytest.approx(1)
     got = metrics.resampling_ladder(spark.createDataFrame(rows, "g int, v int, x double"), ["g"], "x", "v").where("what = 'maj' AND k = 4").collect()
     assert len(got) == 300 and all(x.mean == pytest.approx(x.g) for x in got)
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 10_000])
+def test_several_ways_in_one_pass_over_batch_borders(spark, rows_a_batch):
+    r = random.Random(4)
+    groups = {g: [r.randrange(1, 50) for _ in range(r.randrange(1, 9))] for g in [*range(30), None]}
+    rows = [(g, i, x, {"a": 1}) for g, own in groups.items() for i, x in enumerate(own)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "g int, i int, load long, more map<string, int>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = packing.partition(df, ["g"], "i", "load", {"one": lambda x: packing.greedy(x, 3), "two": lambda x: packing.differencing(x, 2)})
+        assert "FlatMapGroupsInPandas" not in plan(got)
+        found = sorted((x.g is None, x.g or 0, x.i, x.load, x.one, x.two, x.more["a"]) for x in got.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [(g is None, g or 0, i, x, a, b, 1) for g, own in groups.items() for i, (x, a, b) in enumerate(zip(own, packing.greedy(own, 3), packing.differencing(own, 2)))]
+    assert found == sorted(want)
