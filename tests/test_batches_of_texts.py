@@ -5,6 +5,22 @@ import random
 import pytest
 
 from sparkgrade.functions import boxes, parsers
+from sparkgrade.functions.registry import TOOL_PARSERS
+
+
+def test_equal_texts_of_a_batch_are_parsed_once(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+
+    def noted(text):
+        with open(seen, "a") as out:
+            out.write(text + "\n")
+        return [("f", text)]
+
+    monkeypatch.setattr(TOOL_PARSERS, "resolve", lambda name: noted)
+    rows = spark.createDataFrame([(None if i % 4 == 3 else f"t{i % 4}",) for i in range(400)], "t string").coalesce(1)
+    got = [tuple((c.name, c.arguments) for c in r[0]) for r in rows.select(parsers.tool_calls(rows.t, "x")).collect()]
+    assert got == [() if i % 4 == 3 else (("f", f"t{i % 4}"),) for i in range(400)]
+    assert sorted(seen.read_text().split()) == ["t0", "t1", "t2"]
 
 
 def test_one_box_each_as_by_coordinates():
