@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shortest source key that may be found inside a longer one.
 SHORTEST = 24
-#: Characters of a block from which pieces are cut.
-BLOCK = 256
+#: Leading bits of a hash that are marked for the heads: a table of fixed size.
+BITS = 22
 
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -17,10 +21,46 @@ def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def _places(text: str) -> np.ndarray:
+    """A hash of the SHORTEST (24) characters from each place of a text on; the hashes of 1, 2, 4, ... characters make up those of more."""
+    own, power, n = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), 0x9E3779B97F4A7C15, 1
+    while n < 16:
+        if n == 8:
+            short, eight = own, np.uint64(power)
+        own = own[:-n] * np.uint64(power) + own[n:]
+        power, n = power * power % (1 << 64), 2 * n
+    return own[: len(text) - SHORTEST + 1] * eight + short[16:]
+
+
 def heads(sources: DataFrame, source_key: str) -> DataFrame:
     """The index of sources that can be found inside a key: _sk, _head (a hash of its first SHORTEST characters); each key once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_places(t.as_py()[:SHORTEST])[0] for t in batch["_sk"]]
+            yield pa.RecordBatch.from_arrays([batch["_sk"], pa.array(np.array(own, np.uint64).view(np.int64))], names=["_sk", "_head"])
+
     own = sources.select(F.col(source_key).alias("_sk")).where(F.char_length("_sk") >= SHORTEST).distinct()
-    return own.withColumn("_head", F.xxhash64(F.substring("_sk", 1, SHORTEST)))
+    return own.mapInArrow(run, "_sk string, _head bigint")
+
+
+def _asked(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """_id, _head of the places of keys (_id, _k) whose hash begins with the bits of some head; the others can't be one."""
+    marked = np.zeros(1 << BITS, bool)
+    marked[index.select(F.shiftrightunsigned("_head", 64 - BITS).cast("int").alias("m")).distinct().toArrow()["m"].to_numpy()] = True
+    sent = keys.sparkSession.sparkContext.broadcast(np.packbits(marked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            found = []
+            for text in batch["_k"]:
+                own = _places(text.as_py())
+                found.append(np.unique(own[marks[own >> np.uint64(64 - BITS)]]).view(np.int64))
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch["_id"].take(pa.array(at)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["_id", "_head"])
+
+    return keys.select("_id", "_k").mapInArrow(run, "_id bigint, _head bigint")
 
 
 def trace_back(records: DataFrame, sources: DataFrame, record_id: str, key: str, source_key: str, ordinal: str, truth: str | None = None, source_truth: str | None = None, override: dict[str, str] | None = None) -> DataFrame:
@@ -38,13 +78,9 @@ def trace_back(records: DataFrame, sources: DataFrame, record_id: str, key: str,
     rec = records.select(F.col(record_id).alias("_r"), F.col(key).alias("_k"), (F.col(truth) if truth else F.lit(None)).cast("string").alias("_t"))
     exact = rec.join(src, F.col("_k") == F.col("_sk"))
     rest = rec.join(src.select("_sk").distinct(), F.col("_k") == F.col("_sk"), "left_anti")
-    # Places are cut from blocks that overlap, as finding a place in a long string costs its distance from the start.
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("_k") - 1) / BLOCK).cast("int")), lambda b: F.substring(F.col("_k"), b * BLOCK + 1, F.lit(BLOCK + SHORTEST - 1)))
     keys = rest.where(F.char_length("_k") >= SHORTEST).select("_k").distinct().withColumn("_id", F.xxhash64("_k"))
-    pieces = F.transform(F.sequence(F.lit(1), F.char_length("_b") - SHORTEST + 1), lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.lit(SHORTEST))))
-    cut = keys.select("_id", F.explode(blocks).alias("_b")).where(F.char_length("_b") >= SHORTEST)
-    asked = cut.select("_id", F.explode(F.array_distinct(pieces)).alias("_head"))
     index = heads(src, "_sk")
+    asked = _asked(keys, index)
     met = asked.join(index.select("_head").distinct(), "_head", "left_semi").distinct()
     inside = met.join(keys, "_id").join(index, "_head").where(F.contains("_k", "_sk")).groupBy("_k").agg(F.max_by("_sk", F.struct(F.char_length("_sk"), "_sk")).alias("_sk"))
     loose = rest.join(inside, "_k").join(src, "_sk")
