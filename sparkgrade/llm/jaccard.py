@@ -10,8 +10,9 @@
    A pair with a common signature counts if the parities of its shingles' residues, a bit for
    each shingle or so, differ in few enough places: linked sets do. Texts that such pairs
    connect, directly or through others, form a cluster, so texts that share no more than a
-   passage aren't gathered through each other. Pairs of a signature that many texts have are
-   made between groups only that other pairs haven't connected.
+   passage aren't gathered through each other. Texts of a signature that many have are held
+   against the first of them; those that are in several groups then meet in one task, which
+   gives on only what joins two groups, so its rows don't grow with the pairs.
 3. In a cluster, each set is a query. An overlap of T shingles is required; the longest lists
    of the cluster's inverted index are set aside, the short ones are merged, and only sets that
    occur often enough there are probed by binary search in the long ones (DivideSkip). Sets
@@ -58,6 +59,10 @@ SLICE_BYTES = 1 << 18
 PARTITION_ROWS = 8_000_000
 #: Nodes of a signature that are paired at once, and nodes of several groups that are paired at most; more are one cluster.
 FEW_NODES, MANY_NODES = 8, 512
+#: Bytes of the parities of a set that travel with each of its signatures that many nodes of several groups have; pairs of longer sets are made first, and tested after.
+HELD_BITS = 512
+#: Bytes of parities that are compared at once.
+COMPARED = 1 << 22
 #: Pairs that a task holds to drop repeated ones.
 HELD_PAIRS = 250_000
 #: Postings of a list that are merged at once, and long lists that are probed at once.
@@ -251,7 +256,7 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [np.asarray(c) for c in batch.columns]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if long is not None:  # the run goes on
             upto = int(np.searchsorted(rows[0], long[0][0], "right"))
             if upto:
@@ -275,15 +280,14 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool
         yield False, held
 
 
-def _pairs(token: np.ndarray, node: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of rows with one token, of different groups where these are given."""
+def _pairs(token: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows with one token."""
     at, step = np.arange(len(token)), 0
     while len(at):
         step += 1
         at = at[: np.searchsorted(at, len(token) - step)]
         at = at[token[at] == token[at + step]]
-        apart = at if group is None else at[group[at] != group[at + step]]
-        yield node[apart], node[apart + step]
+        yield node[at], node[at + step]
 
 
 def _candidates(signed: DataFrame, partitions: int) -> DataFrame:
@@ -308,35 +312,83 @@ def _candidates(signed: DataFrame, partitions: int) -> DataFrame:
     return signed.repartition(partitions, "signature").sortWithinPartitions("signature", "node").mapInArrow(run, "signature bigint, a bigint, b bigint")
 
 
-def _across(grouped: DataFrame, partitions: int) -> DataFrame:
-    """a, b, sure: pairs of nodes of different groups with a common signature; of signatures that over MANY_NODES nodes have, each node with the first, and sure.
+#: What a pair of _across() is: of one cluster untested, tested by its parities, or to be tested.
+SURE, TESTED, OPEN = range(3)
 
-    grouped: signature, node, root (the node's group).
+
+class _Joined:
+    """The groups of nodes that one task's near pairs have joined: whatever joins nothing new needn't be told."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(above, above)
+        return x
+
+    def near(self, node: np.ndarray, group: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+        """Of the nodes of one signature, pairs that may be linked (may_link) and join two groups."""
+        order = np.argsort(n, kind="stable")
+        node, n, bits = node[order], n[order], [bits[i] for i in order]
+        own = np.array([self.root(g) for g in group[order].tolist()])
+        ends = np.searchsorted(n, 100 * n // percent, "right")  # sizes beyond are too far apart
+        sizes = np.array([len(b) for b in bits])  # they don't fall, as n doesn't
+        words, start = None, 0
+        for i in range(len(n) - 1):
+            if words is None or sizes[i] != sizes[start]:
+                start, upto = i, int(ends[sizes == sizes[i]].max())
+                words = np.stack([_cut(b, int(sizes[i])) for b in bits[i:upto]])
+            step = max(1, COMPARED // int(sizes[i]))
+            for first in range(i + 1, int(ends[i]), step):
+                other = first + np.flatnonzero(own[first : min(first + step, int(ends[i]))] != own[i])
+                differ = np.bitwise_count(words[other - start] ^ words[i - start]).sum(1, dtype=np.int64)
+                for j in other[(100 + percent) * differ <= (100 - percent) * (n[other] + n[i])].tolist():
+                    if own[j] != own[i]:
+                        self.up[int(own[j])] = int(own[i])
+                        own[own == own[j]] = own[i]
+                        yield int(node[j]), int(node[i])
+
+
+def _cut(bits: bytes, size: int) -> np.ndarray:
+    """Parities modulo a power of two of at most as many residues, of `size` bytes, as words."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, "<u8").reshape(-1, size // 8), axis=0)
+
+
+def _across(grouped: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """a, b, kind: what may join nodes of different groups with a common signature. Of signatures that over MANY_NODES nodes have, each node with the first (SURE); else pairs whose parities are near and that join groups which those of the same task haven't (TESTED), and all pairs with a set whose parities aren't given (OPEN).
+
+    grouped: signature, node, root (the node's group), n, bits (its parities, or null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(a: np.ndarray, b: np.ndarray, sure: bool = False) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "sure": pa.array(np.full(len(a), sure))})
+        def rows(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "kind": pa.array(np.full(len(a), kind, np.int32))})
 
-        held, heads = _Pairs(), _Pairs()
-        for long, (token, root, node) in _groups(batches, MANY_NODES):
+        held, heads, joined = _Pairs(), _Pairs(), _Joined()
+        for long, (token, root, node, n, bits) in _groups(batches, MANY_NODES):
             if long:
                 apart = root != root[0]
                 for full in heads.add(node[apart], np.full(int(apart.sum()), node[0])):
-                    yield rows(*full, True)
+                    yield rows(*full, SURE)
                 continue
-            # Rows are sorted by group: a signature of one group alone has its first and last row in it.
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            lengths = np.diff(np.concatenate([starts, [len(token)]]))
-            mixed = np.repeat(root[starts] != root[starts + lengths - 1], lengths)
-            for a, b in _pairs(token[mixed], node[mixed], root[mixed]):
-                for full in held.add(np.maximum(a, b), np.minimum(a, b)):
-                    yield rows(*full)
-        yield rows(*held.rest())
-        yield rows(*heads.rest(), True)
-
-    dealt = grouped.select("signature", "root", "node").repartition(partitions, "signature").sortWithinPartitions("signature", "root", "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint, sure boolean")
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
+            out = []
+            for x, y in zip(starts, [*starts[1:], len(token)], strict=True):
+                short = np.array([b is not None for b in bits[x:y]])
+                at = x + np.flatnonzero(short)
+                out += joined.near(node[at], root[at], n[at], bits[at].tolist(), percent)
+                for k in x + np.flatnonzero(~short):
+                    other = np.concatenate([at, np.arange(k + 1, y)[~short[k + 1 - x :]]])
+                    other = other[(root[other] != root[k]) & (percent * np.maximum(n[other], n[k]) <= 100 * np.minimum(n[other], n[k]))]
+                    for full in held.add(np.maximum(node[other], node[k]), np.minimum(node[other], node[k])):
+                        yield rows(*full, OPEN)
+            yield rows(*np.array(out, np.int64).reshape(-1, 2).T, TESTED)
+        yield rows(*held.rest(), OPEN)
+        yield rows(*heads.rest(), SURE)
+
+    dealt = grouped.select("signature", "root", "node", "n", "bits").repartition(partitions, "signature").sortWithinPartitions("signature", "root", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint, kind int")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -368,12 +420,15 @@ def _clusters(signed: DataFrame, sets: DataFrame, percent: int, rows: int) -> Da
         remove(met, near)
         return found
     groups = components(near)
-    of_node = many.join(groups, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root"))
-    apart = written(_across(of_node, _partitions(spark, rows)).distinct(), "across")
+    of_node = written(many.join(groups, "node", "left").select("signature", "node", F.coalesce("root", "node").alias("root")), "grouped")
     remove(groups)
-    more = _near(apart.where("NOT sure").select("a", "b"), sets, percent)
-    found = components(near.unionAll(more).unionAll(apart.where("sure").select("a", "b")))
-    remove(met, near, apart)
+    # Signatures of one group alone join nothing; only the others' rows carry parities.
+    mixed = of_node.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("signature")
+    told = sets.select("node", "n", F.when(F.length("bits") <= HELD_BITS, F.col("bits")).alias("bits"))
+    apart = written(_across(of_node.join(mixed, "signature", "left_semi").join(told, "node"), percent, _partitions(spark, rows)).distinct(), "across")
+    more = _near(apart.where(F.col("kind") == OPEN).select("a", "b"), sets, percent)
+    found = components(near.unionAll(more).unionAll(apart.where(F.col("kind") != OPEN).select("a", "b")))
+    remove(met, near, of_node, apart)
     return found
 
 

@@ -90,3 +90,43 @@ def test_a_shared_passage_makes_no_cluster(spark, monkeypatch):
         got = {r.doc_id: r.component_id for r in jaccard.join(docs, 3, 80).collect()}
         assert got == {k: k - k % 2 for k in range(120)}
     assert sizes == [2, 2]
+
+
+def test_near_pairs_of_a_task_join_what_all_near_pairs_join():
+    draw = np.random.default_rng(7)
+    base = np.unique(draw.integers(0, 1 << 62, 260).astype(np.uint64))
+    sets = []
+    for _ in range(80):
+        passage = base[: draw.integers(40, 250)] if draw.random() < 0.5 else sets[draw.integers(len(sets))][3:] if sets else base
+        sets.append(np.unique(np.concatenate([passage, draw.integers(0, 1 << 62, draw.integers(1, 30)).astype(np.uint64)])))
+    bits, n, group = [jaccard.parity(s) for s in sets], np.array([len(s) for s in sets]), np.arange(80) // 2
+
+    def groups(pairs):
+        up = jaccard._Joined()
+        for a, b in pairs:
+            up.up[up.root(a)] = up.root(b)
+        return {frozenset(i for i in range(80) if up.root(i) == r) for r in {up.root(i) for i in range(80)}}
+
+    own = [(2 * k, 2 * k + 1) for k in range(40)]
+    for percent in (80, 90):
+        near = [(i, j) for i in range(80) for j in range(i) if jaccard.may_link(bits[i], int(n[i]), bits[j], int(n[j]), percent)]
+        got = list(jaccard._Joined().near(np.arange(80), group, n, bits, percent))
+        assert groups(own + got) == groups(own + near) and set(map(frozenset, got)) <= set(map(frozenset, near))
+        assert 0 < len(got) < 40 and len(near) > len(got)
+
+
+def test_a_signature_of_many_gives_no_pairs_but_what_joins_groups(spark, monkeypatch):
+    """Rows made for texts that share a passage don't grow with the square of their number; sets that are too long to carry their parities have the same groups."""
+    made, across = [], jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda *given: made.append(across(*given)) or made[-1])
+    passage = " ".join(f"p{i}" for i in range(60))
+    for many in (60, 120):
+        rows = [(k, passage + "".join(f" own{k // 2}x{i}" for i in range(60)) + f" end{k % 2}") for k in range(many)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        for held in (512, 0):
+            monkeypatch.setattr(jaccard, "HELD_BITS", held)
+            made.clear()
+            counts = []
+            monkeypatch.setattr(jaccard, "remove", lambda *tables: counts.append(made[0].count()) if made and not counts else None)
+            assert {r.doc_id: r.component_id for r in jaccard.join(docs, 3, 80).collect()} == {k: k - k % 2 for k in range(many)}
+            assert counts[0] <= many if held else counts[0] > many
