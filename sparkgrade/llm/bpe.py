@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import return_memory, table
 
 #: Pieces that a worker remembers at most; then it starts anew. Longer ones than PIECE characters aren't remembered.
-MEMORY, PIECE = 300_000, 64
+MEMORY, PIECE = 200_000, 64
 _OTHER_ASCII = tuple(map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31)))
 _OTHER = (*_OTHER_ASCII, *map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -57,21 +57,25 @@ class _Matches(dict):
     def __init__(self, bpe: ByteBpe) -> None:
         self.bpe = bpe
 
-    def __missing__(self, match: str) -> bytes:
+    def encoded(self, match: str) -> bytes:
         found = self.bpe.tokenize((match if match.isascii() else match.encode().decode("latin-1")).translate(self.bpe.characters))
         coded = self.bpe.coded
-        ids = coded[found[0].id] if len(found) == 1 else b"".join([coded[t.id] for t in found])
+        return coded[found[0].id] if len(found) == 1 else b"".join([coded[t.id] for t in found])
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self.encoded(match)
         if len(match) <= PIECE:
             self[match] = ids
         return ids
 
 
 class _Pieces(_Matches):
-    """The ids of each piece between white space that a worker has met."""
+    """The ids of each piece between white space that a worker has met; one that is a single match is remembered here alone."""
 
     def __missing__(self, piece: str) -> bytes:
         found = self.bpe.findall(piece)
-        ids = self.bpe.matches[found[0]] if len(found) == 1 else b"".join(map(self.bpe.matches.__getitem__, found))
+        matches = self.bpe.matches
+        ids = (matches.get(piece) or matches.encoded(piece)) if len(found) == 1 else b"".join(map(matches.__getitem__, found))
         if len(piece) <= PIECE:
             self[piece] = ids
         return ids
@@ -178,11 +182,12 @@ def _encoded(path: str, offsets: bool):
                     for k, name in enumerate(("starts", "ends")):
                         columns[name] = pa.array([s[:, k] for s in spans], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
+        return_memory()
 
     return run
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes of its second column, one row at least."""
     sizes = np.array(pc.fill_null(pc.binary_length(batch.column(1)), 0))
     start, run = 0, np.cumsum(sizes)
@@ -222,6 +227,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
+            return_memory()  # what the batch before and other stages have left in this worker
             for some in slices(batch):
                 n, first, second = [], [], []
                 for ids in bpe.encode_all(some.column(1)):
@@ -229,6 +235,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     first.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     second.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": first, "decoded_sha256": second})
+        return_memory()
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -185,6 +185,7 @@ def _signed(docs: DataFrame, words: int, percent: int, seed: int, common: np.nda
                     continue
                 token, node = _once(np.concatenate(found).view(np.int64), np.concatenate(owners))
                 yield pa.RecordBatch.from_pydict({"signature": pa.array(token), "node": pa.array(node)})
+        return_memory()
 
     return docs.mapInArrow(run, "signature bigint, node bigint")
 

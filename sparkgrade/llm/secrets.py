@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .calibration import calibrated
-from .common import bounded_batches, remove, table, written
+from .common import bounded_batches, remove, return_memory, table, written
 from .hashing import mix
 
 #: Fixed by the result contract, in its order; A-Z and a-z alone have a case.
@@ -458,6 +458,7 @@ def redact(docs: DataFrame, net: CharNet, mark: str = "[SECRET]") -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        return_memory()
 
     return docs.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .calibration import calibrated
-from .common import bounded_batches, table
+from .common import bounded_batches, return_memory, table
 from .hashing import word_hashes
 
 #: Bounds of the training sample: labelled rows of each class, and bytes of their texts; a longer text than a 64th isn't in it.
@@ -218,6 +218,7 @@ def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             if batch.num_rows:
                 scores = np.concatenate([sent.value.score(s.column(1)) for s in slices(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["a", "b"]), SLICE_BYTES)])
                 yield batch.filter(pa.array(scores < 0.5))
+        return_memory()
 
     return docs.mapInArrow(run, schema)
 

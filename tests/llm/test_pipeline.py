@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -70,3 +71,13 @@ def test_pipeline_of_no_documents(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{at}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_remembers_a_lone_match_once():
+    own = bpe.ByteBpe(bpe.default_path())
+    texts = [f"word{i} more words, {i} of them" for i in range(50)]
+    ids = own.encode_all(pa.array(texts))
+    assert " more" in own.pieces and " more" not in own.matches and " words" in own.matches
+    assert [own.decode(x).decode() for x in ids] == texts and [x.tolist() for x in ids] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["a " * 50_000] * 40})
+    assert max(s.column(1).nbytes for s in bpe.slices(batch)) < 2 << 20
