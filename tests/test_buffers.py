@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from sparkgrade.streaming import buffers, lifecycle
 
@@ -157,3 +158,30 @@ def test_count_or_time_in_pieces_equals_a_walk_over_each_queue(spark, most, piec
 def test_back_pressure_and_quota():
     assert lifecycle.should_pause(4, 4, 0, 99) and lifecycle.should_pause(1, 4, 5, 6) and not lifecycle.should_pause(1, 4, 4, 6)
     assert lifecycle.quota_at_sync(8, 0.5, 3, 2) == (7, 5) and lifecycle.quota_at_sync(8, 0.0, 6, 5) == (0, 11)
+
+
+class Calls:
+    """A handle to a state store that holds nothing and counts what it is asked."""
+
+    def __init__(self):
+        self.asked = []
+
+    def __getattr__(self, name):
+        def ask(*given):
+            self.asked.append(name)
+            return None if name in ("get", "update", "appendList", "registerTimer", "deleteTimer") else self
+
+        return ask
+
+
+@pytest.mark.parametrize("processor", [buffers.GroupBuffer(3, 12, True, False, 99, 2), buffers.TimedBatches(4, 7000, "at", "q", "id", "long")])
+def test_a_key_asks_its_state_no_more_often_for_more_rows(processor):
+    asked = []
+    for n in (1, 50):
+        handle = Calls()
+        processor.init(handle)
+        handle.asked.clear()
+        rows = [Row(global_step=k, seq=k, session=0, idx=0, status="running", metric=None, _ms=1000 * k, id=k) for k in range(5, 5 + n)]
+        list(processor.handleInputRows(("a",), iter(rows), None))
+        asked.append(sorted(handle.asked))
+    assert asked[0] == asked[1] == ["appendList", "get", "registerTimer", "update"]
